@@ -1,74 +1,81 @@
-"""The three rank conventions, and top-N by group.
+"""The three rank conventions and top-N by group.
 
-Each is exact. Cross-section windows are partitioned by session (plus a group where stated), so
-a partition holds at most one row per instrument.
+Each is exact. Cross-section windows are partitioned by session (plus a group where stated), so a
+partition holds at most one row per instrument.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.windows import col
 
+def _by(by: str | Sequence[str]) -> str:
+    return by if isinstance(by, str) else ", ".join(by)
 
-def _keys(by) -> list:
-    return [by] if isinstance(by, (str, Column)) else list(by)
 
+def avg_rank(x: str, by: str | Sequence[str], descending: bool = False) -> str:
+    """Average-tie rank (1-based), null for null.
 
-def pct_rank_avg(x, by: str | Sequence[str], default: float | None = None, descending: bool = False) -> Column:
-    """Average-tie rank divided by the number of non-null values; nulls get ``default``."""
-    value, keys = col(x), _keys(by)
-    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    seen = F.count(value).over(Window.partitionBy(*keys))
-    ranked = F.when(value.isNotNull(), (rank + (ties - 1) / F.lit(2.0)) / seen)
-    return ranked if default is None else F.coalesce(ranked, F.lit(default))
+    The lowest rank of a tie and the number of rows up to it read the same sorted window.
+    """
+    order = f"PARTITION BY {_by(by)} ORDER BY {x} {'DESC' if descending else 'ASC'} NULLS LAST"
+    upto = f"count(1) OVER ({order} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({order}) + {upto}) / 2D END"
 
 
-def avg_rank(x, by: str | Sequence[str]) -> Column:
-    """Average-tie rank (1-based), null for null."""
-    value, keys = col(x), _keys(by)
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(value.asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return F.when(value.isNotNull(), rank + (ties - 1) / F.lit(2.0))
+def pct_rank_avg(x: str, by: str | Sequence[str], default: float | None = None, descending: bool = False) -> str:
+    """Average-tie rank divided by the number of non-null values; nulls get ``default``."""
+    ranked = f"{avg_rank(x, by, descending)} / count({x}) OVER (PARTITION BY {_by(by)})"
+    return ranked if default is None else f"coalesce({ranked}, {default}D)"
 
 
-def pct_better(x, by: str | Sequence[str], lower_is_better: bool = False, min_rows: int = 3) -> Column:
+def pct_better(x: str, by: str | Sequence[str], lower_is_better: bool = False, min_rows: int = 3) -> str:
     """Share of the group strictly beaten by this row, x100; 50 for groups under ``min_rows``.
 
     With ``lower_is_better`` a row beats those with a strictly greater value.
     """
-    value, keys = col(x), _keys(by)
-    order = value.desc() if lower_is_better else value.asc()
-    beaten = F.rank().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    seen = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return F.when(seen < min_rows, F.lit(50.0)).otherwise(beaten * F.lit(100.0) / seen)
+    order = f"PARTITION BY {_by(by)} ORDER BY {x} {'DESC' if lower_is_better else 'ASC'}"
+    seen = f"count(1) OVER (PARTITION BY {_by(by)})"
+    return f"CASE WHEN {seen} < {min_rows} THEN 50D ELSE (rank() OVER ({order}) - 1) * 100D / {seen} END"
 
 
-def order_rank(by: str | Sequence[str], *order) -> Column:
-    return F.row_number().over(Window.partitionBy(*_keys(by)).orderBy(*order))
+def order_rank(by: str | Sequence[str], order: str) -> str:
+    return f"row_number() OVER (PARTITION BY {_by(by)} ORDER BY {order})"
 
 
-def top_n(df: DataFrame, n: int, by: str | Sequence[str], *order, rank_col: str = "rank") -> DataFrame:
+def top_n(df: DataFrame, n: int, by: str | Sequence[str], order: str, rank_col: str = "rank") -> DataFrame:
     """The first ``n`` rows per group under a total order.
 
     Spark prunes each map task's group to ``n`` rows before the exchange (WindowGroupLimit), so a
     large group does not travel whole.
     """
-    return df.withColumn(rank_col, order_rank(by, *order)).filter(F.col(rank_col) <= n)
+    return df.withColumn(rank_col, F.expr(order_rank(by, order))).filter(f"{rank_col} <= {n}")
 
 
 def top_n_group_cap(
-    df: DataFrame, n: int, per_group: int, by: str, group: str, *order, rank_col: str = "rank"
+    df: DataFrame, n: int, per_group: int, by: str, group: str, order: str, rank_col: str = "rank"
 ) -> DataFrame:
     """Greedy pick of ``n`` rows per ``by`` with at most ``per_group`` from one ``group``.
 
     Taking rows in order and skipping full groups keeps exactly the first ``per_group`` rows of
     each group, so two ranks give the greedy result.
     """
-    capped = df.withColumn("_in_group", order_rank([by, group], *order)).filter(F.col("_in_group") <= per_group)
-    return top_n(capped.drop("_in_group"), n, by, *order, rank_col=rank_col)
+    capped = top_n(df, per_group, [by, group], order, "_in_group").drop("_in_group")
+    return top_n(capped, n, by, order, rank_col)
+
+
+def long_ranks(df: DataFrame, features: Sequence[str], keys: Sequence[str], by: str, rank: str) -> DataFrame:
+    """(keys, feature, value, rank, row): one row per input row and feature, ranked in its session.
+
+    Ranking features as rows needs one sorted window instead of one per feature, and spreads a
+    session over as many tasks as there are features. The input row travels once, on its first
+    feature row, and is null elsewhere. ``rank`` is an expression over ``value``.
+    """
+    entries = ", ".join(f"struct('{f}' AS feature, CAST({f} AS DOUBLE) AS value)" for f in features)
+    long = df.selectExpr(*keys, "struct(*) AS _all", f"posexplode(array({entries})) AS (_pos, _e)").selectExpr(
+        *keys, "CASE WHEN _pos = 0 THEN _all END AS row", "_e.feature AS feature", "_e.value AS value"
+    )
+    return long.withColumn("rank", F.expr(rank.format(by=f"{by}, feature")))

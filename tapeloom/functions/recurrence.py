@@ -13,10 +13,9 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tapeloom.functions.windows import KEY, ORDER, col
+from tapeloom.functions.windows import KEY, ORDER
 
 _MAX_EXPONENT = 500.0  # keeps a^(-B) far from overflow in double
 _NEGLIGIBLE = 44.0  # e^-44 < 1e-19
@@ -24,20 +23,20 @@ _NEGLIGIBLE = 44.0  # e^-44 < 1e-19
 
 @dataclass(frozen=True)
 class Recurrence:
-    """One series: ``out[t] = a*out[t-1] + b*x[t]``."""
+    """One series: ``out[t] = a*out[t-1] + b*x[t]``; ``x`` is a SQL expression, never null."""
 
     out: str
-    x: str | Column
+    x: str
     a: float
     b: float
 
 
-def ema(out: str, x, span: int) -> Recurrence:
+def ema(out: str, x: str, span: int) -> Recurrence:
     alpha = 2.0 / (span + 1)
     return Recurrence(out, x, 1 - alpha, alpha)
 
 
-def sma_weighted(out: str, x, n: int, m: int = 1) -> Recurrence:
+def sma_weighted(out: str, x: str, n: int, m: int = 1) -> Recurrence:
     """``y = (m*x + (n-m)*y') / n``."""
     return Recurrence(out, x, (n - m) / n, m / n)
 
@@ -45,37 +44,29 @@ def sma_weighted(out: str, x, n: int, m: int = 1) -> Recurrence:
 def add_recurrences(
     df: DataFrame, series: Sequence[Recurrence], key: str = KEY, order: str = ORDER, block: int = 512
 ) -> DataFrame:
-    """Add one column per recurrence. ``x`` must not be null."""
+    """Add one column per recurrence."""
     steepest = max(-math.log(s.a) for s in series)
     block = max(2, min(block, int(_MAX_EXPONENT / steepest)))
-    names = [c for c in df.columns]
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    out = df.withColumn("_r", rn - 1).withColumn("_blk", F.floor(F.col("_r") / block).cast("int"))
-    out = out.withColumn("_off", (F.col("_r") % block).cast("double"))
-    inside = (
-        Window.partitionBy(key, "_blk").orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = df.columns
+    out = df.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS _r").selectExpr(
+        "*", f"CAST(floor(_r / {block}) AS INT) AS _blk", f"CAST(_r % {block} AS DOUBLE) AS _off"
     )
-    weight = lambda s: F.when(F.col("_r") == 0, F.lit(1.0)).otherwise(F.lit(s.b))
-    out = out.select(
+    inside = f"OVER (PARTITION BY {key}, _blk ORDER BY _r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    out = out.selectExpr(
         "*",
         *[
-            (
-                F.pow(F.lit(s.a), F.col("_off"))
-                * F.sum(weight(s) * col(s.x) * F.pow(F.lit(s.a), -F.col("_off"))).over(inside)
-            ).alias(f"_p{i}")
+            f"pow({s.a!r}D, _off) * sum(CASE WHEN _r = 0 THEN 1D ELSE {s.b!r}D END * ({s.x}) * pow({s.a!r}D, -_off)) {inside} AS _p{i}"
             for i, s in enumerate(series)
         ],
     )
-    full = F.col("_off") == block - 1
 
-    def carried(i: int, s: Recurrence) -> Column:
-        value = F.col(f"_p{i}")
+    def carried(i: int, s: Recurrence) -> str:
+        terms = [f"_p{i}"]
         decay = -math.log(s.a) * block
         for back in range(1, max(1, math.ceil(_NEGLIGIBLE / decay)) + 1):
-            frame = Window.partitionBy(key).orderBy("_blk").rangeBetween(-back, -back)
-            last = F.max(F.when(full, F.col(f"_p{i}"))).over(frame)
-            factor = F.pow(F.lit(s.a), F.col("_off") + 1 + block * (back - 1))
-            value = value + F.coalesce(factor * last, F.lit(0.0))
-        return value
+            frame = f"OVER (PARTITION BY {key} ORDER BY _blk RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING)"
+            last = f"max(CASE WHEN _off = {block - 1} THEN _p{i} END) {frame}"
+            terms.append(f"coalesce(pow({s.a!r}D, _off + {1 + block * (back - 1)}) * {last}, 0D)")
+        return " + ".join(terms)
 
-    return out.select(*names, *[carried(i, s).alias(s.out) for i, s in enumerate(series)])
+    return out.selectExpr(*[f"`{n}`" for n in names], *[f"{carried(i, s)} AS {s.out}" for i, s in enumerate(series)])

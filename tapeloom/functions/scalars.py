@@ -1,41 +1,38 @@
-"""Scalar parsing and naming rules, all built-in expressions."""
+"""Scalar parsing and naming rules, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tapeloom.functions.windows import col
-
-# Amount suffixes and their size in units of 1e8.
+# Amount suffixes; the first is the unit, the second a ten-thousandth of it.
 HUNDRED_MILLION = "亿"
 TEN_THOUSAND = "万"
 
 
-def parse_amount(c) -> Column:
+def parse_amount(c: str) -> str:
     """``"1.5亿"`` -> 1.5, ``"300万"`` -> 0.03, plain numbers unchanged, anything else 0."""
-    text = F.trim(col(c).cast("string"))
-    number = F.regexp_replace(text, f"[{HUNDRED_MILLION}{TEN_THOUSAND}]", "").try_cast("double")
-    scaled = F.when(text.contains(TEN_THOUSAND) & ~text.contains(HUNDRED_MILLION), number / 10000).otherwise(number)
-    return F.coalesce(scaled, F.lit(0.0))
+    text = f"trim(CAST({c} AS STRING))"
+    number = f"try_cast(regexp_replace({text}, '[{HUNDRED_MILLION}{TEN_THOUSAND}]', '') AS DOUBLE)"
+    return (
+        f"coalesce(CASE WHEN contains({text}, '{TEN_THOUSAND}') AND NOT contains({text}, '{HUNDRED_MILLION}') "
+        f"THEN {number} / 10000 ELSE {number} END, 0D)"
+    )
 
 
-def normalize_code(c) -> Column:
+def normalize_code(c: str) -> str:
     """Strip a trailing ``.0`` and pad with zeros to six characters; longer codes stay whole."""
-    text = F.regexp_replace(F.trim(col(c).cast("string")), r"\.0$", "")
-    return F.when(F.length(text) >= 6, text).otherwise(F.lpad(text, 6, "0"))
+    text = f"regexp_replace(trim(CAST({c} AS STRING)), '[.]0$', '')"
+    return f"CASE WHEN length({text}) >= 6 THEN {text} ELSE lpad({text}, 6, '0') END"
 
 
-def strip_market_prefix(c) -> Column:
-    """``sh600000`` or ``0.600000`` -> ``600000``: the last run of six digits."""
-    return F.regexp_extract(col(c), r"(\d{6})(?!.*\d{6})", 1)
+def strip_market_prefix(c: str) -> str:
+    """``sh600000`` or ``0.600000`` -> ``600000``: the six digits at the end, else the text itself."""
+    return f"coalesce(nullif(regexp_extract({c}, '([0-9]{{6}})$', 1), ''), {c})"
 
 
-def limit_pct(code="code") -> Column:
+def limit_pct(code: str = "code") -> str:
     """Daily price limit: 20% for the 30 and 68 prefixes, otherwise 10%."""
-    return F.when(F.substring(col(code), 1, 2).isin("30", "68"), F.lit(0.20)).otherwise(F.lit(0.10))
+    return f"CASE WHEN substring({code}, 1, 2) IN ('30', '68') THEN 0.2D ELSE 0.1D END"
 
 
-def change(a, b) -> Column:
+def change(a: str, b: str) -> str:
     """Relative change from ``b`` to ``a``."""
-    return (col(a) - col(b)) / col(b)
+    return f"(({a} - {b}) / {b})"

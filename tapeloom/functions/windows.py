@@ -1,151 +1,139 @@
-"""Window specs and the generic per-instrument window functions.
+"""Window frames and the generic per-instrument window functions, as Spark SQL expressions.
 
-Every instrument window is partitioned by ``code`` and ordered by ``date``, so any number of
-columns built here share one exchange and one sort. A partition holds the sessions of one
-instrument: its size is bounded by the length of the calendar, not by the volume of the data.
+Operators add columns with ``df.selectExpr``, so each helper returns SQL text. Every instrument
+frame is partitioned by ``code`` and ordered by ``date``: any number of columns share one exchange
+and one sort. A partition holds the sessions of one instrument, so its size is bounded by the
+length of the calendar and not by the volume of the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, Window, WindowSpec
-from pyspark.sql import functions as F
-
 KEY = "code"
 ORDER = "date"
+SERIES = f"OVER (PARTITION BY {KEY} ORDER BY {ORDER})"
+SO_FAR = f"OVER (PARTITION BY {KEY} ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+BEFORE = f"OVER (PARTITION BY {KEY} ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def series() -> WindowSpec:
-    return Window.partitionBy(KEY).orderBy(ORDER)
-
-
-def trailing(n: int, skip: int = 0) -> WindowSpec:
+def rows(n: int, skip: int = 0, by: str = KEY, order: str = ORDER) -> str:
     """The last ``n`` rows, ending ``skip`` rows before the current one."""
-    return series().rowsBetween(-(n - 1) - skip, -skip)
+    end = f"{skip} PRECEDING" if skip else "CURRENT ROW"
+    return f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {n - 1 + skip} PRECEDING AND {end})"
+
 
+def running(by: str, order: str = ORDER, skip: int = 0) -> str:
+    """From the first row of the partition to ``skip`` rows before the current one."""
+    end = f"{skip} PRECEDING" if skip else "CURRENT ROW"
+    return f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})"
 
-def so_far() -> WindowSpec:
-    return series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+def ahead(skip: int = 0, by: str = KEY, order: str = ORDER) -> str:
+    """Rows from ``skip`` rows after the current one to the end.
 
-def from_here() -> WindowSpec:
-    return series().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    Written as a running frame in descending order: a frame that ends at "unbounded following" is
+    recomputed from scratch for every row.
+    """
+    end = f"{skip} PRECEDING" if skip else "CURRENT ROW"
+    return f"OVER (PARTITION BY {by} ORDER BY {order} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND {end})"
 
 
-def session(by: str | Sequence[str] = "date") -> WindowSpec:
-    return Window.partitionBy(*([by] if isinstance(by, str) else by))
+def group(*by: str) -> str:
+    """The whole partition."""
+    return f"OVER (PARTITION BY {', '.join(by)})"
 
 
-def over(expr: Column, n: int, min_periods: int = 1, skip: int = 0, of: Column | None = None) -> Column:
-    """``expr`` over a trailing frame, null until ``min_periods`` values of ``of`` are present."""
-    value = expr.over(trailing(n, skip))
+def over(agg: str, n: int, min_periods: int = 1, skip: int = 0, of: str = "1") -> str:
+    """``agg`` over a trailing frame, null until ``min_periods`` values of ``of`` are present."""
+    value = f"{agg} {rows(n, skip)}"
     if min_periods <= 1:
         return value
-    seen = F.count(of if of is not None else F.lit(1)).over(trailing(n, skip))
-    return F.when(seen >= min_periods, value)
+    return f"CASE WHEN count({of}) {rows(n, skip)} >= {min_periods} THEN {value} END"
 
 
-def ma(x, n: int, min_periods: int = 1) -> Column:
-    return over(F.avg(col(x)), n, min_periods, of=col(x))
+def ma(x: str, n: int, min_periods: int = 1, skip: int = 0) -> str:
+    return over(f"avg({x})", n, min_periods, skip, x)
 
 
-def hhv(x, n: int) -> Column:
-    return over(F.max(col(x)), n)
+def hhv(x: str, n: int, skip: int = 0) -> str:
+    return f"max({x}) {rows(n, skip)}"
 
 
-def llv(x, n: int) -> Column:
-    return over(F.min(col(x)), n)
+def llv(x: str, n: int, skip: int = 0) -> str:
+    return f"min({x}) {rows(n, skip)}"
 
 
-def ref(x, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(series())
+def ref(x: str, n: int = 1) -> str:
+    return f"lag({x}, {n}) {SERIES}"
 
 
-def exist(cond: Column, n: int) -> Column:
-    return over(F.max(F.coalesce(cond, F.lit(False))), n)
+def lead(x: str, n: int = 1) -> str:
+    return f"lead({x}, {n}) {SERIES}"
 
 
-def pct_change(x, n: int = 1) -> Column:
-    return col(x) / ref(x, n) - 1
+def exist(cond: str, n: int) -> str:
+    return f"max(coalesce({cond}, false)) {rows(n)}"
 
 
-def diff(x, n: int = 1) -> Column:
-    return col(x) - ref(x, n)
+def pct_change(x: str, n: int = 1) -> str:
+    return f"({x} / {ref(x, n)} - 1)"
 
 
-def rolling_median(x, n: int, min_periods: int = 1) -> Column:
-    return over(F.percentile(col(x), F.lit(0.5)), n, min_periods, of=col(x))
+def diff(x: str, n: int = 1) -> str:
+    return f"({x} - {ref(x, n)})"
 
 
-def rolling_std(x, n: int, ddof: int = 1) -> Column:
-    return over(F.stddev_samp(col(x)) if ddof else F.stddev_pop(col(x)), n)
+def rolling_median(x: str, n: int, min_periods: int = 1, skip: int = 0) -> str:
+    return over(f"percentile({x}, 0.5)", n, min_periods, skip, x)
 
 
-def rolling_corr(x, y, n: int, min_periods: int = 2) -> Column:
-    both = F.when(col(x).isNotNull() & col(y).isNotNull(), F.lit(1))
-    return over(F.corr(col(x), col(y)), n, min_periods, of=both)
+def rolling_std(x: str, n: int, ddof: int = 1) -> str:
+    return f"{'stddev_samp' if ddof else 'stddev_pop'}({x}) {rows(n)}"
 
 
-def rolling_slope(y, n: int, min_periods: int = 2) -> Column:
-    """Least-squares slope of ``y`` on the row index over the frame."""
-    return over(F.regr_slope(col(y), F.col("rn")), n, min_periods, of=col(y))
+def rolling_corr(x: str, y: str, n: int, min_periods: int = 2) -> str:
+    return over(f"corr({x}, {y})", n, min_periods, of=f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END")
 
 
-def argmax(x, what, n: int) -> Column:
+def rolling_slope(y: str, n: int, min_periods: int = 2) -> str:
+    """Least-squares slope of ``y`` on the row number over the frame."""
+    return over(f"regr_slope({y}, rn)", n, min_periods, of=y)
+
+
+def argmax(x: str, what: str, n: int) -> str:
     """``what`` at the highest ``x`` of the frame; the earliest row wins a tie."""
-    key = F.struct(col(x), -F.col("rn"))
-    return F.max_by(col(what), key).over(trailing(n))
+    return f"max_by({what}, struct({x}, -rn)) {rows(n)}"
 
 
-def argmin(x, what, n: int) -> Column:
-    key = F.struct(col(x), F.col("rn"))
-    return F.min_by(col(what), key).over(trailing(n))
+def argmin(x: str, what: str, n: int) -> str:
+    return f"min_by({what}, struct({x}, rn)) {rows(n)}"
 
 
-def rolling_pct_rank(x, n: int, min_periods: int = 1) -> Column:
+def rolling_pct_rank(x: str, n: int, min_periods: int = 1) -> str:
     """Average-tie percentile rank of the current value among the last ``n`` values."""
-    values = F.collect_list(col(x)).over(trailing(n))
-    less = F.size(F.filter(values, lambda v: v < col(x)))
-    same = F.size(F.filter(values, lambda v: v == col(x)))
-    size = F.size(values)
-    return F.when(
-        col(x).isNotNull() & (size >= min_periods),
-        (less + (same + 1) / F.lit(2.0)) / size,
+    values = f"collect_list({x}) {rows(n)}"
+    return (
+        f"CASE WHEN {x} IS NOT NULL AND size({values}) >= {min_periods} THEN "
+        f"(size(filter({values}, v -> v < {x})) + (size(filter({values}, v -> v = {x})) + 1) / 2D) / size({values}) END"
     )
 
 
-def last_event(cond: Column, value) -> Column:
+def last_event(cond: str, value: str) -> str:
     """``value`` at the most recent row where ``cond`` held, the current row included."""
-    return F.last(F.when(cond, col(value)), ignorenulls=True).over(so_far())
-
-
-def row_index() -> Column:
-    return F.row_number().over(series())
-
-
-def run_length(cond: Column, rn="rn") -> Column:
-    """Length of the current run of true rows; 0 on a false row."""
-    broken = F.max(F.when(~F.coalesce(cond, F.lit(False)), col(rn))).over(so_far())
-    return (col(rn) - F.coalesce(broken, F.lit(0))).cast("int")
+    return f"last(CASE WHEN {cond} THEN {value} END, true) {SO_FAR}"
 
 
-def cumulative(expr: Column) -> Column:
-    return expr.over(so_far())
+ROW_INDEX = f"row_number() {SERIES}"
 
 
-def running_product(x) -> Column:
-    return F.product(col(x)).over(so_far())
+def run_length(cond: str) -> str:
+    """Length of the current run of true rows; 0 on a false row. Needs the row number ``rn``."""
+    return f"CAST(rn - coalesce(max(CASE WHEN NOT coalesce({cond}, false) THEN rn END) {SO_FAR}, 0) AS INT)"
 
 
-def safe_div(a, b, default=None) -> Column:
-    return F.when(col(b) != 0, col(a) / col(b)).otherwise(F.lit(default))
+def safe_div(a: str, b: str, default: str = "NULL") -> str:
+    return f"CASE WHEN {b} <> 0 THEN {a} / {b} ELSE {default} END"
 
 
-def clip(x, low: float, high: float) -> Column:
+def clip(x: str, low: float, high: float) -> str:
     """Clamp, keeping null as null (``least``/``greatest`` alone would return the bound)."""
-    return F.when(col(x).isNotNull(), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), col(x))))
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least({float(high)}D, greatest({float(low)}D, {x})) END"

@@ -6,59 +6,47 @@ frames use the same partitioning, so the whole table costs one exchange by ``cod
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tapeloom.functions import windows as w
 from tapeloom.functions.recurrence import add_recurrences, ema, sma_weighted
-from tapeloom.functions.windows import col
 
 YELLOW_SPANS = (14, 28, 57, 114)
 MA_SPANS = (5, 10, 20, 30, 40, 60)
-RANGE_FLOOR = 1e-9
 
 
-def yellow_line(x="close", spans=YELLOW_SPANS) -> Column:
+def yellow_line(x: str = "close", spans=YELLOW_SPANS) -> str:
     """Mean of the moving averages over ``spans``."""
-    total = w.ma(x, spans[0])
-    for n in spans[1:]:
-        total = total + w.ma(x, n)
-    return total / len(spans)
-
-
-def _raw_stochastic(n: int = 9) -> Column:
-    high, low = w.hhv("high", n), w.llv("low", n)
-    return F.when(high > low, 100 * (F.col("close") - low) / (high - low)).otherwise(F.lit(0.0))
+    return f"({' + '.join(w.ma(x, n) for n in spans)}) / {len(spans)}"
 
 
 def double_line(df: DataFrame) -> DataFrame:
     """White line (double EMA of 10) and yellow line only."""
     out = add_recurrences(df, [ema("_e", "close", 10)])
     out = add_recurrences(out, [ema("white_line", "_e", 10)]).drop("_e")
-    return out.withColumn("yellow_line", yellow_line())
+    return out.selectExpr("*", f"{yellow_line()} AS yellow_line")
 
 
 def add_indicators(df: DataFrame) -> DataFrame:
     """White, yellow, KDJ, MACD, moving averages, brick and smoothed RSI on ascending bars.
 
-    KDJ uses the range of up to nine rows; K and D start at their first input.
+    KDJ uses the range of up to nine rows; K and D start at their first input. Also adds the row
+    number ``rn`` and the previous close ``pc``.
     """
-    h4, l4 = w.hhv("high", 4), w.llv("low", 4)
-    out = df.select(
+    out = df.selectExpr(
         "*",
-        w.row_index().alias("rn"),
-        w.ref("close").alias("pc"),
-        _raw_stochastic().alias("_rsv"),
-        h4.alias("_h4"),
-        l4.alias("_l4"),
-    )
-    span = F.when(F.col("_h4") != F.col("_l4"), F.col("_h4") - F.col("_l4")).otherwise(F.lit(RANGE_FLOOR))
-    step = F.col("close") - F.coalesce("pc", "close")
-    out = (
-        out.withColumn("_v1", (F.col("_h4") - F.col("close")) / span * 100.0 - 90.0)
-        .withColumn("_v3", (F.col("close") - F.col("_l4")) / span * 100.0)
-        .withColumn("_gain", F.greatest(step, F.lit(0.0)))
-        .withColumn("_loss", F.greatest(-step, F.lit(0.0)))
+        f"{w.ROW_INDEX} AS rn",
+        f"{w.ref('close')} AS pc",
+        f"{w.hhv('high', 9)} AS _h9",
+        f"{w.llv('low', 9)} AS _l9",
+        f"{w.hhv('high', 4)} AS _h4",
+        f"{w.llv('low', 4)} AS _l4",
+    ).selectExpr(
+        "*",
+        "CASE WHEN _h9 > _l9 THEN 100 * (close - _l9) / (_h9 - _l9) ELSE 0D END AS _rsv",
+        "CASE WHEN _h4 <> _l4 THEN _h4 - _l4 ELSE 1e-9D END AS _d4",
+        "greatest(close - coalesce(pc, close), 0D) AS _gain",
+        "greatest(coalesce(pc, close) - close, 0D) AS _loss",
     )
     out = add_recurrences(
         out,
@@ -67,143 +55,136 @@ def add_indicators(df: DataFrame) -> DataFrame:
             ema("_e12", "close", 12),
             ema("_e26", "close", 26),
             sma_weighted("K", "_rsv", 3),
-            sma_weighted("_s2", "_v1", 4),
-            sma_weighted("_s4", "_v3", 6),
+            sma_weighted("_s2", "(_h4 - close) / _d4 * 100D - 90D", 4),
+            sma_weighted("_s4", "(close - _l4) / _d4 * 100D", 6),
             ema("_g6", "_gain", 6),
-            ema("_l6", "_loss", 6),
+            ema("_f6", "_loss", 6),
             ema("_g14", "_gain", 14),
-            ema("_l14", "_loss", 14),
+            ema("_f14", "_loss", 14),
         ],
-    ).withColumn("dif", F.col("_e12") - F.col("_e26"))
+    )
     out = add_recurrences(
         out,
-        [ema("white_line", "_e10", 10), ema("dea", "dif", 9), sma_weighted("D", "K", 3), sma_weighted("_s5", "_s4", 6)],
+        [
+            ema("white_line", "_e10", 10),
+            ema("dea", "_e12 - _e26", 9),
+            sma_weighted("D", "K", 3),
+            sma_weighted("_s5", "_s4", 6),
+        ],
     )
-
-    def rsi(n: int) -> Column:
-        loss = F.col(f"_l{n}")
-        return 100 - 100 / (1 + F.col(f"_g{n}") / F.when(loss == 0, F.lit(1e-9)).otherwise(loss))
-
-    out = out.select(
-        "*",
-        (3 * F.col("K") - 2 * F.col("D")).alias("J"),
-        (2 * (F.col("dif") - F.col("dea"))).alias("macd"),
-        F.greatest(F.col("_s5") + 100 - (F.col("_s2") + 100) - 4, F.lit(0.0)).alias("brick"),
-        rsi(6).alias("rsi_6"),
-        rsi(14).alias("rsi_14"),
-        yellow_line().alias("yellow_line"),
-        *[w.ma("close", n).alias(f"ma{n}") for n in MA_SPANS],
+    return out.selectExpr(
+        *df.columns,
+        "rn",
+        "pc",
+        "K",
+        "D",
+        "3 * K - 2 * D AS J",
+        "white_line",
+        "_e12 - _e26 AS dif",
+        "dea",
+        "2 * (_e12 - _e26 - dea) AS macd",
+        "greatest(_s5 + 100 - (_s2 + 100) - 4, 0D) AS brick",
+        *[f"100 - 100 / (1 + _g{n} / CASE WHEN _f{n} = 0 THEN 1e-9D ELSE _f{n} END) AS rsi_{n}" for n in (6, 14)],
+        f"{yellow_line()} AS yellow_line",
+        *[f"{w.ma('close', n)} AS ma{n}" for n in MA_SPANS],
     )
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def position_flags(df: DataFrame, shrink_ratio: float = 0.9, near_pct: float = 3.5) -> DataFrame:
     """Volume shrink, bowl, nearness and the 60-row doubling test."""
-    close, white, yellow = F.col("close"), F.col("white_line"), F.col("yellow_line")
-    near = near_pct / 100.0
-    return df.select(
+    near = f"{near_pct / 100.0}D"
+    return df.selectExpr(
         "*",
-        (F.col("volume") < w.hhv("volume", 20) * shrink_ratio).alias("volume_shrink"),
-        (white > yellow).alias("white_gt_yellow"),
-        ((close >= yellow) & (close <= white)).alias("fall_in_bowl"),
-        ((close >= yellow) & ((close - yellow) / yellow <= near)).alias("near_yellow"),
-        (F.abs(close - white) / white <= near).alias("near_white"),
-        (w.hhv("high", 60) > w.llv("low", 60) * 2.0).alias("doubled"),
+        f"volume < {w.hhv('volume', 20)} * {shrink_ratio}D AS volume_shrink",
+        "white_line > yellow_line AS white_gt_yellow",
+        "close >= yellow_line AND close <= white_line AS fall_in_bowl",
+        f"close >= yellow_line AND (close - yellow_line) / yellow_line <= {near} AS near_yellow",
+        f"abs(close - white_line) / white_line <= {near} AS near_white",
+        f"{w.hhv('high', 60)} > {w.llv('low', 60)} * 2D AS doubled",
     )
 
 
 def brick_signal(df: DataFrame, height_ratio: float = 2.0 / 3.0) -> DataFrame:
     """A rising brick after a falling one, tall enough, with the close above the yellow line."""
-    b1, b2 = w.ref("brick", 1), w.ref("brick", 2)
-    out = df.select(
+    return df.selectExpr(
+        "*", f"{w.diff('brick')} AS red_height", f"{w.ref('brick', 2)} - {w.ref('brick')} AS green_height"
+    ).selectExpr(
         "*",
-        (F.col("brick") - b1).alias("red_height"),
-        (b2 - b1).alias("green_height"),
-    )
-    return out.withColumn(
-        "brick_signal",
-        F.coalesce(
-            (F.col("green_height") > 0)
-            & (F.col("red_height") > 0)
-            & (F.col("red_height") >= F.col("green_height") * height_ratio)
-            & (F.col("close") > F.col("yellow_line")),
-            F.lit(False),
-        ),
+        f"coalesce(green_height > 0 AND red_height > 0 AND red_height >= green_height * {height_ratio}D "
+        "AND close > yellow_line, false) AS brick_signal",
     )
 
 
-# --- single indicators -------------------------------------------------------------------------
+# --- single indicators, as expressions over bars with ``pc`` -----------------------------------
 
+_STEP = "coalesce(close - pc, 0D)"
 
-def rsi_simple(n: int = 14) -> Column:
+
+def rsi_simple(n: int = 14) -> str:
     """Mean gain against mean loss over ``n`` full steps; 100 without losses, 50 without moves."""
-    step = F.col("close") - F.col("pc")
-    gain = w.over(F.avg(F.greatest(step, F.lit(0.0))), n, n, of=step)
-    loss = w.over(F.avg(F.greatest(-step, F.lit(0.0))), n, n, of=step)
+    gain = f"avg(CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0D) END) {w.rows(n)}"
+    loss = f"avg(CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0D) END) {w.rows(n)}"
     return (
-        F.when(gain.isNull(), F.lit(None).cast("double"))
-        .when((loss == 0) & (gain > 0), F.lit(100.0))
-        .when(loss == 0, F.lit(50.0))
-        .otherwise(100 - 100 / (1 + gain / loss))
+        f"CASE WHEN count(pc) {w.rows(n)} < {n} THEN NULL WHEN {loss} = 0 AND {gain} > 0 THEN 100D "
+        f"WHEN {loss} = 0 THEN 50D ELSE 100 - 100 / (1 + {gain} / {loss}) END"
     )
 
 
-def rsi_sum(n: int = 14, skip: int = 0) -> Column:
-    """Sum of gains against sum of losses over ``n`` steps; a zero loss counts as 0.001."""
-    step = F.coalesce(F.col("close") - F.col("pc"), F.lit(0.0))
-    gain = w.over(F.sum(F.greatest(step, F.lit(0.0))), n, skip=skip)
-    loss = w.over(F.sum(F.greatest(-step, F.lit(0.0))), n, skip=skip)
-    return 100 - 100 / (1 + gain / F.greatest(loss, F.lit(0.001)))
+def rsi_sum(n: int = 14, skip: int = 0) -> str:
+    """Sum of gains against sum of losses over ``n`` steps; a loss under 0.001 counts as 0.001."""
+    gain = f"sum(greatest({_STEP}, 0D)) {w.rows(n, skip)}"
+    loss = f"sum(greatest(-{_STEP}, 0D)) {w.rows(n, skip)}"
+    return f"100 - 100 / (1 + {gain} / greatest({loss}, 0.001D))"
 
 
-def bollinger_b(n: int = 20, ddof: int = 1) -> Column:
+def bollinger_b(n: int = 20, ddof: int = 1) -> str:
     """Position of the close between the two-sigma bands; 0.5 for a flat band."""
     mean, std = w.ma("close", n), w.rolling_std("close", n, ddof)
-    lower, width = mean - 2 * std, 4 * std
-    return F.when(width > 0, (F.col("close") - lower) / width).otherwise(F.lit(0.5))
+    return f"CASE WHEN {std} > 0 THEN (close - ({mean} - 2 * {std})) / (4 * {std}) ELSE 0.5D END"
 
 
-def williams_r(n: int = 14, positive: bool = False) -> Column:
+def williams_r(n: int = 14, positive: bool = False) -> str:
     high, low = w.hhv("high", n), w.llv("low", n)
     sign = 100.0 if positive else -100.0
-    return F.when(high > low, (high - F.col("close")) / (high - low) * sign).otherwise(F.lit(sign / 2))
+    return f"CASE WHEN {high} > {low} THEN ({high} - close) / ({high} - {low}) * {sign}D ELSE {sign / 2}D END"
 
 
-def obv() -> Column:
+def obv() -> str:
     """Cumulative volume signed by the close-to-close direction."""
-    step = F.col("close") - F.coalesce("pc", "close")
-    return F.sum(F.signum(step) * F.col("volume")).over(w.so_far())
+    return f"sum(sign({_STEP}) * volume) {w.SO_FAR}"
 
 
-def true_range(terms: int = 3) -> Column:
-    high, low, pc = F.col("high"), F.col("low"), F.col("pc")
-    parts = [high - low, F.abs(high - F.coalesce(pc, low))]
-    if terms == 3:
-        parts.append(F.abs(low - F.coalesce(pc, high)))
-    return F.when(pc.isNull(), high - low).otherwise(F.greatest(*parts))
+def true_range(terms: int = 3) -> str:
+    """Range of the row and its distance to the previous close, with two or three terms."""
+    third = ", abs(low - pc)" if terms == 3 else ""
+    return f"CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc){third}) END"
 
 
 def momentum_columns(df: DataFrame) -> DataFrame:
     """The indicator columns used as brick features: bands, W%R, OBV, ATR, returns, ratios."""
-    out = df.select("*", obv().alias("obv"), true_range(2).alias("tr"), w.pct_change("close").alias("_ret"))
-    bull = F.when(F.col("close") > F.col("pc"), F.lit(1.0)).otherwise(F.lit(0.0))
-    out = out.select(
-        "*",
-        bollinger_b().alias("bb_pct_b"),
-        williams_r().alias("wr_14"),
-        w.ma("obv", 5).alias("obv_ma5"),
-        w.ma("tr", 10).alias("atr_10"),
-        w.ma("tr", 20).alias("atr_20"),
-        (w.rolling_std("_ret", 10) * 100).alias("std_ret_10d"),
-        *[(w.pct_change("close", n) * 100).alias(f"ret_{n}d") for n in (5, 10, 20, 60)],
-        w.over(F.avg(bull), 5).alias("bullish_ratio_5d"),
-        w.over(F.avg(bull), 10).alias("bullish_ratio_10d"),
-        (F.col("close") == w.hhv("high", 20)).alias("new_high_20d"),
-        w.ma("volume", 5).alias("vol_ma5"),
-        w.ma("volume", 20).alias("vol_ma20"),
-        w.ma("turnover", 5).alias("turnover_ma5"),
-        w.ma("turnover", 20).alias("turnover_ma20"),
-        w.hhv("turnover", 60).alias("turnover_max60"),
-        F.coalesce(F.col("macd") > w.ref("macd", 3), F.lit(False)).alias("macd_hist_rising"),
+    bull = "CASE WHEN close > pc THEN 1D ELSE 0D END"
+    return (
+        df.selectExpr("*", f"{obv()} AS obv", f"{true_range(2)} AS tr", "close / pc - 1 AS _ret")
+        .selectExpr(
+            *df.columns,
+            "obv",
+            "tr",
+            f"{bollinger_b()} AS bb_pct_b",
+            f"{williams_r()} AS wr_14",
+            f"{w.ma('obv', 5)} AS obv_ma5",
+            f"{w.ma('tr', 10)} AS atr_10",
+            f"{w.ma('tr', 20)} AS atr_20",
+            f"{w.rolling_std('_ret', 10)} * 100 AS std_ret_10d",
+            *[f"{w.pct_change('close', n)} * 100 AS ret_{n}d" for n in (5, 10, 20, 60)],
+            f"avg({bull}) {w.rows(5)} AS bullish_ratio_5d",
+            f"avg({bull}) {w.rows(10)} AS bullish_ratio_10d",
+            f"close = {w.hhv('high', 20)} AS new_high_20d",
+            f"{w.ma('volume', 5)} AS vol_ma5",
+            f"{w.ma('volume', 20)} AS vol_ma20",
+            f"{w.ma('turnover', 5)} AS turnover_ma5",
+            f"{w.ma('turnover', 20)} AS turnover_ma20",
+            f"{w.hhv('turnover', 60)} AS turnover_max60",
+            f"coalesce(macd > {w.ref('macd', 3)}, false) AS macd_hist_rising",
+        )
+        .selectExpr("*", "obv > obv_ma5 AS obv_trend_up")
     )
-    return out.withColumn("obv_trend_up", F.col("obv") > F.col("obv_ma5")).drop("_ret")

@@ -6,6 +6,7 @@ from importlib import import_module
 
 AREAS = (
     "indicators",
+    "brick",
 )
 
 

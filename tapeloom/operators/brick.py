@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tapeloom.functions import windows as w
 from tapeloom.functions.scalars import change, limit_pct
@@ -19,48 +18,40 @@ FEATURES = (
 
 def limit_flags(df: DataFrame) -> DataFrame:
     """One-word limit-up and limit-down bars, and an open at the upper limit."""
-    limit, move = limit_pct() * 0.99, change("close", "pc")
-    flat = F.abs(F.col("open") - F.col("close")) / F.col("pc") < 0.001
-    known = F.col("pc") > 0
-
-    def flag(cond: Column) -> Column:
-        return F.coalesce(known & cond, F.lit(False))
-
-    return df.select(
-        "*",
-        flag((move >= limit) & flat).alias("one_word_up"),
-        flag((move <= -limit) & flat).alias("one_word_down"),
-        flag(change("open", "pc") >= limit).alias("open_limit_up"),
+    move, flat = change("close", "pc"), "abs(open - close) / pc < 0.001D"
+    return df.selectExpr("*", f"{limit_pct()} AS _lim").selectExpr(
+        *df.columns,
+        f"coalesce(pc > 0 AND {move} >= _lim * 0.99D AND {flat}, false) AS one_word_up",
+        f"coalesce(pc > 0 AND {move} <= -_lim * 0.99D AND {flat}, false) AS one_word_down",
+        f"coalesce(pc > 0 AND {change('open', 'pc')} >= _lim * 0.99D, false) AS open_limit_up",
     )
 
 
 def signal_features(df: DataFrame) -> DataFrame:
     """Feature columns of every row; needs the brick and momentum columns."""
-    close = F.col("close")
 
-    def gap(x: str) -> Column:
-        return F.when(F.col(x) > 0, (close - F.col(x)) / F.col(x) * 100).otherwise(F.lit(0.0))
+    def gap(x: str, name: str) -> str:
+        return f"CASE WHEN {x} > 0 THEN (close - {x}) / {x} * 100 ELSE 0D END AS close_to_{name}_pct"
 
-    first = F.first("brick").over(w.so_far())
-    return df.select(
+    first = f"first(brick) {w.SO_FAR}"
+    return df.selectExpr(
         "*",
-        *[((F.col("brick") - F.coalesce(w.ref("brick", n), first)) / n).alias(f"brick_slope_{n}d") for n in (3, 5)],
-        F.col("brick").alias("brick_value"),
-        (F.col("red_height") / F.greatest(F.abs("green_height"), F.lit(1e-6))).alias("red_green_ratio"),
-        gap("yellow_line").alias("close_to_yellow_pct"),
-        gap("white_line").alias("close_to_white_pct"),
-        *[gap(f"ma{n}").alias(f"close_to_ma{n}_pct") for n in (5, 10, 20, 60)],
-        (F.col("volume") / F.greatest("vol_ma5", F.lit(1.0))).alias("vol_ratio_5"),
-        (F.col("volume") / F.greatest("vol_ma20", F.lit(1.0))).alias("vol_ratio_20"),
-        (F.col("turnover") / F.greatest("turnover_ma5", F.lit(1e-6))).alias("turnover_ratio_5"),
-        w.safe_div("turnover", "turnover_ma20", 0.0).alias("turnover_ratio_20"),
-        w.safe_div("turnover", "turnover_max60", 0.0).alias("turnover_to_60d_max"),
-        (F.col("volume") / w.hhv("volume", 60)).alias("volume_to_60d_max"),
-    ).withColumn(
-        "turnover_extreme_score",
-        0.50 * w.clip(F.col("turnover_ratio_20") / 2.0, 0, 1)
-        + 0.30 * w.clip("turnover_to_60d_max", 0, 1)
-        + 0.20 * w.clip("volume_to_60d_max", 0, 1),
+        *[f"(brick - coalesce({w.ref('brick', n)}, {first})) / {n} AS brick_slope_{n}d" for n in (3, 5)],
+        "brick AS brick_value",
+        "red_height / greatest(abs(green_height), 1e-6D) AS red_green_ratio",
+        gap("yellow_line", "yellow"),
+        gap("white_line", "white"),
+        *[gap(f"ma{n}", f"ma{n}") for n in (5, 10, 20, 60)],
+        "volume / greatest(vol_ma5, 1D) AS vol_ratio_5",
+        "volume / greatest(vol_ma20, 1D) AS vol_ratio_20",
+        "turnover / greatest(turnover_ma5, 1e-6D) AS turnover_ratio_5",
+        f"{w.safe_div('turnover', 'turnover_ma20', '0D')} AS turnover_ratio_20",
+        f"{w.safe_div('turnover', 'turnover_max60', '0D')} AS turnover_to_60d_max",
+        f"volume / {w.hhv('volume', 60)} AS volume_to_60d_max",
+    ).selectExpr(
+        "*",
+        f"0.5D * {w.clip('turnover_ratio_20 / 2', 0, 1)} + 0.3D * {w.clip('turnover_to_60d_max', 0, 1)} "
+        f"+ 0.2D * {w.clip('volume_to_60d_max', 0, 1)} AS turnover_extreme_score",
     )
 
 
@@ -70,119 +61,100 @@ def entry_features(df: DataFrame, source: str = "t1") -> DataFrame:
     ``t0`` uses the averages of the signal row. ``t1`` uses the next row's averages with its close
     replaced by its open, so nothing after the open is read.
     """
-    nxt = {c: F.lead(c).over(w.series()) for c in ("open", "close", "yellow_line", "ma5")}
-    entry_open = F.coalesce(nxt["open"], F.col("open"))
-    if source == "t0":
-        yellow, ma5 = F.col("yellow_line"), F.col("ma5")
-    else:
-        delta = entry_open - F.coalesce(nxt["close"], F.col("close"))
-        share = (1 / 14 + 1 / 28 + 1 / 57 + 1 / 114) / 4
-        yellow = F.coalesce(nxt["yellow_line"], F.col("yellow_line")) + delta * share
-        ma5 = F.coalesce(nxt["ma5"], F.col("ma5")) + delta / 5
-    return df.select(
+    share = (1 / 14 + 1 / 28 + 1 / 57 + 1 / 114) / 4
+    out = df.selectExpr(
         "*",
-        ((entry_open - F.col("close")) / F.col("close") * 100).alias("overnight_gap_pct"),
-        ((entry_open - yellow) / yellow * 100).alias("entry_open_to_yellow_pct"),
-        ((entry_open - ma5) / ma5 * 100).alias("entry_open_to_ma5_pct"),
+        f"coalesce({w.lead('open')}, open) AS _o",
+        f"coalesce({w.lead('open')}, open) - coalesce({w.lead('close')}, close) AS _d",
+        f"coalesce({w.lead('yellow_line')}, yellow_line) AS _y",
+        f"coalesce({w.lead('ma5')}, ma5) AS _m",
+    )
+    yellow, ma5 = ("yellow_line", "ma5") if source == "t0" else (f"(_y + _d * {share!r}D)", "(_m + _d / 5)")
+    return out.selectExpr(
+        *df.columns,
+        "(_o - close) / close * 100 AS overnight_gap_pct",
+        f"(_o - {yellow}) / {yellow} * 100 AS entry_open_to_yellow_pct",
+        f"(_o - {ma5}) / {ma5} * 100 AS entry_open_to_ma5_pct",
     )
 
 
 def sequence_state(df: DataFrame) -> DataFrame:
     """Colour and run state of the brick series. A zero move neither breaks nor extends a run."""
-    before = w.series().rowsBetween(Window.unboundedPreceding, -1)
-    step = F.col("brick") - w.ref("brick")
-    out = df.withColumn("color", F.signum(step)).withColumn("brick_height", F.abs(step))
-    moved = F.col("color") != 0
-    out = out.withColumn("_prev", F.last(F.when(moved, F.col("color")), ignorenulls=True).over(before))
-    out = out.withColumn("_start", moved & (F.col("_prev").isNull() | (F.col("_prev") != F.col("color"))))
-    out = out.withColumn("_run", F.sum(F.when(F.col("_start"), 1).otherwise(0)).over(w.so_far()))
-    in_run = Window.partitionBy(w.KEY, "_run").orderBy(w.ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_pos", F.when(moved, F.count(F.when(moved, 1)).over(in_run)))
-    out = out.withColumn("_done", F.when(F.col("_start"), F.last("_pos", ignorenulls=True).over(before)))
-    prior = F.when(moved, F.last("_done", ignorenulls=True).over(in_run))
-    out = out.select(
-        "*",
-        (F.col("_pos") - 1).alias("same_color_exclusive"),
-        F.col("_pos").alias("reversal_recency"),
-        prior.alias("prior_run_length"),
-    )
-    out = out.withColumn("run_length_ratio", F.col("reversal_recency") / F.col("prior_run_length"))
-    return out.drop("_prev", "_start", "_run", "_pos", "_done")
-
-
-def w_bottom(df: DataFrame, lookbacks=(5, 10), min_down: float = 0.001, rows: Column | None = None) -> DataFrame:
+    out = df.selectExpr("*", f"CAST(sign({w.diff('brick')}) AS DOUBLE) AS color", f"abs({w.diff('brick')}) AS brick_height")
+    out = out.selectExpr("*", f"last(nullif(color, 0D), true) {w.BEFORE} AS _prev")
+    out = out.selectExpr("*", "coalesce(color <> 0 AND (_prev IS NULL OR _prev <> color), false) AS _start")
+    out = out.selectExpr("*", f"count_if(_start) {w.SO_FAR} AS _run")
+    in_run = w.running("code, _run")
+    out = out.selectExpr("*", f"CASE WHEN color <> 0 THEN count_if(color <> 0) {in_run} END AS _pos")
+    out = out.selectExpr("*", f"CASE WHEN _start THEN last(_pos, true) {w.BEFORE} END AS _done")
+    return out.selectExpr(
+        *df.columns,
+        "color",
+        "brick_height",
+        "_pos - 1 AS same_color_exclusive",
+        "_pos AS reversal_recency",
+        f"CASE WHEN color <> 0 THEN last(_done, true) {in_run} END AS prior_run_length",
+    ).selectExpr("*", "reversal_recency / prior_run_length AS run_length_ratio")
+
+
+def w_bottom(df: DataFrame, lookbacks=(5, 10), min_down: float = 0.001, rows: str = "true") -> DataFrame:
     """Two falling legs with a rebound between: contraction of volume and time, retest quality.
 
-    ``rows`` restricts the evaluation to signal rows, after the frames are formed.
+    ``rows`` restricts the evaluation to signal rows, after the frames are formed. Bars of the
+    frame are numbered from 1; leg one spans bars s1..e1 and the last leg s2..e2.
     """
-    longest = max(lookbacks)
-    out = df.withColumn(
-        "_win", F.collect_list(F.struct("close", "low", "volume")).over(w.trailing(longest))
-    )
-    if rows is not None:
-        out = out.filter(rows)
+    out = df.selectExpr("*", f"collect_list(struct(close, low, volume)) {w.rows(max(lookbacks))} AS _win").filter(rows)
+    keep = list(df.columns)
+
+    def part(a: str, b: str) -> str:
+        return f"slice(_w, {a}, greatest({b} - ({a}) + 1, 0))"
+
+    def mean_volume(a: str, b: str) -> str:
+        return f"aggregate({part(a, b)}, 0D, (s, x) -> s + x.volume) / size({part(a, b)})"
+
     for n in lookbacks:
-        out = out.withColumn(
-            "_w", F.when(F.size("_win") > n, F.slice("_win", -n, n)).otherwise(F.col("_win"))
-        ).withColumn("_n", F.size("_w"))
-        steps = F.sequence(F.lit(2), F.col("_n"))
-        out = out.withColumn(
-            "_dn",
-            F.when(
-                F.col("_n") >= 4,
-                F.transform(
-                    steps,
-                    lambda j: F.element_at("_w", j)["close"] / F.element_at("_w", j - 1)["close"] - 1 < -min_down,
-                ),
-            ),
+        out = out.selectExpr(*keep, "_win", f"CASE WHEN size(_win) > {n} THEN slice(_win, -{n}, {n}) ELSE _win END AS _w")
+        out = out.selectExpr(
+            "*",
+            "CASE WHEN size(_w) >= 4 THEN transform(sequence(2, size(_w)), "
+            f"j -> _w[j - 1].close / _w[j - 2].close - 1 < -{min_down}D) END AS _dn",
+        )
+        out = out.selectExpr(
+            "*",
+            "CAST(nullif(array_position(_dn, true), 0) AS INT) AS _s1",
+            "CAST(size(_w) - nullif(array_position(reverse(_dn), true), 0) + 1 AS INT) AS _e2",
         )
-        # Bars are numbered from 1. Leg 1 goes from bar s1 to e1, the last leg from s2 to e2.
-        first = F.array_position("_dn", True)
-        tail = F.slice("_dn", first.cast("int"), F.size("_dn"))
-        stop = F.array_position(tail, False)
-        out = out.withColumn("_s1", F.when(first > 0, first)).withColumn(
-            "_e1", F.when(first > 0, F.when(stop > 0, first + stop - 1).otherwise(F.col("_n").cast("bigint")))
+        # The first false at or after s1 ends leg one; the last false before e2 starts the last leg.
+        out = out.selectExpr(
+            "*",
+            "coalesce(array_min(filter(sequence(1, size(_dn)), j -> j > _s1 AND NOT _dn[j - 1])), size(_w)) AS _e1",
+            "coalesce(array_max(filter(sequence(1, size(_dn)), j -> j < _e2 - 1 AND NOT _dn[j - 1])) + 1, 1) AS _s2",
         )
-        back = F.array_position(F.reverse("_dn"), True)
-        rtail = F.slice(F.reverse("_dn"), back.cast("int"), F.size("_dn"))
-        rstop = F.array_position(rtail, False)
-        out = out.withColumn("_e2", F.when(first > 0, F.col("_n") - back + 1)).withColumn(
-            "_s2", F.when(first > 0, F.when(rstop > 0, F.col("_e2") - rstop + 1).otherwise(F.lit(1)))
+        out = out.selectExpr(
+            "*",
+            "coalesce(_s2 > _e1 AND array_max(transform("
+            + part("_e1", "_s2")
+            + ", x -> x.close)) / _w[_e1 - 1].close - 1 > 0.002D, false) AS _ok",
         )
-
-        def bars(a, b):
-            return F.slice("_w", a.cast("int"), F.greatest(b - a + 1, F.lit(0)).cast("int"))
-
-        def mean_volume(a, b):
-            part = bars(a + 1, b)
-            return F.aggregate(part, F.lit(0.0), lambda s, x: s + x["volume"]) / F.size(part)
-
-        middle = F.transform(bars(F.col("_e1"), F.col("_s2")), lambda x: x["close"])
-        two = F.col("_s2") > F.col("_e1")
-        rebound = F.array_max(middle) / F.element_at(middle, 1) - 1
-        present = F.coalesce(two & (rebound > 0.002), F.lit(False))
-        out = out.withColumn("_ok", present)
-        v1, v2 = mean_volume(F.col("_s1"), F.col("_e1")), mean_volume(F.col("_s2"), F.col("_e2"))
-        t1, t2 = F.col("_e1") - F.col("_s1"), F.col("_e2") - F.col("_s2")
-        low1, low2 = F.element_at("_w", F.col("_e1").cast("int"))["low"], F.element_at("_w", F.col("_e2").cast("int"))["low"]
-        last = F.element_at("_w", F.col("_n"))["close"]
-        vol_c = F.log((v1 + 1) / (v2 + 1))
-        time_c = F.log((t1 + 1) / (t2 + 1))
-        quality = w.clip(1 - F.abs(low2 - low1) / F.greatest(F.abs(last), F.lit(1e-6)), -1, 1)
-        share = 0.5 + F.when(v2 <= v1, 0.25).otherwise(0.0) + F.when(t2 <= t1, 0.25).otherwise(0.0)
-        score = F.greatest(vol_c, F.lit(0.0)) * share * F.greatest(quality, F.lit(0.0))
-        out = out.select(
+        out = out.selectExpr(
             "*",
-            *[
-                F.when(F.col("_ok"), value).otherwise(F.lit(0.0)).alias(f"wbottom_{name}_{n}d")
-                for name, value in (
-                    ("presence", F.lit(1.0)),
-                    ("volume_contraction", vol_c),
-                    ("time_contraction", time_c),
-                    ("retest_quality", quality),
-                    ("score", score),
-                )
-            ],
+            f"CASE WHEN _ok THEN {mean_volume('_s1 + 1', '_e1')} END AS _v1",
+            f"CASE WHEN _ok THEN {mean_volume('_s2 + 1', '_e2')} END AS _v2",
+            "_e1 - _s1 AS _t1",
+            "_e2 - _s2 AS _t2",
+            "CASE WHEN _ok THEN greatest(-1D, least(1D, 1 - abs(_w[_e2 - 1].low - _w[_e1 - 1].low) "
+            "/ greatest(abs(_w[size(_w) - 1].close), 1e-6D))) END AS _q",
+        )
+        share = "(0.5D + CASE WHEN _v2 <= _v1 THEN 0.25D ELSE 0D END + CASE WHEN _t2 <= _t1 THEN 0.25D ELSE 0D END)"
+        measures = {
+            "presence": "1D",
+            "volume_contraction": "ln((_v1 + 1) / (_v2 + 1))",
+            "time_contraction": "ln((_t1 + 1) / (_t2 + 1))",
+            "retest_quality": "_q",
+            "score": f"greatest(ln((_v1 + 1) / (_v2 + 1)), 0D) * {share} * greatest(_q, 0D)",
+        }
+        out = out.selectExpr(
+            *keep, "_win", *[f"CASE WHEN _ok THEN {e} ELSE 0D END AS wbottom_{m}_{n}d" for m, e in measures.items()]
         )
-    out = out.withColumn("exhaustion_score", 0.6 * F.col("wbottom_score_5d") + 0.4 * F.col("wbottom_score_10d"))
-    return out.drop("_win", "_w", "_n", "_dn", "_s1", "_e1", "_s2", "_e2", "_ok")
+        keep += [f"wbottom_{m}_{n}d" for m in measures]
+    return out.selectExpr(*keep, "0.6D * wbottom_score_5d + 0.4D * wbottom_score_10d AS exhaustion_score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import windows as w
@@ -19,30 +19,26 @@ def label_trades(df: DataFrame, placeholders: bool = False) -> DataFrame:
     skipped. ``status`` is closed, open or blocked; values that do not exist are null, or with
     ``placeholders`` the signal close, the signal date, zero return and zero days.
     """
-    falling = F.col("brick") < w.ref("brick")
-    sellable = F.min(F.when(~F.col("one_word_down"), F.struct("rn", "date", "close"))).over(w.ahead())
-    out = df.select(
+    out = df.selectExpr(
         "*",
-        falling.alias("_falling"),
-        sellable.alias("_sell"),
-        F.lead("open").over(w.series()).alias("_open"),
-        F.lead("date").over(w.series()).alias("_date"),
-        F.lead("open_limit_up").over(w.series()).alias("_blocked"),
+        f"brick < {w.ref('brick')} AS _falling",
+        f"min(CASE WHEN NOT one_word_down THEN struct(rn, date, close) END) {w.ahead()} AS _sell",
+        f"{w.lead('open')} AS _open",
+        f"{w.lead('date')} AS _date",
+        f"coalesce(NOT {w.lead('open_limit_up')}, false) AS _in",
     )
-    out = out.withColumn("_exit", F.min(F.when(F.col("_falling"), F.col("_sell"))).over(w.ahead(1)))
-    out = out.filter(F.col("brick_signal"))
-    entered = F.coalesce(~F.col("_blocked"), F.lit(False))
-    closed = entered & F.col("_exit").isNotNull()
-    out = out.select(
+    out = out.selectExpr("*", f"min(CASE WHEN _falling THEN _sell END) {w.ahead(1)} AS _exit").filter("brick_signal")
+    done = "CASE WHEN _in AND _exit IS NOT NULL THEN"
+    out = out.selectExpr(
         *[c for c in df.columns if c != "date"],
-        F.col("date").alias("signal_date"),
-        F.when(closed, "closed").when(entered, "open").otherwise("blocked").alias("status"),
-        F.when(entered, F.col("_date")).alias("entry_date"),
-        F.when(entered, F.col("_open")).alias("entry_price"),
-        F.when(closed, F.col("_exit.date")).alias("exit_date"),
-        F.when(closed, F.col("_exit.close")).alias("exit_price"),
-        F.when(closed, (F.col("_exit.close") - F.col("_open")) / F.col("_open") * 100).alias("return_pct"),
-        F.when(closed, F.col("_exit.rn") - F.col("rn") - 1).alias("hold_days"),
+        "date AS signal_date",
+        f"{done} 'closed' WHEN _in THEN 'open' ELSE 'blocked' END AS status",
+        "CASE WHEN _in THEN _date END AS entry_date",
+        "CASE WHEN _in THEN _open END AS entry_price",
+        f"{done} _exit.date END AS exit_date",
+        f"{done} _exit.close END AS exit_price",
+        f"{done} (_exit.close - _open) / _open * 100 END AS return_pct",
+        f"{done} _exit.rn - rn - 1 END AS hold_days",
     )
     if placeholders:
         out = (
@@ -78,10 +74,10 @@ def position_returns(trades: DataFrame, bars: DataFrame, carry_marks: bool = Tru
     day has no return.
     """
     held = explode_days(trades, "entry_date", "exit_date")
-    marks = bars.select("code", "date", "close", w.ref("close").alias("_pc"))
+    marks = bars.selectExpr("code", "date", "close AS mark", f"{w.ref('close')} AS mark_prev")
     held = asof_join(
         held.select("code", "entry_date", "exit_date", "entry_price", "exit_price", "day"),
-        marks.withColumnsRenamed({"close": "mark", "_pc": "mark_prev"}),
+        marks,
         "code",
         "day",
         "date",
@@ -228,12 +224,7 @@ def stale_valuation(bars: DataFrame, calendar: DataFrame) -> DataFrame:
         "code", F.explode(F.filter("_days", lambda x: x >= F.col("_a"))).alias("date")
     )
     full = grid.join(bars.select("code", "date", "close"), ["code", "date"], "left")
-    return full.select(
-        "code",
-        "date",
-        F.last("close", ignorenulls=True).over(w.so_far()).alias("value"),
-        F.col("close").isNull().alias("stale"),
-    )
+    return full.selectExpr("code", "date", f"last(close, true) {w.SO_FAR} AS value", "close IS NULL AS stale")
 
 
 def exit_rules(
@@ -317,8 +308,8 @@ def strategy_metrics(trades: DataFrame) -> DataFrame:
         (F.col("winning_trades") / F.col("total_trades") * 100).alias("win_rate"),
         F.coalesce("avg_win", F.lit(0.0)).alias("avg_win"),
         F.coalesce("avg_loss", F.lit(0.0)).alias("avg_loss"),
-        F.coalesce(F.abs(w.safe_div("avg_win", "avg_loss")), F.lit(99.0)).alias("wl_ratio"),
-        F.coalesce(F.abs(w.safe_div("_gp", "_gl")), F.lit(99.0)).alias("profit_factor"),
+        F.expr("coalesce(abs(try_divide(avg_win, avg_loss)), 99D)").alias("wl_ratio"),
+        F.expr("coalesce(abs(try_divide(_gp, _gl)), 99D)").alias("profit_factor"),
         "avg_hold_win",
         "avg_hold_loss",
         "best_code",

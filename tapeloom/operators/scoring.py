@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import windows as w
-from tapeloom.functions.ranks import order_rank, pct_rank_avg, top_n
+from tapeloom.functions.ranks import long_ranks, pct_rank_avg, top_n
 from tapeloom.operators.brick import FEATURES
 from tapeloom.operators.joins import small
 
@@ -37,70 +37,68 @@ Z_WEIGHTS = {
 }
 
 
-def _numbers(df: DataFrame, names) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("double") for n in names})
+def dimension_score(df: DataFrame, by: str = "entry_date", keys=("code", "signal_date")) -> DataFrame:
+    """Daily percentile ranks folded into four weighted dimensions and one score in 0..1."""
+    long = long_ranks(df, FEATURES, [*keys, by], by, pct_rank_avg("value", "{by}", 0.5))
+    weights = {f: (d, wt) for d, ws in DIMENSION_FEATURES.items() for f, wt in ws.items()}
+    weight = "CASE feature " + " ".join(f"WHEN '{f}' THEN {wt}D" for f, (_, wt) in weights.items()) + " END"
+    dims = {
+        d: "sum(CASE WHEN feature IN ("
+        + ", ".join(f"'{f}'" for f in ws)
+        + f") THEN rank * {weight} END) / {sum(ws.values())!r}D"
+        for d, ws in DIMENSION_FEATURES.items()
+    }
+    wide = long.groupBy(*keys, by).agg(
+        F.first("row", ignorenulls=True).alias("row"), *[F.expr(e).alias(f"dim_{d}") for d, e in dims.items()]
+    )
+    score = " + ".join(f"dim_{d} * {wt}D" for d, wt in DIMENSIONS.items())
+    return wide.selectExpr("row.*", *[f"dim_{d}" for d in dims], f"{score} AS score")
 
 
-def dimension_score(df: DataFrame, by: str = "entry_date") -> DataFrame:
-    """Daily percentile ranks folded into four weighted dimensions and one score in 0..1."""
-    out = _numbers(df, FEATURES)
-    dims: dict[str, Column] = {}
-    for name, weights in DIMENSION_FEATURES.items():
-        total = sum(weights.values())
-        parts = [pct_rank_avg(f, by, 0.5) * wt for f, wt in weights.items()]
-        dims[f"dim_{name}"] = sum(parts[1:], parts[0]) / total
-    out = out.select("*", *[c.alias(n) for n, c in dims.items()])
-    score = sum((F.col(f"dim_{n}") * wt for n, wt in DIMENSIONS.items()), F.lit(0.0))
-    return out.withColumn("score", score)
-
-
-def rolling_z_score(df: DataFrame, by: str = "entry_date", sessions: int = 60, least: int = 10) -> DataFrame:
+def rolling_z_score(
+    df: DataFrame, by: str = "entry_date", sessions: int = 60, least: int = 10, keys=("code", "signal_date")
+) -> DataFrame:
     """Weighted z scores against the pooled rows of the previous ``sessions`` sessions.
 
-    Each session is reduced to count, sum and sum of squares first; the window then runs over one
-    row per session.
+    Each session is first reduced to count, mean and squared deviation per feature; the window then
+    runs over one row per session and feature, and its result is joined to the rows.
     """
-    out = _numbers(df, FEATURES)
-    per_day = out.groupBy(by).agg(
-        *[F.count(f).alias(f"n_{f}") for f in FEATURES],
-        *[F.sum(f).alias(f"s_{f}") for f in FEATURES],
-        *[F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in FEATURES],
+    long = long_ranks(df, FEATURES, [*keys, by], by, "CAST(NULL AS DOUBLE)")
+    per_day = long.groupBy(by, "feature").agg(
+        F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")
     )
-    past = Window.orderBy(by).rowsBetween(-sessions, -1)
-    days = F.count(F.lit(1)).over(past)
-    stats = per_day.select(
-        by, days.alias("_days"), *[F.sum(f"{k}_{f}").over(past).alias(f"{k}_{f}") for f in FEATURES for k in "nsq"]
-    )
-    for f in FEATURES:
-        n, s, q = F.col(f"n_{f}"), F.col(f"s_{f}"), F.col(f"q_{f}")
-        enough = (F.col("_days") >= least) & (n >= least)
-        stats = stats.withColumn(f"mu_{f}", F.when(enough, s / n)).withColumn(
-            f"sd_{f}", F.when(enough, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
-        )
-    stats = stats.select(by, *[f"{k}_{f}" for f in FEATURES for k in ("mu", "sd")])
-    out = out.join(stats, by, "left")
+    past = w.rows(sessions, 1, "feature", by)
+    stats = per_day.selectExpr(
+        by, "feature", f"count(1) {past} AS days", f"sum(n) {past} AS n", f"sum(s) {past} AS s", f"sum(q) {past} AS q"
+    ).filter(f"days >= {least} AND n >= {least}")
+    stats = stats.selectExpr(by, "feature", "s / n AS mu", "sqrt(greatest((q - s * s / n) / (n - 1), 0D)) AS sd")
     total = sum(Z_WEIGHTS.values())
-    score = F.lit(0.0)
-    for f, wt in Z_WEIGHTS.items():
-        z = F.when(F.col(f"sd_{f}") > 1e-9, (F.col(f) - F.col(f"mu_{f}")) / F.col(f"sd_{f}"))
-        score = score + F.coalesce(z, F.lit(0.0)) * wt / total
-    return out.withColumn("score", score).drop(*[f"{k}_{f}" for f in FEATURES for k in ("mu", "sd")])
+    weight = "CASE feature " + " ".join(f"WHEN '{f}' THEN {wt}D" for f, wt in Z_WEIGHTS.items()) + " END"
+    joined = long.join(stats, [by, "feature"], "left")
+    z = f"sum(CASE WHEN sd > 1e-9D THEN (value - mu) / sd * {weight} / {total!r}D END)"
+    wide = joined.groupBy(*keys, by).agg(
+        F.first("row", ignorenulls=True).alias("row"), F.expr(f"coalesce({z}, 0D)").alias("score")
+    )
+    return wide.select("row.*", "score")
 
 
 def confidence_filter(df: DataFrame, min_score: float) -> DataFrame:
     return df.filter(F.col("score") >= min_score)
 
 
+BEST = "round(score, 12) DESC, code"
+
+
 def pick(df: DataFrame, n: int, by: str = "entry_date") -> DataFrame:
-    return top_n(df, n, by, F.col("score").desc(), "code")
+    """Best ``n`` per session. Scores equal to twelve digits are a tie, broken by code."""
+    return top_n(df, n, by, BEST)
 
 
 def active_cap_ratio(market: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
     """Active cap over its own mean; 1 where the mean is missing. One row per session."""
-    frame = Window.orderBy("date").rowsBetween(-(n - 1), 0)
-    mean = F.when(F.count("active_cap").over(frame) >= least, F.avg("active_cap").over(frame))
-    ratio = F.when(mean != 0, F.col("active_cap") / mean)
-    return market.select("date", "active_cap", F.coalesce(ratio, F.lit(1.0)).alias("cap_ratio"))
+    frame = f"OVER (ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    mean = f"CASE WHEN count(active_cap) {frame} >= {least} THEN avg(active_cap) {frame} END"
+    return market.selectExpr("date", "active_cap", f"coalesce(try_divide(active_cap, {mean}), 1D) AS cap_ratio")
 
 
 def overlay_score(
@@ -110,26 +108,23 @@ def overlay_score(
 
     With ``ratio_max`` the overlay applies only where ``cap_ratio`` is at most that value.
     """
-    base = pct_rank_avg("score", by, 0.5)
     overlay = (
-        0.60 * pct_rank_avg("turnover_extreme_score", by, 0.5)
-        + 0.25 * pct_rank_avg("turnover_to_60d_max", by, 0.5)
-        + 0.15 * pct_rank_avg("volume_to_60d_max", by, 0.5)
+        f"0.6D * {pct_rank_avg('turnover_extreme_score', by, 0.5)} + 0.25D * {pct_rank_avg('turnover_to_60d_max', by, 0.5)}"
+        f" + 0.15D * {pct_rank_avg('volume_to_60d_max', by, 0.5)}"
     )
-    out = df
+    out = df.selectExpr("*", f"{w.clip('1 - abs(coalesce(turnover_extreme_score, 0D) - 0.65D) / 0.65D', 0, 1)} AS _mid")
     if kind == "calm":
-        overlay = 1 - overlay
+        overlay = f"1 - ({overlay})"
     elif kind == "mid":
-        mid = 1.0 - F.abs(F.coalesce("turnover_extreme_score", F.lit(0.0)) - 0.65) / 0.65
-        out = out.withColumn("_mid", w.clip(mid, 0, 1))
         overlay = pct_rank_avg("_mid", by, 0.5)
     elif kind != "extreme":
         raise ValueError(f"unknown overlay: {kind}")
-    out = out.select("*", base.alias("_base"), overlay.alias("overlay_score"))
-    blended = (1 - weight) * F.col("_base") + weight * F.col("overlay_score")
+    out = out.selectExpr("*", f"{pct_rank_avg('score', by, 0.5)} AS _base", f"{overlay} AS overlay_score")
+    blended = f"{(1 - weight)!r}D * _base + {weight!r}D * overlay_score"
     if ratio_max is not None:
-        blended = F.when(F.coalesce("cap_ratio", F.lit(1.0)) <= ratio_max, blended).otherwise(F.col("_base"))
-    return out.withColumn("base_score", F.col("score")).withColumn("score", blended).drop("_base", "_mid")
+        blended = f"CASE WHEN coalesce(cap_ratio, 1D) <= {ratio_max}D THEN {blended} ELSE _base END"
+    keep = [c for c in df.columns if c != "score"]
+    return out.selectExpr(*keep, "overlay_score", "score AS base_score", f"{blended} AS score")
 
 
 def with_market(df: DataFrame, market: DataFrame, on: str = "signal_date") -> DataFrame:
@@ -139,15 +134,13 @@ def with_market(df: DataFrame, market: DataFrame, on: str = "signal_date") -> Da
 
 def market_regime_top_n(df: DataFrame, n: int, by: str = "entry_date") -> DataFrame:
     """Keep n, 70% of n or 40% of n rows per session as the cap ratio falls below 1 and 0.85."""
-    ratio = F.coalesce("cap_ratio", F.lit(1.0))
-    keep = F.when(ratio < 0.85, max(1, -(-n * 4 // 10))).when(ratio < 1.0, max(1, -(-n * 7 // 10))).otherwise(n)
-    ranked = df.withColumn("dynamic_n", keep).withColumn("rank", order_rank(by, F.col("score").desc(), "code"))
-    return ranked.filter((F.col("rank") <= n) & (F.col("rank") <= F.col("dynamic_n")))
+    low, mid = max(1, -(-n * 4 // 10)), max(1, -(-n * 7 // 10))
+    keep = f"CASE WHEN cap_ratio < 0.85D THEN {low} WHEN cap_ratio < 1D THEN {mid} ELSE {n} END AS dynamic_n"
+    return top_n(df.selectExpr("*", keep), n, by, BEST).filter("rank <= dynamic_n")
 
 
 def softmax_weight(df: DataFrame, by: str = "entry_date") -> DataFrame:
     """Softmax of the score within a session, scaled so the weights add up to the group size."""
-    d = w.session(by)
-    e = F.exp(F.col("score") - F.max("score").over(d))
-    out = df.withColumn("_e", e)
-    return out.withColumn("weight", F.col("_e") / F.sum("_e").over(d) * F.count(F.lit(1)).over(d)).drop("_e")
+    d = w.group(by)
+    out = df.selectExpr("*", f"exp(score - max(score) {d}) AS _e")
+    return out.selectExpr("*", f"_e / sum(_e) {d} * count(1) {d} AS weight").drop("_e")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions import windows as w
 from tapeloom.functions.ranks import top_n_group_cap
 from tapeloom.functions.scalars import limit_pct
 from tapeloom.operators import brick, outcomes, scoring
@@ -91,10 +92,8 @@ ORACLES["brick_features"] = sql(
 
 def limit_predicates(spark, d):
     b = bars(spark, d)
-    from tapeloom.functions import windows as w
-
-    rows = brick.limit_flags(b.select("*", w.ref("close").alias("pc")))
-    return out(rows.select("code", "date", limit_pct().alias("limit_pct"), "one_word_up", "one_word_down", "open_limit_up"), "*")
+    rows = brick.limit_flags(b.selectExpr("*", f"{w.ref('close')} AS pc"))
+    return out(rows.selectExpr("code", "date", f"{limit_pct()} AS limit_pct", "one_word_up", "one_word_down", "open_limit_up"), "*")
 
 
 QUERIES["limit_predicates"] = limit_predicates
@@ -147,7 +146,7 @@ LEFT JOIN (SELECT n.code, n.date, row_number() OVER (PARTITION BY n.code, n.run
 
 
 def w_bottom(spark, d):
-    rows = brick.w_bottom(plan.rows(bars(spark, d)), rows=F.col("brick_signal"))
+    rows = brick.w_bottom(plan.rows(bars(spark, d)), rows="brick_signal")
     names = [f"wbottom_{x}_{n}d" for n in (5, 10) for x in ("presence", "volume_contraction", "time_contraction", "retest_quality", "score")]
     return out(rows, "code date exhaustion_score", *names)
 
@@ -177,11 +176,11 @@ QUERIES["w_bottom"] = w_bottom
 ORACLES["w_bottom"] = sql(
     "SELECT code, date, "
     + ", ".join(
-        f"round(coalesce(w{n}.{x}, 0.0), 6) + 0.0 AS wbottom_{x}_{n}d"
+        f"round(CAST(coalesce(w{n}.{x}, 0.0) AS DOUBLE), 6) + 0.0 AS wbottom_{x}_{n}d"
         for n in (5, 10)
         for x in ("presence", "volume_contraction", "time_contraction", "retest_quality", "score")
     )
-    + ", round(0.6*coalesce(w5.score, 0.0) + 0.4*coalesce(w10.score, 0.0), 6) + 0.0 AS exhaustion_score"
+    + ", round(CAST(0.6*coalesce(w5.score, 0.0) + 0.4*coalesce(w10.score, 0.0) AS DOUBLE), 6) + 0.0 AS exhaustion_score"
     + " FROM bricks b LEFT JOIN wb5 w5 ON w5.code = b.code AND w5.srn = b.rn LEFT JOIN wb10 w10 ON w10.code = b.code AND w10.srn = b.rn WHERE brick_signal",
     "bricks",
 ).replace("\nSELECT code, date,", f",\n{_wb(5)},\n{_wb(10)}\nSELECT b.code, b.date,", 1)
@@ -306,7 +305,7 @@ FROM scored s LEFT JOIN market m ON m.date = s.signal_date) WHERE rank <= dynami
 def group_cap_picks(spark, d):
     s = plan.scored(bars(spark, d)).join(wh.industry(spark, d), "code", "left")
     return out(
-        top_n_group_cap(s, 5, 1, "entry_date", "industry", F.col("score").desc(), "code"), "code entry_date industry score rank"
+        top_n_group_cap(s, 5, 1, "entry_date", "industry", scoring.BEST), "code entry_date industry score rank"
     )
 
 
@@ -314,7 +313,7 @@ QUERIES["group_cap_picks"] = group_cap_picks
 ORACLES["group_cap_picks"] = sql(
     f"""SELECT code, entry_date, industry, {r("score")}, CAST(rank AS INT) AS rank FROM (
 SELECT *, row_number() OVER (PARTITION BY entry_date ORDER BY round(score, 12) DESC, code) AS rank FROM (
-SELECT *, row_number() OVER (PARTITION BY entry_date, industry ORDER BY round(score, 12) DESC, code) AS k FROM scored LEFT JOIN industry USING (code)) WHERE k = 1) WHERE rank <= 5""",
+SELECT *, row_number() OVER (PARTITION BY entry_date, industry ORDER BY round(score, 12) DESC, code) AS in_group FROM scored LEFT JOIN industry USING (code)) WHERE in_group = 1) WHERE rank <= 5""",
     "scored",
     "industry",
 )
@@ -396,18 +395,27 @@ QUERIES["active_position_returns"] = active_position_returns
 ORACLES["active_position_returns"] = sql(f"SELECT code, entry_date, exit_date, day, {r('ret')} FROM posret", "posret")
 
 
+def _log_nav(nav):
+    """Prices of the given tables jump by multiples, so net value is compared as its logarithm."""
+    return nav.selectExpr("*", "ln(nav) AS log_nav")
+
+
+def _log_pct(df, *names):
+    return df.selectExpr(*[f"100 * ln(1 + {c} / 100) AS {c}" if c in names else c for c in df.columns])
+
+
 def signal_quality_nav(spark, d):
     b = bars(spark, d)
-    return out(outcomes.add_nav(outcomes.daily_returns(plan.closed_trades(b), b)), "day active ret nav drawdown")
+    return out(_log_nav(outcomes.add_nav(outcomes.daily_returns(plan.closed_trades(b), b))), "day active ret log_nav drawdown")
 
 
 QUERIES["signal_quality_nav"] = signal_quality_nav
-ORACLES["signal_quality_nav"] = sql(f"SELECT day, active, {r('ret nav drawdown')} FROM nav", "nav")
+ORACLES["signal_quality_nav"] = sql(f"SELECT day, active, {r('ret log_nav drawdown')} FROM (SELECT *, ln(nav) AS log_nav FROM nav)", "nav")
 
 
 def nav_metrics(spark, d):
     b = bars(spark, d)
-    return out(outcomes.nav_metrics(outcomes.daily_returns(plan.closed_trades(b), b)), "*")
+    return out(_log_pct(outcomes.nav_metrics(outcomes.daily_returns(plan.closed_trades(b), b)), "cum_return_pct", "cagr_pct").drop("sharpe", "calmar"), "*")
 
 
 NAV_METRICS = """SELECT days, (l - 1)*100 AS cum_return_pct, ann*100 AS cagr_pct, dd*100 AS max_drawdown_pct, CASE WHEN vol > 0 THEN (ann - 0.02)/vol ELSE 0 END AS sharpe,
@@ -415,16 +423,16 @@ NAV_METRICS = """SELECT days, (l - 1)*100 AS cum_return_pct, ann*100 AS cagr_pct
 SELECT count(*) AS days, arg_max(nav, day) AS l, min(drawdown) AS dd, stddev_samp(ret)*sqrt(252) AS vol, 100*avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS daily_win_pct, 100*avg(ret) AS daily_avg_pct FROM nav))"""
 QUERIES["nav_metrics"] = nav_metrics
 ORACLES["nav_metrics"] = sql(
-    f"SELECT days, {r('cum_return_pct cagr_pct max_drawdown_pct sharpe calmar daily_win_pct daily_avg_pct')} FROM ({NAV_METRICS})", "nav"
+    f"SELECT days, {r('cum_return_pct cagr_pct max_drawdown_pct daily_win_pct daily_avg_pct')} FROM (SELECT * REPLACE (100*ln(1 + cum_return_pct/100) AS cum_return_pct, 100*ln(1 + cagr_pct/100) AS cagr_pct) FROM ({NAV_METRICS}))", "nav"
 )
 
 
 def drawdown_and_monthly_sharpe(spark, d):
     b = bars(spark, d)
-    return out(outcomes.drawdown_and_monthly_sharpe(outcomes.daily_returns(plan.closed_trades(b), b)), "*")
+    return out(_log_pct(outcomes.drawdown_and_monthly_sharpe(outcomes.daily_returns(plan.closed_trades(b), b)), "total_return_pct"), "*")
 
 
-MONTHLY = """SELECT count(ret) AS months, min(dd)*100 AS max_drawdown_pct, (arg_max(nav, month) - 1)*100 AS total_return_pct, coalesce(avg(ret)/stddev_samp(ret)*sqrt(12), 0) AS monthly_sharpe
+MONTHLY = """SELECT count(ret) AS months, min(dd)*100 AS max_drawdown_pct, 100*ln(arg_max(nav, month)) AS total_return_pct, coalesce(avg(ret)/stddev_samp(ret)*sqrt(12), 0) AS monthly_sharpe
 FROM (SELECT *, nav/lag(nav) OVER (ORDER BY month) - 1 AS ret FROM (SELECT date_trunc('month', day) AS month, arg_max(nav, day) AS nav, min(drawdown) AS dd FROM nav GROUP BY 1))"""
 QUERIES["drawdown_and_monthly_sharpe"] = drawdown_and_monthly_sharpe
 ORACLES["drawdown_and_monthly_sharpe"] = sql(f"SELECT months, {r('max_drawdown_pct total_return_pct monthly_sharpe')} FROM ({MONTHLY})", "nav")
@@ -433,7 +441,7 @@ ORACLES["drawdown_and_monthly_sharpe"] = sql(f"SELECT months, {r('max_drawdown_p
 def stitched_nav(spark, d):
     b = bars(spark, d)
     t = plan.closed_trades(b)
-    return out(outcomes.stitch_nav(_folds(t, b)), "day active ret nav drawdown")
+    return out(_log_nav(outcomes.stitch_nav(_folds(t, b))), "day active ret log_nav drawdown")
 
 
 def _folds(t, b):
@@ -453,7 +461,7 @@ LEFT JOIN (SELECT day, sum(cost) AS cost FROM (SELECT entry_date AS day, 0.00125
 
 QUERIES["stitched_nav"] = stitched_nav
 ORACLES["stitched_nav"] = sql(
-    f"""SELECT day, active, {r("ret nav drawdown")} FROM (SELECT *, nav/max(nav) OVER (ORDER BY day) - 1 AS drawdown FROM (SELECT *, product(1 + ret) OVER (ORDER BY day) AS nav FROM (
+    f"""SELECT day, active, {r("ret log_nav drawdown")} FROM (SELECT *, ln(nav) AS log_nav, nav/max(nav) OVER (ORDER BY day) - 1 AS drawdown FROM (SELECT *, product(1 + ret) OVER (ORDER BY day) AS nav FROM (
 SELECT day, arg_min(ret, f) AS ret, arg_min(active, f) AS active FROM (SELECT *, 1 AS f FROM {_daily_sql("entry_date < '1999-01-01'")} UNION ALL SELECT *, 2 FROM {_daily_sql("entry_date >= '1999-01-01'")}) GROUP BY day)))""",
     "posret",
 )
@@ -462,7 +470,7 @@ SELECT day, arg_min(ret, f) AS ret, arg_min(active, f) AS active FROM (SELECT *,
 def strategy_metrics(spark, d):
     b = bars(spark, d)
     t = plan.closed_trades(b)
-    curve = outcomes.drawdown_and_monthly_sharpe(outcomes.daily_returns(t, b))
+    curve = _log_pct(outcomes.drawdown_and_monthly_sharpe(outcomes.daily_returns(t, b)), "total_return_pct")
     m = outcomes.strategy_metrics(t)
     joined = m.withColumns({c: curve.select(c).scalar() for c in ("max_drawdown_pct", "total_return_pct", "monthly_sharpe")})
     return out(outcomes.composite_score(joined), "*")
@@ -494,7 +502,7 @@ def compare_to_target(spark, d):
 
 QUERIES["compare_to_target"] = compare_to_target
 ORACLES["compare_to_target"] = sql(
-    f"""SELECT metric, {r("current target delta")}, CASE WHEN delta > 0 THEN 'WIN' ELSE 'LOSE' END AS status, round(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0 END) OVER (), 6) AS win_share FROM (
+    f"""SELECT metric, {r("current target delta")}, CASE WHEN delta > 0 THEN 'WIN' ELSE 'LOSE' END AS status, round(CAST(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0 END) OVER () AS DOUBLE), 6) AS win_share FROM (
 SELECT metric, current, target, CASE WHEN metric = 'worst_pct' THEN target - current ELSE current - target END AS delta FROM (
 SELECT UNNEST([{{'metric': 'win_rate', 'current': win_rate, 'target': 45.0}}, {{'metric': 'profit_factor', 'current': profit_factor, 'target': 1.5}}, {{'metric': 'avg_win', 'current': avg_win, 'target': 20.0}}, {{'metric': 'worst_pct', 'current': abs(worst_pct), 'target': 60.0}}], recursive := true)
 FROM ({STRATEGY})))""",

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BooleanType, DoubleType, FloatType
 
 from tapeloom.operators import indicators as ind
 from tapeloom.sources import warehouse as wh
 
 
-def out(df: DataFrame, *names: str | Column, n: int = 6) -> DataFrame:
+def out(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
     """Select ``names``, round doubles to ``n`` digits and write booleans as 0/1."""
-    df = df.select(*[x for name in names for x in (name.split() if isinstance(name, str) else [name])])
-    return df.select(
+    wanted = [x for name in names for x in name.split()]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if wanted == ["*"]:
+        wanted = df.columns
+    return df.selectExpr(
         *[
-            F.round(F.col(f.name).cast("double"), n).alias(f.name)
-            if isinstance(f.dataType, (DoubleType, FloatType))
-            else F.col(f.name).cast("int").alias(f.name)
-            if isinstance(f.dataType, BooleanType)
-            else F.col(f.name)
-            for f in df.schema.fields
+            f"round(CAST({c} AS DOUBLE), {n}) AS {c}"
+            if isinstance(kinds[c], (DoubleType, FloatType))
+            else f"CAST({c} AS INT) AS {c}"
+            if isinstance(kinds[c], BooleanType)
+            else c
+            for c in wanted
         ]
     )
 

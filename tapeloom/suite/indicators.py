@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tapeloom.functions import windows as w
 from tapeloom.operators import indicators as ind
 from tapeloom.suite.common import bars, indicators, out
@@ -16,18 +14,18 @@ QUERIES, ORACLES = {}, {}
 def moving_windows(spark, d):
     b = bars(spark, d)
     return out(
-        b.select(
+        b.selectExpr(
             "code",
             "date",
-            w.ma("close", 20).alias("ma20"),
-            w.hhv("high", 10).alias("hhv10"),
-            w.llv("low", 10).alias("llv10"),
-            w.ref("close", 3).alias("ref3"),
-            w.exist(F.col("close") > F.col("open") * 1.04, 5).alias("exist5"),
-            w.pct_change("close", 5).alias("pct5"),
-            w.diff("close", 2).alias("diff2"),
-            w.rolling_std("close", 20, 1).alias("std_sample"),
-            w.rolling_std("close", 20, 0).alias("std_pop"),
+            f"{w.ma('close', 20)} AS ma20",
+            f"{w.hhv('high', 10)} AS hhv10",
+            f"{w.llv('low', 10)} AS llv10",
+            f"{w.ref('close', 3)} AS ref3",
+            f"{w.exist('close > open * 1.04D', 5)} AS exist5",
+            f"{w.pct_change('close', 5)} AS pct5",
+            f"{w.diff('close', 2)} AS diff2",
+            f"{w.rolling_std('close', 20, 1)} AS std_sample",
+            f"{w.rolling_std('close', 20, 0)} AS std_pop",
         ),
         "*",
     )
@@ -45,18 +43,18 @@ SELECT code, date, avg(close) OVER {sw(20)} AS ma20, max(high) OVER {sw(10)} AS
 
 
 def rolling_statistics(spark, d):
-    b = bars(spark, d).select("*", w.row_index().alias("rn"), w.pct_change("close").alias("ret"))
-    b = b.withColumn("ret_lag", w.ref("ret"))
+    b = bars(spark, d).selectExpr("*", f"{w.ROW_INDEX} AS rn", f"{w.pct_change('close')} AS ret")
+    b = b.selectExpr("*", f"{w.ref('ret')} AS ret_lag")
     return out(
-        b.select(
+        b.selectExpr(
             "code",
             "date",
-            w.rolling_pct_rank("volume", 20, 5).alias("rank_pct"),
-            w.rolling_median("volume", 20, 15).alias("median20"),
-            w.rolling_corr("ret", "ret_lag", 20, 10).alias("autocorr"),
-            w.rolling_slope("close", 10, 3).alias("slope10"),
-            w.argmax("high", "date", 20).alias("peak_date"),
-            w.argmin("low", "date", 20).alias("trough_date"),
+            f"{w.rolling_pct_rank('volume', 20, 5)} AS rank_pct",
+            f"{w.rolling_median('volume', 20, 15)} AS median20",
+            f"{w.rolling_corr('ret', 'ret_lag', 20, 10)} AS autocorr",
+            f"{w.rolling_slope('close', 10, 3)} AS slope10",
+            f"{w.argmax('high', 'date', 20)} AS peak_date",
+            f"{w.argmin('low', 'date', 20)} AS trough_date",
         ),
         "*",
     )
@@ -79,17 +77,17 @@ FROM (SELECT *, list(volume) OVER {sw(20)} AS l, count(*) OVER {sw(20)} AS n, me
 
 
 def cumulative_windows(spark, d):
-    b = bars(spark, d).select("*", w.row_index().alias("rn"), w.ref("close").alias("pc"))
-    up = F.col("close") > F.col("pc")
+    b = bars(spark, d).selectExpr("*", f"{w.ROW_INDEX} AS rn", f"{w.ref('close')} AS pc")
+    up = "close > pc"
     return out(
-        b.select(
+        b.selectExpr(
             "code",
             "date",
-            w.cumulative(F.sum("volume")).alias("cum_volume"),
-            w.cumulative(F.max("close")).alias("cum_max"),
-            w.running_product(F.lit(1) + F.least(F.abs(F.col("close") / F.col("pc") - 1), F.lit(0.01))).alias("growth"),
-            w.last_event(up, "date").alias("last_up_date"),
-            w.run_length(up).alias("up_run"),
+            f"sum(volume) {w.SO_FAR} AS cum_volume",
+            f"max(close) {w.SO_FAR} AS cum_max",
+            f"exp(sum(ln(1 + least(abs(close / pc - 1), 0.01D))) {w.SO_FAR}) AS growth",
+            f"{w.last_event(up, 'date')} AS last_up_date",
+            f"{w.run_length(up)} AS up_run",
         ),
         "*",
     )
@@ -160,7 +158,7 @@ ORACLES["position_flags"] = sql(
 def rsi_variants(spark, d):
     df = indicators(spark, d)
     return out(
-        df.select("code", "date", "rsi_6", "rsi_14", ind.rsi_simple().alias("rsi_simple"), ind.rsi_sum().alias("rsi_sum")), "*"
+        df.selectExpr("code", "date", "rsi_6", "rsi_14", f"{ind.rsi_simple()} AS rsi_simple", f"{ind.rsi_sum()} AS rsi_sum"), "*"
     )
 
 
@@ -197,20 +195,20 @@ FROM (SELECT *, close/pc - 1 AS ret, stddev_samp(close) OVER {sw(20)} AS sd, std
 
 
 def band_and_range_indicators(spark, d):
-    df = ind.momentum_columns(indicators(spark, d)).withColumn("tr3", ind.true_range(3))
+    df = ind.momentum_columns(indicators(spark, d)).selectExpr("*", f"{ind.true_range(3)} AS tr3")
     return out(
-        df.select(
+        df.selectExpr(
             "code",
             "date",
             "bb_pct_b",
-            ind.bollinger_b(20, 0).alias("bb_pct_pop"),
+            f"{ind.bollinger_b(20, 0)} AS bb_pct_pop",
             "wr_14",
             "obv",
             "obv_ma5",
             "obv_trend_up",
             "atr_10",
             "atr_20",
-            w.ma("tr3", 14).alias("atr_14"),
+            f"{w.ma('tr3', 14)} AS atr_14",
             "std_ret_10d",
         ),
         "*",

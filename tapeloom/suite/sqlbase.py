@@ -30,7 +30,7 @@ def sql(body: str, *names: str) -> str:
 
 def r(names: str, n: int = 6) -> str:
     """``round(x, n) AS x`` for each name; adding 0.0 turns a negative zero into zero."""
-    return ", ".join(f"round({x}, {n}) + 0.0 AS {x}" for x in names.split())
+    return ", ".join(f"round(CAST({x} AS DOUBLE), {n}) + 0.0 AS {x}" for x in names.split())
 
 
 def i(names: str) -> str:

@@ -7,6 +7,7 @@ from importlib import import_module
 AREAS = (
     "indicators",
     "brick",
+    "waves",
 )
 
 

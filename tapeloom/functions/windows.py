@@ -91,7 +91,10 @@ def rolling_std(x: str, n: int, ddof: int = 1) -> str:
 
 
 def rolling_corr(x: str, y: str, n: int, min_periods: int = 2) -> str:
-    return over(f"corr({x}, {y})", n, min_periods, of=f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END")
+    """Pearson correlation of the pairs in the frame; null where one side does not vary."""
+    a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+    value = f"try_divide(covar_pop({x}, {y}) {rows(n)}, stddev_pop({a}) {rows(n)} * stddev_pop({b}) {rows(n)})"
+    return f"CASE WHEN count({a}) {rows(n)} >= {min_periods} THEN {value} END"
 
 
 def rolling_slope(y: str, n: int, min_periods: int = 2) -> str:

@@ -303,8 +303,8 @@ def s1_flags(df: DataFrame, prev_ratio: float = 1.5, ma20_ratio: float = 2.0, bu
         f"max(volume) {prior} AS _vmax_prior",
         f"max_by(close, struct(high, -rn)) {run} AS _high_close",
     )
-    out = out.selectExpr("*", "least(high, _h1) AS _d1").selectExpr("*", f"max(_d1) {prior} AS _h2")
-    out = out.selectExpr("*", "least(_d1, _h2) AS _d2").selectExpr("*", f"max(_d2) {run} AS _h3")
+    out = out.selectExpr("*", "CASE WHEN _h1 IS NOT NULL THEN least(high, _h1) END AS _d1").selectExpr("*", f"max(_d1) {prior} AS _h2")
+    out = out.selectExpr("*", "CASE WHEN _h2 IS NOT NULL THEN least(_d1, _h2) END AS _d2").selectExpr("*", f"max(_d2) {run} AS _h3")
     near_top = " OR ".join(
         f"(rn - {k} >= wave_start AND coalesce({w.ref('high', k)} >= _h3, true))" for k in (1, 2, 3)
     )

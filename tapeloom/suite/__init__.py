@@ -8,6 +8,7 @@ AREAS = (
     "indicators",
     "brick",
     "waves",
+    "features",
 )
 
 

@@ -278,7 +278,7 @@ def super_b1(df: DataFrame, j_max: float = 34, rebound: float = 20, current_max:
 
 def shrink_ratio(df: DataFrame, n: int = 20) -> DataFrame:
     """Volume against the largest of the last ``n`` rows inside the wave."""
-    return df.selectExpr("*", f"volume / max(volume) {w.rows(n, 0, 'code, wave_from')} AS vol_vs_wave_peak")
+    return df.selectExpr("*", f"CASE WHEN wave_from IS NOT NULL THEN volume / max(volume) {w.rows(n, 0, 'code, wave_from')} END AS vol_vs_wave_peak")
 
 
 def s1_flags(df: DataFrame, prev_ratio: float = 1.5, ma20_ratio: float = 2.0, bull_ratio: float = 0.9, price_pos: float = 0.7) -> DataFrame:

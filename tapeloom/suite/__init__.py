@@ -9,6 +9,7 @@ AREAS = (
     "brick",
     "waves",
     "features",
+    "ticks",
 )
 
 

@@ -10,6 +10,8 @@ AREAS = (
     "waves",
     "features",
     "ticks",
+    "market",
+    "stats",
 )
 
 

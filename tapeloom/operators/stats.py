@@ -105,7 +105,7 @@ def residual_rank_ic(df: DataFrame, factor: str, controls: Sequence[str], label:
         import pandas as pd
 
         rows = pdf.dropna()
-        empty = pd.DataFrame({"key": [], "rows": [], "ic": [], "r2": []})
+        empty = pd.DataFrame({c: pd.Series([], dtype="object") for c in ("key", "rows", "ic", "r2")})
         if len(rows) < need:
             return empty
         y = rows["_y"].to_numpy(float)

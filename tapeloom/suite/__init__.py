@@ -12,6 +12,7 @@ AREAS = (
     "ticks",
     "market",
     "stats",
+    "quality",
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.types import BooleanType, DoubleType, FloatType
 
 from tapeloom.operators import indicators as ind
 from tapeloom.sources import warehouse as wh
+from tapeloom.suite.sqlbase import SHAPED
 
 
 def out(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
@@ -17,7 +18,7 @@ def out(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
         wanted = df.columns
     return df.selectExpr(
         *[
-            f"round(CAST({c} AS DOUBLE), {n}) AS {c}"
+            (f"{SHAPED.format(x=f'CAST({c} AS DOUBLE)')} AS {c}" if n == 6 else f"round(CAST({c} AS DOUBLE), {n}) AS {c}")
             if isinstance(kinds[c], (DoubleType, FloatType))
             else f"CAST({c} AS INT) AS {c}"
             if isinstance(kinds[c], BooleanType)

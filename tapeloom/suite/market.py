@@ -158,7 +158,7 @@ FROM (SELECT *, CASE WHEN rng IS NOT NULL THEN greatest(0, least(1, 1 - abs((hig
  CASE WHEN h20 > l20 THEN greatest(0, least(1, 1 - (close - l20)/(h20 - l20))) END AS support_score,
  CASE WHEN len(dl) >= 20 AND dd IS NOT NULL THEN (len(list_filter(dl, lambda x: x < dd)) + (len(list_filter(dl, lambda x: x = dd)) + 1)/2.0)/len(dl) END AS pullback_percentile,
  CASE WHEN n20 >= 5 THEN 1/(1 + stddev_pop(volume) OVER {sw(20)}/avg(volume) OVER {sw(20)}) END AS volume_equilibrium,
- CASE WHEN abs_ret > 0 THEN greatest(0, least(1, abs(close/lag(close, 10) OVER {S} - 1)/abs_ret)) END AS path_efficiency,
+ CASE WHEN abs_ret > 0 AND lag(close, 10) OVER {S} IS NOT NULL THEN greatest(0, least(1, abs(close/lag(close, 10) OVER {S} - 1)/abs_ret)) END AS path_efficiency,
  CASE WHEN n_ret >= 5 THEN abs(sum(sign(ret)) OVER {sw(10)})/n_ret END AS path_consistency,
  -((h10 - l10)/close) AS range_width_10, -((h20 - l20)/close) AS range_width_20, -((h40 - l40)/close) AS range_width_40,
  ((h60 - l60)/close - (h20 - l20)/close)/nullif((h60 - l60)/close, 0) AS range_narrowing,

@@ -127,13 +127,13 @@ ORACLES["erd_features"] = sql(
 
 
 def residual_rank_ic(spark, d):
-    return out(stats.residual_rank_ic(panel(spark, d), "body_abs", ["volume_rank", "atr_pct"], "return_pct", least=6), "*")
+    return out(stats.residual_rank_ic(panel(spark, d).filter("rn > 20"), "body_abs", ["volume_rank", "atr_pct"], "return_pct", least=6), "*")
 
 
 QUERIES["residual_rank_ic"] = residual_rank_ic
 ORACLES["residual_rank_ic"] = sql(
     f"""SELECT date, rows, {r('rank_ic r2')} FROM (SELECT date, count(*) AS rows, corr(ra, rb) AS rank_ic, any_value(residual_r2) AS r2 FROM (SELECT date, residual_r2, {_ar('residual', 'date')} AS ra, {_ar('return_pct', 'date')} AS rb FROM (
-SELECT date, return_pct, residual_r2, round(residual, 13) AS residual FROM ({_resid('(PARTITION BY date)', 7, 'NULL')})) WHERE residual IS NOT NULL) GROUP BY date)""",
+SELECT date, return_pct, residual_r2, round(residual, 13) AS residual FROM ({_resid('(PARTITION BY date)', 7, 'NULL').replace("FROM panel WHERE", "FROM panel WHERE rn > 20 AND")})) WHERE residual IS NOT NULL) GROUP BY date)""",
     "panel",
 )
 
@@ -386,7 +386,7 @@ def parameter_grid(spark, d):
 QUERIES["parameter_grid"] = parameter_grid
 ORACLES["parameter_grid"] = sql(
     f"""SELECT CAST(id AS INT) AS param_id, trades, entry_days, {r('win_rate_pct avg_return_pct median_return_pct std_return_pct avg_hold_days')} FROM (SELECT id, count(*) AS trades, count(DISTINCT entry_date) AS entry_days, 100*avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0 END) AS win_rate_pct, avg(return_pct) AS avg_return_pct, median(return_pct) AS median_return_pct,
- coalesce(stddev_samp(return_pct), 0) AS std_return_pct, avg(hold_days) AS avg_hold_days FROM closed JOIN (VALUES (1, 0.0, 1.0), (2, 0.2, 1.0), (3, 0.0, 1.5), (4, 0.2, 2.0)) g(id, gain, ratio) ON red_height/100 >= gain AND vol_ratio_20 <= ratio GROUP BY id)""",
+ coalesce(stddev_samp(return_pct), 0) AS std_return_pct, avg(hold_days) AS avg_hold_days FROM closed JOIN (VALUES (1, 0.0, 1.0), (2, 0.2, 1.0), (3, 0.0, 1.5), (4, 0.2, 2.0)) pg(id, min_gain, max_ratio) ON red_height/100 >= min_gain AND vol_ratio_20 <= max_ratio GROUP BY id)""",
     "closed",
 )
 

@@ -475,7 +475,7 @@ def action_chain_affine(actions: DataFrame) -> DataFrame:
 
 
 # Unit errors looked for, and the evidence a regime needs.
-UNIT_CANDIDATES = (100.0, 10.0, 1000.0)
+UNIT_CANDIDATES = (2.0, 2.5, 4.0, 5.0, 10.0, 20.0, 25.0, 40.0, 50.0, 100.0, 500.0)
 REGIME_ROWS = 20
 REGIME_SHARE = 0.8
 

@@ -13,6 +13,8 @@ AREAS = (
     "market",
     "stats",
     "quality",
+    "flows",
+    "catalog",
 )
 
 

@@ -463,7 +463,7 @@ def repair_trade_units(spark, d):
     b = bars(spark, d).selectExpr(
         "code", "date", "low AS low_raw", "high AS high_raw", "close_raw",
         "volume * CASE WHEN year(date) = 1997 THEN 100 WHEN year(date) = 1999 AND month(date) < 7 THEN 0.1D ELSE 1 END AS volume", "amount")
-    return out(q.repair_trade_units(b, least=10), "code date volume amount unit_repair")
+    return out(q.repair_trade_units(b, candidates=(100.0, 10.0), least=10), "code date volume amount unit_repair")
 
 
 QUERIES["repair_trade_units"] = repair_trade_units

@@ -15,6 +15,7 @@ AREAS = (
     "quality",
     "flows",
     "catalog",
+    "patterns",
 )
 
 

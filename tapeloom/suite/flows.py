@@ -65,8 +65,8 @@ ORACLES["concept_alignment"] = sql(
 cte(
     "reluct",
     """SELECT code, n, net_slope, out_slope, turn_slope, ratio_slope, up/(n - 1) AS consistency, greatest(0, least(100, 50 + CASE WHEN ao > 0 THEN least(25, greatest(-25, -out_slope/(ao/n)*25)) ELSE 0 END + CASE WHEN an > 0 THEN least(15, greatest(-15, net_slope/(an/n)*15)) ELSE 0 END + up/(n - 1)*10
- + CASE WHEN at > 0 THEN least(10, greatest(-10, -turn_slope/(at/n)*10)) ELSE 0 END)) AS reluctance_score, CASE WHEN net_slope > 0.05 THEN 'shrinking' WHEN net_slope < -0.05 THEN 'expanding' ELSE 'flat' END AS trend FROM (
-SELECT code, count(*) AS n, regr_slope(net_flow, i) AS net_slope, regr_slope(outflow, i) AS out_slope, regr_slope(turnover, i) AS turn_slope, regr_slope(ratio, i) AS ratio_slope, count(*) FILTER (net_flow > p) AS up, avg(abs(outflow)) AS ao, avg(abs(net_flow)) AS an, avg(turnover) AS at
+ + CASE WHEN atv > 0 THEN least(10, greatest(-10, -turn_slope/(atv/n)*10)) ELSE 0 END)) AS reluctance_score, CASE WHEN net_slope > 0.05 THEN 'shrinking' WHEN net_slope < -0.05 THEN 'expanding' ELSE 'flat' END AS trend FROM (
+SELECT code, count(*) AS n, regr_slope(net_flow, i) AS net_slope, regr_slope(outflow, i) AS out_slope, regr_slope(turnover, i) AS turn_slope, regr_slope(ratio, i) AS ratio_slope, count(*) FILTER (net_flow > p) AS up, avg(abs(outflow)) AS ao, avg(abs(net_flow)) AS an, avg(turnover) AS atv
 FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS i, lag(net_flow) OVER (PARTITION BY code ORDER BY date) AS p, coalesce(net_flow/nullif(inflow + outflow, 0), 0) AS ratio FROM mflow WHERE date >= (SELECT min(date) FROM (SELECT DISTINCT date FROM mflow ORDER BY date DESC LIMIT 40))) GROUP BY code HAVING count(*) >= 3)""",
     "mflow",
 )

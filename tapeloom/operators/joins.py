@@ -109,3 +109,17 @@ def near_rows(left: DataFrame, right: DataFrame, key: str, left_pos: str, right_
 def first_valid(base: str, sources: Sequence[tuple[Column, Column]]) -> Column:
     """``base`` if present, else the first source value whose validity test passes."""
     return F.coalesce(F.col(base), *[F.when(valid, value) for value, valid in sources])
+
+
+def concept_resonance(signals: DataFrame, bridge: DataFrame, reach: int = 2) -> DataFrame:
+    """Largest share of a block's members that signal within ``reach`` days of each signal.
+
+    Signals are first reduced to one row per (block, day, member) and each is counted on every day it
+    reaches; the count per (block, day) is then looked up. No pairs of signals are formed.
+    """
+    sizes = bridge.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
+    rows = signals.select("code", "date").distinct().join(bridge, "code")
+    reached = rows.select("block", "code", F.explode(F.sequence(F.date_sub("date", reach), F.date_add("date", reach))).alias("date"))
+    density = reached.groupBy("block", "date").agg(F.count_distinct("code").alias("near"))
+    joined = rows.join(density, ["block", "date"]).join(sizes, "block")
+    return joined.groupBy("code", "date").agg(F.max(F.col("near") / F.col("members")).alias("resonance"))

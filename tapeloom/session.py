@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fits(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for job state under ``spark.checkpoint.dir``; a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"spark-{name}-")

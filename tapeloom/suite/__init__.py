@@ -16,6 +16,7 @@ AREAS = (
     "flows",
     "catalog",
     "patterns",
+    "sources",
 )
 
 

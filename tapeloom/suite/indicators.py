@@ -118,7 +118,7 @@ def kdj(spark, d):
 
 
 QUERIES["kdj"] = kdj
-ORACLES["kdj"] = sql("""SELECT code, date, round("K",6)+0.0 AS "K", round("D",6)+0.0 AS "D", round("J",6)+0.0 AS "J" FROM ind""", "ind")
+ORACLES["kdj"] = sql("""SELECT code, date, round("K", 6) + 0.0 AS "K", round("D", 6) + 0.0 AS "D", round("J", 6) + 0.0 AS "J" FROM ind""", "ind")
 
 
 def macd(spark, d):

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import simhash
+from tapeloom.llm import packing, simhash, tokenfile
 from tapeloom.llm.common import documents
+from tapeloom.session import shared_folder
+
+
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, folder))
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_duplicates,)}
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark, 'tokens')}/t"
+    tokenfile.write_tokens(documents(spark, folder), path)
+    return tokenfile.digests(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_simhash_near_duplicates, op10_token_files)}
 ORACLES: dict[str, str] = {}

@@ -24,7 +24,7 @@ from tapeloom.llm.tokens import VOCABULARY
 SALTS = 64
 GROUPS = 40
 # Lengths up to this share of the capacity count as small; each is tried.
-SMALL = (0.125, 0.25, 0.5)
+SMALL = (0.4, 0.5)
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:

@@ -215,3 +215,16 @@ def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
     for s in range(shards):
         if edges[s] < edges[s + 1]:
             yield s, edges[s], edges[s + 1]
+
+
+def slices(batches, size: int = 4 << 20, name: str = "body"):
+    """Parts of Arrow batches that hold about ``size`` bytes of text, or one longer row."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = bodies(pa.Table.from_batches([b]), name)[1]
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
+            yield b.slice(at, to - at)
+            at = to

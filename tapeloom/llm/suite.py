@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import packing, simhash, tokenfile
+from tapeloom.llm import langid, packing, simhash, tokenfile
 from tapeloom.llm.common import documents
 from tapeloom.session import shared_folder
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder))
 
 
+def op4_language_identification(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(documents(spark, folder))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
 
@@ -23,5 +27,5 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_simhash_near_duplicates, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_language_identification, op6_simhash_near_duplicates, op10_token_files)}
 ORACLES: dict[str, str] = {}

@@ -82,9 +82,14 @@ def ask(part: DataFrame, question: Callable[[pa.Table], Iterable[tuple[int, byte
 
 
 def answer(asks: DataFrame, serve: Callable[[list[memoryview]], Iterable[bytes]], shards: int) -> DataFrame:
-    """One row (block, shard, reply) for each row of ``asks``; ``serve`` sees all questions to one shard."""
+    """One row (block, shard, reply) for each row of ``asks``; ``serve`` sees all questions to one shard.
+
+    A question to a negative shard is a note of a block to itself, and comes back as it is.
+    """
 
     def run(t: pa.Table) -> pa.Table:
+        if t["shard"][0].as_py() < 0:
+            return t.select(["block", "shard", "ask"]).rename_columns(["block", "shard", "reply"])
         questions = [memoryview(x.as_buffer()) for x in t["ask"]]
         return pa.table({"block": t["block"].combine_chunks(), "shard": t["shard"].combine_chunks(), "reply": pa.array(list(serve(questions)), pa.binary())})
 
@@ -228,3 +233,40 @@ def slices(batches, size: int = 4 << 20, name: str = "body"):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
             yield b.slice(at, to - at)
             at = to
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Non-negative integer arrays as byte planes, lowest byte first; planes above the largest value are left out."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, dtype="<u8")
+        width = -(-int(a.max()).bit_length() // 8) if len(a) else 0
+        out.append(np.array([len(a), width], "<u4").tobytes() + a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return b"".join(out)
+
+
+def unpacked(blob: memoryview) -> list[np.ndarray]:
+    """The arrays of ``packed``, as unsigned 64-bit integers."""
+    out, at = [], 0
+    while at < len(blob):
+        n, width = np.frombuffer(blob[at : at + 8], "<u4").tolist()
+        at += 8
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(blob[at : at + n * width], np.uint8).reshape(width, n).T
+        out.append(a.reshape(-1).view("<u8"))
+        at += n * width
+    return out
+
+
+def deltas(sorted_values: np.ndarray) -> np.ndarray:
+    out = sorted_values.astype(np.uint64)
+    out[1:] = sorted_values[1:] - sorted_values[:-1]
+    return out
+
+
+def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of ``n`` positions lie in a run of ``width`` from one of ``starts``."""
+    at = np.bincount(starts, minlength=n).astype(np.int32)
+    change = at.copy()
+    change[width:] -= at[: max(0, n - width)]
+    return np.cumsum(change) > 0

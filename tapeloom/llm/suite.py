@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import langid, packing, simhash, tokenfile
+from tapeloom.llm import langid, packing, simhash, sketchdedup, tokenfile
 from tapeloom.llm.common import documents
 from tapeloom.session import shared_folder
 
@@ -21,11 +21,16 @@ def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_sketched_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = sketchdedup.remove_repeats(documents(spark, folder))
+    return kept.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark, 'tokens')}/t"
     tokenfile.write_tokens(documents(spark, folder), path)
     return tokenfile.digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_language_identification, op6_simhash_near_duplicates, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_language_identification, op6_simhash_near_duplicates, op7_sketched_substring_dedup, op10_token_files)}
 ORACLES: dict[str, str] = {}

@@ -64,28 +64,30 @@ def blocks_for(n_bytes: int, each: int = BLOCK_BYTES) -> int:
     return max(LEAST_BLOCKS, -(-n_bytes // each))
 
 
+ASK = "shard int, block int, ask binary"
+
+
+def _asked(t: pa.Table, got: Iterable[tuple[int, bytes]]) -> pa.Table:
+    """The questions of a block; one to a negative shard is a note of the block to itself."""
+    block = t["block"][0].as_py() if t.num_rows else 0
+    got = [(s if s >= 0 else -1 - block, b) for s, b in got] if t.num_rows else []
+    return pa.table(
+        {"shard": pa.array([s for s, _ in got], pa.int32()), "block": pa.array([block] * len(got), pa.int32()), "ask": pa.array([b for _, b in got], pa.binary())}
+    )
+
+
 def ask(part: DataFrame, question: Callable[[pa.Table], Iterable[tuple[int, bytes]]]) -> DataFrame:
     """One row (shard, block, ask) for each question that ``question`` has about a block's documents."""
+    return part.groupBy("block").applyInArrow(lambda t: _asked(t, question(t)), ASK)
 
-    def run(t: pa.Table) -> pa.Table:
-        block = t["block"][0].as_py() if t.num_rows else 0
-        got = list(question(t))
-        return pa.table(
-            {
-                "shard": pa.array([s for s, _ in got], pa.int32()),
-                "block": pa.array([block] * len(got), pa.int32()),
-                "ask": pa.array([b for _, b in got], pa.binary()),
-            }
-        )
 
-    return part.groupBy("block").applyInArrow(run, "shard int, block int, ask binary")
+def ask_again(part: DataFrame, replies: DataFrame, question: Callable[[pa.Table, dict[int, memoryview]], Iterable[tuple[int, bytes]]]) -> DataFrame:
+    """Like ``ask``, with the answers to an earlier question."""
+    return use(part, replies, lambda t, r: _asked(t, question(t, r)), ASK)
 
 
 def answer(asks: DataFrame, serve: Callable[[list[memoryview]], Iterable[bytes]], shards: int) -> DataFrame:
-    """One row (block, shard, reply) for each row of ``asks``; ``serve`` sees all questions to one shard.
-
-    A question to a negative shard is a note of a block to itself, and comes back as it is.
-    """
+    """One row (block, shard, reply) for each row of ``asks``; ``serve`` sees all questions to one shard. Notes come back as they are."""
 
     def run(t: pa.Table) -> pa.Table:
         if t["shard"][0].as_py() < 0:

@@ -148,13 +148,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part = c.blocked(docs, n)
     sketches = c.answer(c.ask(part, lambda t: sketch_asks(t, width, n, bits)), lambda q: merge_sketches(q, bits), n)
 
-    def second(t: pa.Table, replies: dict[int, memoryview]) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({"shard": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "ask": pa.array([], pa.binary())})
-        block = t["block"][0].as_py()
-        got = [(s if s >= 0 else -1 - block, x) for s, x in exact_asks(t, replies, width, n, bits)]
-        return pa.table({"shard": pa.array([s for s, _ in got], pa.int32()), "block": pa.array([block] * len(got), pa.int32()), "ask": pa.array([x for _, x in got], pa.binary())})
-
-    exact = c.answer(c.use(part, sketches, second, "shard int, block int, ask binary"), exact_firsts, n)
+    again = c.ask_again(part, sketches, lambda t, r: exact_asks(t, r, width, n, bits))
+    exact = c.answer(again, exact_firsts, n)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema) if carry else ""
     return c.use(part, exact, lambda t, r: kept_words(t, r, width, n, list(carry)), f"doc_id long, {kinds}n_words long, n_removed long, kept binary")

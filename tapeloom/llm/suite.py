@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import langid, packing, simhash, sketchdedup, tokenfile
+from tapeloom.llm import langid, packing, sadedup, simhash, sketchdedup, tokenfile
 from tapeloom.llm.common import documents
 from tapeloom.session import shared_folder
 
@@ -13,6 +13,11 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = sadedup.remove_repeats(documents(spark, folder))
+    return kept.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256")
+
+
 def op4_language_identification(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(documents(spark, folder))
 
@@ -32,5 +37,5 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_language_identification, op6_simhash_near_duplicates, op7_sketched_substring_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op4_language_identification, op6_simhash_near_duplicates, op7_sketched_substring_dedup, op10_token_files)}
 ORACLES: dict[str, str] = {}

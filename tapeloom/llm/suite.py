@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import langid, packing, sadedup, simhash, sketchdedup, tokenfile
+from tapeloom.llm import langid, neardup, packing, sadedup, simhash, sketchdedup, tokenfile, topk
 from tapeloom.llm.common import documents
 from tapeloom.session import shared_folder
 
@@ -31,11 +31,31 @@ def op7_sketched_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
 
 
+def op8_cover_tree_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op9_dual_tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id % 20 = 0")
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark, 'tokens')}/t"
     tokenfile.write_tokens(documents(spark, folder), path)
     return tokenfile.digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op4_language_identification, op6_simhash_near_duplicates, op7_sketched_substring_dedup, op10_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_suffix_array_dedup,
+        op4_language_identification,
+        op6_simhash_near_duplicates,
+        op7_sketched_substring_dedup,
+        op8_cover_tree_near_duplicates,
+        op9_dual_tree_top_k,
+        op10_token_files,
+    )
+}
 ORACLES: dict[str, str] = {}

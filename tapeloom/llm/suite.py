@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import langid, neardup, packing, sadedup, simhash, sketchdedup, tokenfile, topk
+from tapeloom.llm import langid, lm, neardup, packing, sadedup, simhash, sketchdedup, tokenfile, topk
 from tapeloom.llm.common import documents
 from tapeloom.session import shared_folder
 
@@ -22,6 +22,10 @@ def op4_language_identification(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(documents(spark, folder))
 
 
+def op5_deleted_interpolation_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(documents(spark, folder))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
 
@@ -51,6 +55,7 @@ QUERIES = {
         op1_best_fit_packing,
         op2_suffix_array_dedup,
         op4_language_identification,
+        op5_deleted_interpolation_scores,
         op6_simhash_near_duplicates,
         op7_sketched_substring_dedup,
         op8_cover_tree_near_duplicates,

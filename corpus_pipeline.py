@@ -1,13 +1,59 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage reads what its predecessor kept, written as Parquet. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapeloom.llm import langid, mixing, packing, simhash, sketchdedup
 from tapeloom.llm.common import documents, table
 
-STAGES: list = []
+# Share of a document's words that its main language must hold.
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a main language stay; those without letters, or without a language for half their words, go."""
+    more = tuple(c for c in docs.columns if c != "doc_id")
+    named = langid.identify(docs, carry=more)
+    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    return simhash.keep_one(docs).select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a smaller id or an earlier place holds too are cut out; a document that had words and keeps none goes."""
+    more = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = sketchdedup.remove_repeats(docs, carry=more, spare=True).where("n_words = 0 OR n_removed < n_words")
+    text = F.col("kept").cast("string")
+    return cut.withColumn("text", text).withColumn("n_chars", F.length(text).cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and kinds of text have their target shares of tokens."""
+    return mixing.mix(docs).where("_copies > 0").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens, placed in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
 
+# Language mixtures, fingerprints, token ids and best-fit places have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

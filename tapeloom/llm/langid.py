@@ -123,8 +123,10 @@ def mixtures(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty: f
     return out
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, penalty: float = 2.0) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, languages, shares) of every row.
+def identify(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, penalty: float = 2.0, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, languages, shares) of every row, with the columns ``carry`` as they are.
 
     Learns from rows outside fold 0 (crc32 of the id as text, modulo ``folds``) with a language. ``languages`` and
     ``shares`` list the chosen languages, largest share first; the first is ``lang_pred`` and its share ``score``.
@@ -134,7 +136,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """
     langs, model = learn(df.where(fold(id_col, folds) != 0), lang_col, id_col, text_col)
     held = df.withColumn("_held", fold(id_col, folds) == 0)
-    docs = keyed(held, id_col, text_col, "_held")
+    docs = keyed(held, id_col, text_col, "_held", *carry)
 
     def run(batches):
         for b in slices(batches):
@@ -154,12 +156,14 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                     pa.array(top, pa.float64()),
                     pa.array([[langs[k] for k in c] for c in chosen], pa.list_(pa.string())),
                     pa.array([shares[d, c].tolist() for d, c in enumerate(chosen)], pa.list_(pa.float64())),
+                    *[b[n] for n in carry],
                 ],
-                ["doc_id", "held_out", "lang_pred", "score", "languages", "shares"],
+                ["doc_id", "held_out", "lang_pred", "score", "languages", "shares", *carry],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
+    more = "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in carry)
+    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>{more}")
 
 
 def has_letter(raw: np.ndarray) -> bool:

@@ -196,3 +196,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(of_class, "fp").selectExpr(
         "doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "component_id", "n_class"
     )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """``df`` with one row of each component, that of the smallest id; rows with a null id can't be told apart and stay."""
+    found = near_duplicates(df, id_col, text_col, width, radius)
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_chosen"))
+    kept = df.join(chosen, df[id_col] == F.col("_chosen"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(df.where(df[id_col].isNull()))

@@ -109,7 +109,7 @@ def exact_firsts(asks: list[memoryview]):
         at += len(p[0])
 
 
-def kept_words(t: pa.Table, replies: dict[int, memoryview], width: int, shards: int, carry: list[str]) -> pa.Table:
+def kept_words(t: pa.Table, replies: dict[int, memoryview], width: int, shards: int, carry: list[str], spare: bool) -> pa.Table:
     """Each document's words outside the windows that start earlier elsewhere."""
     t = in_order(t)
     rows, at, (a, b) = window_hashes(t, width, 2)
@@ -125,16 +125,19 @@ def kept_words(t: pa.Table, replies: dict[int, memoryview], width: int, shards:
     texts, n_removed = [], []
     for k, body in enumerate(t["body"]):
         mine = gone[rows[k] : rows[k + 1]]
-        words = body.as_buffer().to_pybytes().split()
+        text = body.as_buffer().to_pybytes()
         n_removed.append(int(mine.sum()))
-        texts.append(b" ".join([w for w, g in zip(words, mine.tolist()) if not g] if n_removed[-1] else words))
+        if n_removed[-1]:
+            text = b" ".join([w for w, g in zip(text.split(), mine.tolist()) if not g])
+        texts.append(text if n_removed[-1] or spare else b" ".join(text.split()))
     out = {n: t[n] for n in ["doc_id", *carry]}
     out |= {"n_words": pa.array(np.diff(rows)), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(texts, pa.binary())}
     return pa.table(out)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, carried columns, n_words, n_removed, kept) of every row: ``kept`` has the UTF-8 words that stay, joined by one space.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: tuple[str, ...] = (), spare: bool = False) -> DataFrame:
+    """(doc_id, carried columns, n_words, n_removed, kept) of every row: ``kept`` has the UTF-8 words that stay, joined by one space;
+    with ``spare``, a text that loses nothing keeps its white space.
 
     A window of ``width`` words goes if the same words start earlier: in a smaller id, or earlier in the document. The id
     must be an integer; null ids count as the largest. Rows of one id count in order of a hash of their text, equal
@@ -151,4 +154,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = c.ask_again(part, sketches, lambda t, r: exact_asks(t, r, width, n, bits))
     exact = c.answer(again, exact_firsts, n)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema) if carry else ""
-    return c.use(part, exact, lambda t, r: kept_words(t, r, width, n, list(carry)), f"doc_id long, {kinds}n_words long, n_removed long, kept binary")
+    return c.use(part, exact, lambda t, r: kept_words(t, r, width, n, list(carry), spare), f"doc_id long, {kinds}n_words long, n_removed long, kept binary")

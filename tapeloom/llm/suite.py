@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import langid, lm, neardup, packing, sadedup, simhash, sketchdedup, tokenfile, topk
+from tapeloom.llm import langid, lm, mixing, neardup, packing, sadedup, simhash, sketchdedup, tokenfile, topk
 from tapeloom.llm.common import documents
 from tapeloom.session import shared_folder
 
@@ -18,6 +18,12 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256")
 
 
+def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder)).selectExpr(
+        "doc_id", "_source AS source", "_lang AS lang", "_topic AS topic", "_tokens AS n_tokens", "round(_probability, 6) AS probability", "_copies AS copies"
+    )
+
+
 def op4_language_identification(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(documents(spark, folder))
 
@@ -54,6 +60,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_suffix_array_dedup,
+        op3_mix_sources,
         op4_language_identification,
         op5_deleted_interpolation_scores,
         op6_simhash_near_duplicates,
@@ -63,4 +70,4 @@ QUERIES = {
         op10_token_files,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.oracle()}

@@ -24,8 +24,8 @@ def normalize_code(c: str) -> str:
 
 
 def strip_market_prefix(c: str) -> str:
-    """``sh600000`` or ``0.600000`` -> ``600000``: the six digits at the end, else the text itself."""
-    return f"coalesce(nullif(regexp_extract({c}, '([0-9]{{6}})$', 1), ''), {c})"
+    """``sh600000`` or ``0.600000`` -> ``600000``: the six or more digits at the end, else the text itself."""
+    return f"coalesce(nullif(regexp_extract({c}, '([0-9]{{6,}})$', 1), ''), {c})"
 
 
 def limit_pct(code: str = "code") -> str:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.session import SMALL_SIDE_ROWS, fits
 
 
 def asof_join(
@@ -82,11 +81,6 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str] | str, check: bo
     return left.join(right, keys, "left")
 
 
-def small(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when it is proven to hold at most ``limit`` rows."""
-    return F.broadcast(df) if fits(df, limit) else df
-
-
 def explode_days(df: DataFrame, start: str, end: str, day: str = "day", business: bool = True) -> DataFrame:
     """One row per calendar day of [start, end]; weekdays only with ``business``.
 

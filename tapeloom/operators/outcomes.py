@@ -230,7 +230,6 @@ def stale_valuation(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 def exit_rules(
     trades: DataFrame,
     bars: DataFrame,
-    max_rows: int = 30,
     weak_days: int = 3,
     weak_return: float = 0.02,
     max_hold_days: int = 60,
@@ -242,9 +241,9 @@ def exit_rules(
     On one session the rules apply in this order: stop, weak after ``weak_days``, break of yellow,
     break of white after launch, profit target after launch, longest hold. ``trades`` carries the
     entry row number ``entry_rn`` and ``stop_price``; sessions are reached by an equi-join on
-    (code, row number).
+    (code, row number). Sessions have different dates, so the longest hold ends within as many rows as it has days.
     """
-    paths = trades.withColumn("rn", F.explode(F.sequence(F.col("entry_rn") + 1, F.col("entry_rn") + max_rows)))
+    paths = trades.withColumn("rn", F.explode(F.sequence(F.col("entry_rn") + 1, F.col("entry_rn") + max_hold_days)))
     paths = paths.join(bars.select("code", "rn", "date", "low", "close", "white_line", "yellow_line"), ["code", "rn"])
     gain = F.col("close") / F.col("entry_price") - 1
     days = F.datediff("date", "entry_date")
@@ -262,12 +261,15 @@ def exit_rules(
     event = F.coalesce(
         *[F.when(cond, F.struct("rn", F.lit(name).alias("reason"), "date", price.alias("price"))) for name, cond, price in rules]
     )
+    # ``launched`` never turns back, so the event's own row has it for the whole path; an open trade has its last row's.
+    event = F.when(event.isNotNull(), F.struct(event.alias("e"), "launched"))
     first = paths.withColumn("event", event).groupBy("code", "entry_rn").agg(
         F.first("entry_date").alias("entry_date"),
         F.first("entry_price").alias("entry_price"),
-        F.min("event").alias("event"),
-        F.max("launched").alias("launched_in_path"),
+        F.min("event").alias("exit"),
+        F.max("launched").alias("launched"),
     )
+    first = first.withColumn("event", F.col("exit.e")).withColumn("launched_in_path", F.coalesce("exit.launched", "launched"))
     return first.select(
         "code",
         "entry_date",

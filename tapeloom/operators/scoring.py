@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tapeloom.functions import windows as w
 from tapeloom.functions.ranks import long_ranks, pct_rank_avg, top_n
 from tapeloom.operators.brick import FEATURES
-from tapeloom.operators.joins import small
 
 # Weights of the features inside each dimension, and of the dimensions.
 DIMENSION_FEATURES = {
@@ -129,7 +128,7 @@ def overlay_score(
 
 def with_market(df: DataFrame, market: DataFrame, on: str = "signal_date") -> DataFrame:
     """Left join of one-row-per-session market values."""
-    return df.join(small(market.withColumnRenamed("date", on)), on, "left")
+    return df.join(market.withColumnRenamed("date", on), on, "left")
 
 
 def market_regime_top_n(df: DataFrame, n: int, by: str = "entry_date") -> DataFrame:

@@ -328,16 +328,21 @@ def robust_scale(df: DataFrame, features: Sequence[str], train: str) -> DataFram
 
 
 def rank_model(train: DataFrame, features: Sequence[str], label: str, rounds: int = 20, depth: int = 4, weight: str | None = None):
-    """Gradient-boosted trees on the label; returns the fitted pipeline, which scores as a column."""
+    """Gradient-boosted trees on the label; returns the fitted pipeline, which scores as a column.
+
+    A missing feature takes the training median, so every row gets a score; rows without a label do not train.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
+    filled = [f"_filled_{f}" for f in features]
+    imputer = Imputer(inputCols=list(features), outputCols=filled, strategy="median")
+    assembler = VectorAssembler(inputCols=filled, outputCol="_x")
     trees = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="score", maxIter=rounds, maxDepth=depth, seed=7)
     if weight:
         trees = trees.setWeightCol(weight)
-    return Pipeline(stages=[assembler, trees]).fit(train)
+    return Pipeline(stages=[imputer, assembler, trees]).fit(train.where(F.col(label).isNotNull()))
 
 
 def hold_decay_weight(df: DataFrame, rate: float) -> DataFrame:

@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Upper bound, in rows, for a side that an operator may hold as one literal array or broadcast.
-SMALL_SIDE_ROWS = 200_000
-
-
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and the benchmark. A cluster brings its own session."""
     return (
@@ -28,27 +24,26 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it; a temporary one only on a local master without one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
 
-    A folder is chosen here only where the session names none, as in local tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the folder of ``spark.checkpoint.dir``."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for job state under ``spark.checkpoint.dir``; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-")
+    """A fresh folder for a job's tables and state under ``spark.checkpoint.dir``."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.scalars import normalize_code
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -46,7 +48,7 @@ def bars(spark: SparkSession, folder: str, session: str = "week") -> DataFrame:
             (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / 100.0).alias("amount"),
         )
         .select(
-            F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"),
+            F.expr(normalize_code("l_suppkey")).alias("code"),
             "date",
             "open",
             "high",
@@ -66,7 +68,7 @@ def membership(spark: SparkSession, folder: str) -> DataFrame:
     supplier = table(spark, folder, "supplier")
     nation = table(spark, folder, "nation")
     region = table(spark, folder, "region")
-    code = F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code")
+    code = F.expr(normalize_code("s_suppkey")).alias("code")
     places = (
         supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -77,7 +79,7 @@ def membership(spark: SparkSession, folder: str) -> DataFrame:
         .select("l_suppkey", "l_partkey")
         .distinct()
         .join(table(spark, folder, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), F.col("p_brand").alias("block"))
+        .select(F.expr(normalize_code("l_suppkey")).alias("code"), F.col("p_brand").alias("block"))
         .distinct()
     )
     return places.unionByName(brands)
@@ -88,7 +90,7 @@ def industry(spark: SparkSession, folder: str) -> DataFrame:
     supplier = table(spark, folder, "supplier")
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     return supplier.join(F.broadcast(nation), "s_nationkey", "left").select(
-        F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"),
+        F.expr(normalize_code("s_suppkey")).alias("code"),
         F.coalesce("n_name", F.lit("UNKNOWN")).alias("industry"),
     )
 
@@ -98,7 +100,7 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("ts").cast("timestamp").alias("time"),
         F.col("ts").cast("date").alias("date"),
-        F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"),
+        F.expr(normalize_code("user_id")).alias("code"),
         F.col("value").alias("price"),
         (F.col("event_id") % 10 + 1).cast("double").alias("volume"),
         (F.col("value") * (F.col("event_id") % 10 + 1)).alias("amount"),
@@ -141,7 +143,7 @@ def money_flow(spark: SparkSession, folder: str) -> DataFrame:
             F.sum("l_quantity").alias("volume"),
         )
         .select(
-            F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"),
+            F.expr(normalize_code("l_suppkey")).alias("code"),
             "date",
             "inflow",
             "outflow",
@@ -155,7 +157,7 @@ def money_flow(spark: SparkSession, folder: str) -> DataFrame:
 def big_deals(spark: SparkSession, folder: str) -> DataFrame:
     """One large print per line item, dated by its week; flag A buys, flag R sells."""
     return table(spark, folder, "lineitem").select(
-        F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"),
+        F.expr(normalize_code("l_suppkey")).alias("code"),
         F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("volume"),

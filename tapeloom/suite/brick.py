@@ -520,7 +520,7 @@ def exit_rules(spark, d):
 QUERIES["exit_rules"] = exit_rules
 ORACLES["exit_rules"] = sql(
     f"""SELECT code, entry_date, {r("entry_price exit_price profit_pct")}, CAST(launched_in_path AS INT) AS launched_in_path, exit_reason, exit_date FROM (
-SELECT code, any_value(entry_date) AS entry_date, any_value(entry_price) AS entry_price, bool_or(launched) AS launched_in_path,
+SELECT code, any_value(entry_date) AS entry_date, any_value(entry_price) AS entry_price, coalesce(arg_min(launched, rn) FILTER (reason IS NOT NULL), bool_or(launched)) AS launched_in_path,
  arg_min(reason, rn) FILTER (reason IS NOT NULL) AS exit_reason, arg_min(date, rn) FILTER (reason IS NOT NULL) AS exit_date,
  arg_min(price, rn) FILTER (reason IS NOT NULL) AS exit_price, (exit_price/any_value(entry_price) - 1)*100 AS profit_pct
 FROM (SELECT *, CASE WHEN reason = 'stop_loss' THEN stop WHEN reason IS NOT NULL THEN close END AS price FROM (
@@ -528,7 +528,7 @@ SELECT *, CASE WHEN low <= stop THEN 'stop_loss' WHEN days >= 3 AND gain < 0.02
  WHEN launched AND close < white_line THEN 'break_white' WHEN launched AND gain > 0.25 THEN 'target' WHEN days >= 60 THEN 'max_hold' END AS reason FROM (
 SELECT *, bool_or(gain > 0.05 AND close > white_line) OVER (PARTITION BY code, ern ORDER BY rn) AS launched FROM (
 SELECT t.code, t.entry_date, t.entry_price, t.rn + 1 AS ern, t.low*0.9 AS stop, b.rn, b.date, b.low, b.close, b.white_line, b.yellow_line, b.close/t.entry_price - 1 AS gain, b.date - t.entry_date AS days
-FROM (SELECT * FROM trades WHERE status <> 'blocked') t JOIN feat b ON b.code = t.code AND b.rn BETWEEN t.rn + 2 AND t.rn + 31))))
+FROM (SELECT * FROM trades WHERE status <> 'blocked') t JOIN feat b ON b.code = t.code AND b.rn BETWEEN t.rn + 2 AND t.rn + 61))))
 GROUP BY code, ern)""",
     "trades",
 )

@@ -294,7 +294,7 @@ ORACLES["coverage_scores"] = sql(f"SELECT category, items, {r('coverage')} FROM
 def extraction_quality(spark, d):
     t = wh.table(spark, d, "conversations").groupBy("conv_id").agg(
         F.expr("sort_array(collect_list(struct(turn, text, CASE WHEN turn % 5 <> 4 THEN concat('L', turn) END AS anchor, (turn % 4 + 7) / 10D AS confidence)))").alias("statements"))
-    c = t.selectExpr("CASE WHEN conv_id % 9 <> 0 THEN CAST(conv_id AS STRING) ELSE '' END AS id", "concat('p/', conv_id) AS raw_path", "statements[0].text AS summary", "slice(statements, 2, 100000) AS statements")
+    c = t.selectExpr("CASE WHEN conv_id % 9 <> 0 THEN CAST(conv_id AS STRING) ELSE '' END AS id", "concat('p/', conv_id) AS raw_path", "statements[0].text AS summary", "slice(statements, 2, size(statements)) AS statements")
     return out(ct.extraction_quality(c), "*")
 
 

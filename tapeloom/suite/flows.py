@@ -11,7 +11,7 @@ QUERIES, ORACLES = {}, {}
 
 cte(
     "mflow",
-    """SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(wk AS DATE) AS date, inflow, outflow, inflow - outflow AS net_flow, amount, v*100/(1000.0*(1 + l_suppkey % 7)) AS turnover FROM (
+    """SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INT), '0') AS code, CAST(wk AS DATE) AS date, inflow, outflow, inflow - outflow AS net_flow, amount, v*100/(1000.0*(1 + l_suppkey % 7)) AS turnover FROM (
 SELECT l_suppkey, date_trunc('week', l_shipdate) AS wk, coalesce(sum(c) FILTER (l_returnflag = 'N'), 0)/100.0 AS inflow, coalesce(sum(c) FILTER (l_returnflag = 'R'), 0)/100.0 AS outflow, sum(c)/100.0 AS amount, sum(l_quantity) AS v
 FROM (SELECT *, CAST(round(l_extendedprice*100) AS BIGINT) AS c FROM lineitem) GROUP BY ALL)""",
 )
@@ -21,7 +21,7 @@ cte(
     "mflow",
     "membership",
 )
-cte("deals", """SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice/l_quantity AS price, l_extendedprice AS amount, CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' ELSE '' END AS direction FROM lineitem""")
+cte("deals", """SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INT), '0') AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice/l_quantity AS price, l_extendedprice AS amount, CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' ELSE '' END AS direction FROM lineitem""")
 
 
 def _pk(x):

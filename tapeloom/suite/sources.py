@@ -55,7 +55,7 @@ def selection_universe(spark, d):
 
 QUERIES["selection_universe"] = selection_universe
 ORACLES["selection_universe"] = sql(
-    """SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CASE WHEN s_acctbal > 0 THEN 'etf' ELSE 'stock' END AS asset_type, 'SZ' AS exchange, CAST(s_acctbal <= 0 AS INT) AS name_filter, CAST(s_acctbal <= 0 AS INT) AS cap_gate, CAST(s_acctbal <= 0 AS INT) AS price_limits FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey)"""
+    """SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(s_suppkey AS VARCHAR))) AS INT), '0') AS code, CASE WHEN s_acctbal > 0 THEN 'etf' ELSE 'stock' END AS asset_type, 'SZ' AS exchange, CAST(s_acctbal <= 0 AS INT) AS name_filter, CAST(s_acctbal <= 0 AS INT) AS cap_gate, CAST(s_acctbal <= 0 AS INT) AS price_limits FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey)"""
 )
 
 
@@ -131,7 +131,7 @@ def parsed_amounts(spark, d):
 
 
 QUERIES["parsed_amounts"] = parsed_amounts
-ORACLES["parsed_amounts"] = sql("SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice/10000 WHEN 2 THEN o_totalprice ELSE 0 END, 6) AS amount, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS code FROM orders")
+ORACLES["parsed_amounts"] = sql("SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice/10000 WHEN 2 THEN o_totalprice ELSE 0 END, 6) AS amount, lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(6, length(CAST(o_custkey AS VARCHAR))) AS INT), '0') AS code FROM orders")
 
 
 def normalized_ticks(spark, d):
@@ -155,7 +155,7 @@ def asof_shares(spark, d):
 
 QUERIES["asof_shares"] = asof_shares
 ORACLES["asof_shares"] = sql(
-    f"""SELECT code, date, {r('volume shares')}, as_of FROM (SELECT b.code, b.date, b.volume, c.cdate AS as_of, c.shares FROM bars b ASOF LEFT JOIN (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS code, CAST(o_orderdate AS DATE) AS cdate, arg_max(o_totalprice, o_orderkey) AS shares FROM orders GROUP BY 1, 2) c ON c.code = b.code AND b.date >= c.cdate)""",
+    f"""SELECT code, date, {r('volume shares')}, as_of FROM (SELECT b.code, b.date, b.volume, c.cdate AS as_of, c.shares FROM bars b ASOF LEFT JOIN (SELECT lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(6, length(CAST(o_custkey AS VARCHAR))) AS INT), '0') AS code, CAST(o_orderdate AS DATE) AS cdate, arg_max(o_totalprice, o_orderkey) AS shares FROM orders GROUP BY 1, 2) c ON c.code = b.code AND b.date >= c.cdate)""",
     "bars",
 )
 
@@ -165,7 +165,7 @@ def enriched_bars(spark, d):
     b = clean(spark, d).select("code", "date", "close")
     e = joins.lookup(b, dirty(spark, d).selectExpr("code", "date", "amount"), ["code", "date"])
     blocks = wh.industry(spark, d).filter("industry LIKE '%1%'")
-    return out(e.join(joins.small(blocks), "code", "left").selectExpr("code", "date", "amount", "coalesce(industry, 'UNKNOWN') AS industry"), "*")
+    return out(e.join(blocks, "code", "left").selectExpr("code", "date", "amount", "coalesce(industry, 'UNKNOWN') AS industry"), "*")
 
 
 QUERIES["enriched_bars"] = enriched_bars
@@ -194,7 +194,7 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 def _stream(spark, d):
     raw = st.ticks_stream(spark, d, EVENTS, "events.parquet")
     ticks = raw.selectExpr(
-        "CAST(ts AS TIMESTAMP) AS time", "lpad(CAST(user_id AS STRING), 6, '0') AS code", "event_id AS seq", "CAST(event_id % 10 + 1 AS DOUBLE) AS volume",
+        "CAST(ts AS TIMESTAMP) AS time", "lpad(CAST(user_id AS STRING), greatest(6, length(CAST(user_id AS STRING))), '0') AS code", "event_id AS seq", "CAST(event_id % 10 + 1 AS DOUBLE) AS volume",
         "CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS direction")
     return ticks.withWatermark("time", st.WATERMARK)
 
@@ -208,6 +208,6 @@ def streamed_intensity(spark, d):
 
 QUERIES["streamed_intensity"] = streamed_intensity
 ORACLES["streamed_intensity"] = sql(
-    """SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, date_trunc('hour', ts) AS slot, count(*) AS ticks, sum(event_id % 10 + 1.0::DOUBLE) AS volume, sum((event_id % 10 + 1.0::DOUBLE)*CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS delta
+    """SELECT lpad(CAST(user_id AS VARCHAR), CAST(greatest(6, length(CAST(user_id AS VARCHAR))) AS INT), '0') AS code, date_trunc('hour', ts) AS slot, count(*) AS ticks, sum(event_id % 10 + 1.0::DOUBLE) AS volume, sum((event_id % 10 + 1.0::DOUBLE)*CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS delta
 FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM events) GROUP BY 1, 2"""
 )

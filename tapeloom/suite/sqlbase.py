@@ -73,7 +73,7 @@ ALL = "(PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CUR
 cte(
     "bars",
     """
-SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(wk AS DATE) AS date,
+SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INT), '0') AS code, CAST(wk AS DATE) AS date,
   first(px ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) AS open,
   max(px) AS high, min(px) AS low,
   last(px ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) AS close,
@@ -87,16 +87,16 @@ GROUP BY l_suppkey, wk""",
 cte(
     "membership",
     """
-SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, n_name AS block FROM supplier JOIN nation ON s_nationkey = n_nationkey
+SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(s_suppkey AS VARCHAR))) AS INT), '0') AS code, n_name AS block FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL
-SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(s_suppkey AS VARCHAR))) AS INT), '0'), r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 UNION ALL
-SELECT DISTINCT lpad(CAST(l_suppkey AS VARCHAR), 6, '0'), p_brand FROM lineitem JOIN part ON l_partkey = p_partkey""",
+SELECT DISTINCT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INT), '0'), p_brand FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
 cte(
     "industry",
     """
-SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, coalesce(n_name, 'UNKNOWN') AS industry
+SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(s_suppkey AS VARCHAR))) AS INT), '0') AS code, coalesce(n_name, 'UNKNOWN') AS industry
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""",
 )
 cte(

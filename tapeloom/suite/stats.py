@@ -127,13 +127,17 @@ ORACLES["erd_features"] = sql(
 
 
 def residual_rank_ic(spark, d):
-    return out(stats.residual_rank_ic(panel(spark, d).filter("rn > 20"), "body_abs", ["volume_rank", "atr_pct"], "return_pct", least=6), "*")
+    return out(stats.residual_rank_ic(panel(spark, d), "body_abs", ["volume_rank", "atr_pct"], "return_pct", least=6), "*")
 
 
+# Where one control is constant or follows the other, least squares fit on the control that varies more.
+_LEAST_SQUARES = _resid("(PARTITION BY date)", 7, "NULL").replace("/det END AS ba", "/det WHEN caa >= cbb AND caa > 0 THEN cay/caa ELSE 0 END AS ba").replace(
+    "/det END AS bb", "/det WHEN cbb > caa THEN cby/cbb ELSE 0 END AS bb"
+)
 QUERIES["residual_rank_ic"] = residual_rank_ic
 ORACLES["residual_rank_ic"] = sql(
     f"""SELECT date, rows, {r('rank_ic r2')} FROM (SELECT date, count(*) AS rows, corr(ra, rb) AS rank_ic, any_value(residual_r2) AS r2 FROM (SELECT date, residual_r2, {_ar('residual', 'date')} AS ra, {_ar('return_pct', 'date')} AS rb FROM (
-SELECT date, return_pct, residual_r2, round(residual, 13) AS residual FROM ({_resid('(PARTITION BY date)', 7, 'NULL').replace("FROM panel WHERE", "FROM panel WHERE rn > 20 AND")})) WHERE residual IS NOT NULL) GROUP BY date)""",
+SELECT date, return_pct, residual_r2, round(residual, 13) AS residual FROM ({_LEAST_SQUARES})) WHERE residual IS NOT NULL) GROUP BY date)""",
     "panel",
 )
 
@@ -420,10 +424,10 @@ def bucketed_nav(spark, d):
     t = pools.pool_size_bucket(pools.peer_relative(_signals(spark, d).filter("status = 'closed'")))
     b = bars(spark, d)
     parts = [
-        outcomes.daily_returns(t.filter(f"pool_size_bucket = '{k}'"), b).withColumn("bucket", F.lit(k)) for k in ("small", "large")
+        outcomes.daily_returns(t.filter(f"pool_size_bucket = '{k}'"), b).withColumn("bucket", F.lit(k)) for k in ("small", "medium", "large")
     ]
-    m = outcomes.nav_metrics(parts[0].unionByName(parts[1]), "bucket")
-    return out(m.select("bucket", "days", "max_drawdown_pct", "daily_win_pct", "daily_avg_pct"), "*")
+    m = outcomes.nav_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2]), "bucket")
+    return out(m, "*")
 
 
 QUERIES["bucketed_nav"] = bucketed_nav

@@ -15,7 +15,7 @@ LIMITS = {"retail": 50, "small": 100, "medium": 200, "large": 400}
 
 cte(
     "ticks",
-    """SELECT ts AS time, CAST(ts AS DATE) AS date, lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, value AS price, CAST(event_id % 10 + 1 AS DOUBLE) AS volume,
+    """SELECT ts AS time, CAST(ts AS DATE) AS date, lpad(CAST(user_id AS VARCHAR), CAST(greatest(6, length(CAST(user_id AS VARCHAR))) AS INT), '0') AS code, value AS price, CAST(event_id % 10 + 1 AS DOUBLE) AS volume,
  value*(event_id % 10 + 1) AS amount, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS direction, event_id AS seq FROM events""",
 )
 cte(

@@ -79,3 +79,32 @@ def long_ranks(df: DataFrame, features: Sequence[str], keys: Sequence[str], by:
         *keys, "CASE WHEN _pos = 0 THEN _all END AS row", "_e.feature AS feature", "_e.value AS value"
     )
     return long.withColumn("rank", F.expr(rank.format(by=f"{by}, feature")))
+
+
+# Coarse bucket of a value, monotone in it: sixteen per e-fold of magnitude; nulls come first.
+_BUCKET = "coalesce(CAST(signum(value) * floor(ln(1 + abs(value)) * 16) AS INT), -2147483648)"
+
+
+def value_ranks(df: DataFrame, features: dict[str, str], keys: Sequence[str], by: str) -> DataFrame:
+    """(keys, feature, value, below, rows): one row per input row and feature of ``features`` (name -> expression).
+
+    ``below`` counts the rows of the session with a smaller value, nulls first, and ``rows`` all of them. A session is not
+    one window: values are ranked inside coarse value buckets, whose offsets come from bucket counts combined on the map
+    side. Only keys and values travel.
+    """
+    entries = ", ".join(f"struct('{f}' AS feature, CAST({x} AS DOUBLE) AS value)" for f, x in features.items())
+    long = df.selectExpr(*keys, f"inline(array({entries}))").selectExpr("*", f"{_BUCKET} AS _b")
+    before = f"OVER (PARTITION BY {by}, feature ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = long.groupBy(by, "feature", "_b").agg(F.count(F.lit(1)).alias("_n")).selectExpr(
+        by, "feature", "_b", f"coalesce(sum(_n) {before}, 0) AS _o", f"sum(_n) OVER (PARTITION BY {by}, feature) AS rows"
+    )
+    inside = f"rank() OVER (PARTITION BY {by}, feature, _b ORDER BY value) - 1"
+    return long.join(offsets, [by, "feature", "_b"]).selectExpr(*keys, "feature", "value", f"_o + {inside} AS below", "rows")
+
+
+def wide_ranks(df: DataFrame, features: dict[str, str], keys: Sequence[str], by: str, rank: str) -> DataFrame:
+    """``df`` with a column for each feature: ``rank`` over ``below`` and ``rows``. ``keys`` (with ``by``) name a row; ``df`` is
+    read three times and should be stored."""
+    long = value_ranks(df, features, keys, by).selectExpr(*keys, "feature", f"{rank} AS _r")
+    wide = long.groupBy(*keys).agg(*[F.max(F.expr(f"CASE WHEN feature = '{f}' THEN _r END")).alias(f) for f in features])
+    return df.join(wide, list(keys))

@@ -86,9 +86,10 @@ _BUCKET = "coalesce(CAST(signum(value) * floor(ln(1 + abs(value)) * 16) AS INT),
 
 
 def value_ranks(df: DataFrame, features: dict[str, str], keys: Sequence[str], by: str) -> DataFrame:
-    """(keys, feature, value, below, rows): one row per input row and feature of ``features`` (name -> expression).
+    """(keys, feature, value, below, upto, nulls, rows): one row per input row and feature of ``features`` (name -> expression).
 
-    ``below`` counts the rows of the session with a smaller value, nulls first, and ``rows`` all of them. A session is not
+    ``below`` and ``upto`` count the rows of the session with a smaller, and with a smaller or equal value, nulls first;
+    ``nulls`` and ``rows`` count those without a value, and all. A session is not
     one window: values are ranked inside coarse value buckets, whose offsets come from bucket counts combined on the map
     side. Only keys and values travel.
     """
@@ -96,10 +97,18 @@ def value_ranks(df: DataFrame, features: dict[str, str], keys: Sequence[str], by
     long = df.selectExpr(*keys, f"inline(array({entries}))").selectExpr("*", f"{_BUCKET} AS _b")
     before = f"OVER (PARTITION BY {by}, feature ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = long.groupBy(by, "feature", "_b").agg(F.count(F.lit(1)).alias("_n")).selectExpr(
-        by, "feature", "_b", f"coalesce(sum(_n) {before}, 0) AS _o", f"sum(_n) OVER (PARTITION BY {by}, feature) AS rows"
+        by, "feature", "_b", f"coalesce(sum(_n) {before}, 0) AS _o", f"sum(_n) OVER (PARTITION BY {by}, feature) AS rows",
+        f"coalesce(sum(CASE WHEN _b = -2147483648 THEN _n END) OVER (PARTITION BY {by}, feature), 0) AS nulls",
     )
-    inside = f"rank() OVER (PARTITION BY {by}, feature, _b ORDER BY value) - 1"
-    return long.join(offsets, [by, "feature", "_b"]).selectExpr(*keys, "feature", "value", f"_o + {inside} AS below", "rows")
+    inside = f"OVER (PARTITION BY {by}, feature, _b ORDER BY value"
+    return long.join(offsets, [by, "feature", "_b"]).selectExpr(
+        *keys, "feature", "value", f"_o + rank() {inside}) - 1 AS below",
+        f"_o + count(1) {inside} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto", "nulls", "rows",
+    )
+
+
+# Average-tie rank as a share of the rows with a value, over the columns of ``value_ranks``; null for null.
+AVERAGE_SHARE = "CASE WHEN value IS NOT NULL THEN (below + upto + 1 - 2 * nulls) / 2D / (rows - nulls) END"
 
 
 def wide_ranks(df: DataFrame, features: dict[str, str], keys: Sequence[str], by: str, rank: str) -> DataFrame:

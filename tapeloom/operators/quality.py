@@ -240,6 +240,24 @@ def fill_valuation(bars: DataFrame, sources: Sequence[DataFrame], field: str, cu
     return out.selectExpr(*keep, f"{value} AS {field}")
 
 
+def fill_day(bars: DataFrame, remote: DataFrame, field: str, day: str) -> DataFrame:
+    """``field`` of one day from a remote quote, where the local value is not valid and the remote one is; ``filled`` says where.
+
+    Of several remote rows of a code the one of the greatest ``seq`` counts, valid or not.
+    """
+    last = remote.filter(f"date = DATE'{day}'").groupBy("code").agg(F.max_by(field, "seq").alias("_v"))
+    fill = f"date = DATE'{day}' AND NOT {valid_valuation(field)} AND {valid_valuation('_v')}"
+    keep = [c for c in bars.columns if c != field]
+    return bars.join(last, "code", "left").selectExpr(*keep, f"CASE WHEN {fill} THEN _v ELSE {field} END AS {field}", f"{fill} AS filled")
+
+
+def overlay(base: DataFrame, replacement: DataFrame, key: str = "code") -> DataFrame:
+    """``base`` with every file (all rows of a key) that ``replacement`` holds taken from there; ``replaced`` says which."""
+    from_base = base.join(replacement.select(key).distinct(), key, "left_anti").withColumn("replaced", F.lit(False))
+    known = base.select(key).distinct()
+    return from_base.unionByName(replacement.join(known, key, "left_semi").select(base.columns).withColumn("replaced", F.lit(True)))
+
+
 def stable_adjustment_factor(bars: DataFrame, n: int = 5, tol: float = 0.001) -> DataFrame:
     """Median of close/close_raw before and after each row, and the factor where both agree."""
     ratio = "CASE WHEN close > 0 AND close_raw > 0 THEN close / close_raw END"
@@ -425,12 +443,11 @@ def bar_availability(expected: DataFrame, bars: DataFrame, confirmed: DataFrame,
 
 def nearby_duplicates(bars: DataFrame, reach: int = 7, tol: float = 1e-3) -> DataFrame:
     """Rows with another row of the instrument within ``reach`` days and the same close and volume."""
-    a = bars.selectExpr("code", "date", "unix_date(date) AS pos", "close", "volume")
-    b = bars.selectExpr("code", "date AS other_date", "unix_date(date) AS other_pos", "close AS c2", "volume AS v2")
-    pairs = near_rows(a, b, "code", "pos", "other_pos", reach)
-    return pairs.filter(f"date <> other_date AND abs(c2 / close - 1) <= {tol} AND abs(v2 / volume - 1) <= {tol}").select(
-        "code", "date", "other_date"
-    )
+    # The dates of an instrument differ, so the frame holds at most 2 * reach + 1 rows.
+    frame = f"OVER (PARTITION BY code ORDER BY unix_date(date) RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)"
+    near = bars.selectExpr("code", "date", "close", "volume", f"collect_list(struct(date, close, volume)) {frame} AS _near")
+    same = f"o -> o.date <> date AND abs(o.close / close - 1) <= {tol} AND abs(o.volume / volume - 1) <= {tol}"
+    return near.selectExpr("code", "date", f"explode(filter(_near, {same})) AS _o").selectExpr("code", "date", "_o.date AS other_date")
 
 
 def match_events(changes: DataFrame, events: DataFrame, reach: int = 5, tol: float = 0.03) -> DataFrame:

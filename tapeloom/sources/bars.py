@@ -132,8 +132,8 @@ def report_table(df: DataFrame, rows: str, columns: str, value: str, names: Sequ
 
 
 def write_bars(df: DataFrame, path: str) -> None:
-    """Yearly partitions; only the partitions present in ``df`` are replaced."""
-    out = df.withColumn("year", F.year("date")).repartition("year")
+    """Yearly partitions, each written by several tasks; only the partitions present in ``df`` are replaced."""
+    out = df.withColumn("year", F.year("date")).repartition("year", F.pmod(F.hash("code"), F.lit(16)))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 

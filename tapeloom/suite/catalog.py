@@ -260,6 +260,38 @@ ORACLES["usage_aggregate"] = sql(
 )
 
 
+def top_sources(spark, d):
+    return ct.top_sources(_events(spark, d))
+
+
+QUERIES["top_sources"] = top_sources
+ORACLES["top_sources"] = "SELECT source_id, count(*) AS events FROM (SELECT user_id AS source_id FROM events UNION ALL SELECT user_id + 1 FROM events) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"
+
+
+def no_result_queries(spark, d):
+    return ct.no_result_queries(
+        wh.table(spark, d, "events").selectExpr("CASE WHEN value < 20 THEN 'no_result' ELSE 'ok' END AS outcome", "CASE WHEN event_type <> 'view' THEN md5(CAST(user_id AS STRING)) END AS query_hash")
+    )
+
+
+QUERIES["no_result_queries"] = no_result_queries
+ORACLES["no_result_queries"] = "SELECT md5(CAST(user_id AS VARCHAR)) AS query_hash, count(*) AS events FROM events WHERE value < 20 AND event_type <> 'view' GROUP BY 1"
+
+
+def evidence_anchors(spark, d):
+    said = "collect_list(struct(turn, concat('turn/', turn) AS evidence_anchor, CASE WHEN length(text) > 100 THEN text END AS evidence_quote))"
+    t = wh.table(spark, d, "conversations")
+    records = t.groupBy("conv_id").agg(
+        F.expr(f"sort_array({said} FILTER (WHERE role = 'user'))").alias("claims"), F.expr(f"sort_array({said} FILTER (WHERE role <> 'user'))").alias("methods")
+    )
+    return out(ct.evidence_anchors(records, "conv_id", ("claims", "methods")), "*")
+
+
+QUERIES["evidence_anchors"] = evidence_anchors
+ORACLES["evidence_anchors"] = """SELECT conv_id, f || '[' || (row_number() OVER (PARTITION BY conv_id, f ORDER BY turn, 'turn/' || turn, CASE WHEN length(text) > 100 THEN text END NULLS FIRST) - 1) || ']' AS ref, 'turn/' || turn AS anchor, CAST(length(text) > 100 AS INT) AS has_quote
+FROM (SELECT *, CASE WHEN role = 'user' THEN 'claims' ELSE 'methods' END AS f FROM conversations)"""
+
+
 def citation_inventory(spark, d):
     e = _events(spark, d).withColumn("event_type", F.expr("CASE WHEN event_type = 'purchase' THEN 'trace' ELSE event_type END"))
     return out(ct.citation_inventory(e), "*")

@@ -9,6 +9,17 @@ from tapeloom.suite.sqlbase import S, cte, i, r, sql
 
 QUERIES, ORACLES = {}, {}
 
+
+def deal_directions(spark, d):
+    from tapeloom.functions.scalars import normalize_direction
+
+    deals = wh.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE l_returnflag WHEN 'R' THEN '卖盘' WHEN 'A' THEN '买盘' END AS side")
+    return deals.selectExpr("l_orderkey", "l_linenumber", f"{normalize_direction('side')} AS direction").groupBy("l_orderkey", "direction").count()
+
+
+QUERIES["deal_directions"] = deal_directions
+ORACLES["deal_directions"] = "SELECT l_orderkey, CASE WHEN l_returnflag = 'A' THEN 'buy' ELSE 'sell' END AS direction, count(*) AS count FROM lineitem GROUP BY ALL"
+
 cte(
     "mflow",
     """SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INT), '0') AS code, CAST(wk AS DATE) AS date, inflow, outflow, inflow - outflow AS net_flow, amount, v*100/(1000.0*(1 + l_suppkey % 7)) AS turnover FROM (

@@ -467,3 +467,36 @@ def repair_trade_units(spark, d):
 
 
 QUERIES["repair_trade_units"] = repair_trade_units
+
+
+FILL_DAY = "1996-07-01"
+
+
+def fill_day(spark, d):
+    b = bars(spark, d).selectExpr("code", "date", "CASE WHEN CAST(code AS BIGINT) % 3 = 0 THEN turnover END AS pcf")
+    late = bars(spark, d).selectExpr("code", "date", "CASE WHEN CAST(code AS BIGINT) % 2 = 0 THEN 0D ELSE close END AS pcf", "2 AS seq")
+    remote = late.unionByName(late.selectExpr("code", "date", "pcf * 2 AS pcf", "1 AS seq"))
+    return out(q.fill_day(b, remote, "pcf", FILL_DAY), "*")
+
+
+QUERIES["fill_day"] = fill_day
+ORACLES["fill_day"] = sql(
+    f"""SELECT code, date, {r('pcf')}, CAST(filled AS INT) AS filled FROM (SELECT code, date, filled, CASE WHEN filled THEN close WHEN CAST(code AS BIGINT) % 3 = 0 THEN turnover END AS pcf FROM (
+SELECT *, date = DATE '{FILL_DAY}' AND CAST(code AS BIGINT) % 3 <> 0 AND CAST(code AS BIGINT) % 2 = 1 AS filled FROM bars))""",
+    "bars",
+)
+
+
+def overlay(spark, d):
+    b = bars(spark, d).select("code", "date", "close", "volume")
+    corrected = b.filter("volume > 40").selectExpr("code", "date", "close * 2 AS close", "volume")
+    few = corrected.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n < 20").select("code")
+    return out(q.overlay(b, corrected.join(few, "code")), "*")
+
+
+QUERIES["overlay"] = overlay
+ORACLES["overlay"] = sql(
+    f"""SELECT code, date, {r('close volume')}, replaced FROM (SELECT b.code, date, CASE WHEN n < 20 THEN close*2 ELSE close END AS close, volume, CAST(n < 20 AS INT) AS replaced FROM bars b
+LEFT JOIN (SELECT code, count(*) AS n FROM bars WHERE volume > 40 GROUP BY code) c ON c.code = b.code WHERE n IS NULL OR n >= 20 OR volume > 40)""".replace("CAST(n < 20 AS INT)", "CAST(coalesce(n < 20, false) AS INT)"),
+    "bars",
+)

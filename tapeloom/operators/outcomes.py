@@ -230,6 +230,41 @@ def stale_valuation(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     return full.selectExpr("code", "date", f"last(close, true) {w.SO_FAR} AS value", "close IS NULL AS stale")
 
 
+def distribution_exit(paths: DataFrame, gain: float = 0.04, prev_ratio: float = 1.5, ma20_ratio: float = 2.0, bull_ratio: float = 0.9, upper: float = 0.7) -> DataFrame:
+    """Add ``s1``: some bar since the entry is a heavy bearish bar, as seen on the row's own session.
+
+    ``paths`` holds the rows of each trade (code, entry_rn) from its entry row on, with the volume before as ``volume_before``. Such
+    a bar falls with aligned averages on heavy volume (against the bar before, the mean of up to twenty bars since the entry, or the
+    largest rising bar so far), high in the range of the last twenty bars or within three bars of one of the three highest.
+    Nothing counts before the best close is ``gain`` above the entry's.
+    """
+    by = "PARTITION BY code, entry_rn ORDER BY rn ROWS BETWEEN"
+    so_far, past = f"OVER ({by} UNBOUNDED PRECEDING AND CURRENT ROW)", f"OVER ({by} 20 PRECEDING AND 1 PRECEDING)"
+    last = f"OVER ({by} 19 PRECEDING AND CURRENT ROW)"
+    heavy = f"coalesce(volume / volume_before >= {prev_ratio}D, false) OR coalesce(volume / avg(volume) {past} >= {ma20_ratio}D, false)"
+    bearish = "coalesce(ma5 > ma10 AND ma10 > ma20 AND close <= open AND low < high, false)"
+    rows = paths.selectExpr("*", f"{heavy} AS _heavy", f"{bearish} AS _bearish").selectExpr(
+        "*",
+        f"collect_list(CASE WHEN _bearish THEN struct(rn, close, volume, _heavy AS heavy) END) {so_far} AS _bars",
+        f"max(CASE WHEN close > open THEN volume END) {so_far} AS _bull",
+        f"slice(reverse(sort_array(collect_list(struct(high, -rn AS at)) {so_far})), 1, 3) AS _top",
+        f"max(high) {last} AS _high",
+        f"min(low) {last} AS _low",
+        f"max(close) {so_far} / first(close) {so_far} - 1 AS _best",
+    )
+    volume = f"(b.heavy OR coalesce(_bull > 0 AND b.volume >= _bull * {bull_ratio}D, false))"
+    place = f"((_high > _low AND (b.close - _low) / (_high - _low) >= {upper}D) OR exists(_top, t -> b.rn + t.at BETWEEN 1 AND 3))"
+    return rows.selectExpr(*paths.columns, f"rn > entry_rn AND _best >= {gain}D AND exists(_bars, b -> {volume} AND {place}) AS s1")
+
+
+def trade_paths(trades: DataFrame, bars: DataFrame, rows: int) -> DataFrame:
+    """Each trade's entry bar and the ``rows`` bars after it."""
+    shown = bars.selectExpr(
+        *"code rn date open high low close volume ma5 ma10 ma20 white_line yellow_line".split(), "lag(volume) OVER (PARTITION BY code ORDER BY rn) AS volume_before"
+    )
+    return trades.withColumn("rn", F.explode(F.sequence("entry_rn", F.col("entry_rn") + rows))).join(shown, ["code", "rn"])
+
+
 def exit_rules(
     trades: DataFrame,
     bars: DataFrame,
@@ -242,12 +277,11 @@ def exit_rules(
     """First exit event of each trade and the rule that caused it.
 
     On one session the rules apply in this order: stop, weak after ``weak_days``, break of yellow,
-    break of white after launch, profit target after launch, longest hold. ``trades`` carries the
+    break of white after launch, profit target after launch, distribution (S1), longest hold. ``trades`` carries the
     entry row number ``entry_rn`` and ``stop_price``; sessions are reached by an equi-join on
     (code, row number). Sessions have different dates, so the longest hold ends within as many rows as it has days.
     """
-    paths = trades.withColumn("rn", F.explode(F.sequence(F.col("entry_rn") + 1, F.col("entry_rn") + max_hold_days)))
-    paths = paths.join(bars.select("code", "rn", "date", "low", "close", "white_line", "yellow_line"), ["code", "rn"])
+    paths = distribution_exit(trade_paths(trades, bars, max_hold_days)).filter("rn > entry_rn")
     gain = F.col("close") / F.col("entry_price") - 1
     days = F.datediff("date", "entry_date")
     path = Window.partitionBy("code", "entry_rn").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
@@ -259,6 +293,7 @@ def exit_rules(
         ("break_yellow", F.col("close") < F.col("yellow_line"), F.col("close")),
         ("break_white", F.col("launched") & (F.col("close") < F.col("white_line")), F.col("close")),
         ("target", F.col("launched") & (gain > target), F.col("close")),
+        ("S1", F.col("s1"), F.col("close")),
         ("max_hold", days >= max_hold_days, F.col("close")),
     )
     event = F.coalesce(

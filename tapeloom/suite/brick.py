@@ -518,6 +518,28 @@ def exit_rules(spark, d):
 
 
 QUERIES["exit_rules"] = exit_rules
+
+
+def distribution_exit(spark, d):
+    rows = plan.rows(bars(spark, d))
+    t = outcomes.label_trades(rows).filter("status <> 'blocked'").selectExpr("code", "rn + 1 AS entry_rn")
+    seen = outcomes.distribution_exit(outcomes.trade_paths(t, rows, 60))
+    return out(seen.filter("rn > entry_rn"), "code entry_rn rn s1")
+
+
+QUERIES["distribution_exit"] = distribution_exit
+# Distribution since the entry: pairs of a session n and an earlier bar i of the trade, and the three highest bars t up to n.
+cte("s1path", f"""SELECT t.code, t.rn + 1 AS ern, b.rn, b.open, b.high, b.low, b.close, b.volume, b.ma5 > b.ma10 AND b.ma10 > b.ma20 AND b.close <= b.open AND b.low < b.high AS bear, b.pv, e.close AS eclose
+FROM (SELECT * FROM trades WHERE status <> 'blocked') t JOIN (SELECT *, lag(volume) OVER (PARTITION BY code ORDER BY rn) AS pv FROM feat) b ON b.code = t.code AND b.rn BETWEEN t.rn + 1 AND t.rn + 61 JOIN feat e ON e.code = t.code AND e.rn = t.rn + 1""", "trades", "feat")
+cte("s1day", """SELECT n.code, n.ern, n.rn AS n, max(p.close)/any_value(n.eclose) - 1 AS best, max(p.volume) FILTER (p.close > p.open) AS bull, max(p.high) FILTER (p.rn > n.rn - 20) AS hi, min(p.low) FILTER (p.rn > n.rn - 20) AS lo
+FROM s1path n JOIN s1path p ON p.code = n.code AND p.ern = n.ern AND p.rn <= n.rn GROUP BY 1, 2, 3""", "s1path")
+cte("s1top", """SELECT code, ern, n, t FROM (SELECT n.code, n.ern, n.rn AS n, p.rn AS t, row_number() OVER (PARTITION BY n.code, n.ern, n.rn ORDER BY p.high DESC, p.rn) AS k FROM s1path n JOIN s1path p ON p.code = n.code AND p.ern = n.ern AND p.rn <= n.rn) WHERE k <= 3""", "s1path")
+cte("s1bar", """SELECT p.code, p.ern, p.rn AS i, p.close, p.volume, coalesce(p.volume/p.pv >= 1.5, false) OR coalesce(p.volume/avg(q.volume) >= 2, false) AS heavy
+FROM s1path p LEFT JOIN s1path q ON q.code = p.code AND q.ern = p.ern AND q.rn BETWEEN p.rn - 20 AND p.rn - 1 WHERE p.bear GROUP BY p.code, p.ern, p.rn, p.close, p.volume, p.pv""", "s1path")
+cte("s1", """SELECT DISTINCT d.code, d.ern, d.n, true AS s1 FROM s1day d JOIN s1bar b ON b.code = d.code AND b.ern = d.ern AND b.i <= d.n
+WHERE best >= 0.04 AND d.n > d.ern AND (heavy OR coalesce(bull > 0 AND b.volume >= bull*0.9, false))
+ AND ((hi > lo AND (b.close - lo)/(hi - lo) >= 0.7) OR EXISTS (SELECT 1 FROM s1top t WHERE t.code = d.code AND t.ern = d.ern AND t.n = d.n AND b.i - t.t BETWEEN 1 AND 3))""", "s1day", "s1bar", "s1top")
+ORACLES["distribution_exit"] = sql("SELECT p.code, p.ern AS entry_rn, p.rn, CAST(coalesce(s1, false) AS INT) AS s1 FROM s1path p LEFT JOIN s1 s ON s.code = p.code AND s.ern = p.ern AND s.n = p.rn WHERE p.rn > p.ern", "s1path", "s1")
 ORACLES["exit_rules"] = sql(
     f"""SELECT code, entry_date, {r("entry_price exit_price profit_pct")}, CAST(launched_in_path AS INT) AS launched_in_path, exit_reason, exit_date FROM (
 SELECT code, any_value(entry_date) AS entry_date, any_value(entry_price) AS entry_price, coalesce(arg_min(launched, rn) FILTER (reason IS NOT NULL), bool_or(launched)) AS launched_in_path,
@@ -525,12 +547,13 @@ SELECT code, any_value(entry_date) AS entry_date, any_value(entry_price) AS entr
  arg_min(price, rn) FILTER (reason IS NOT NULL) AS exit_price, (exit_price/any_value(entry_price) - 1)*100 AS profit_pct
 FROM (SELECT *, CASE WHEN reason = 'stop_loss' THEN stop WHEN reason IS NOT NULL THEN close END AS price FROM (
 SELECT *, CASE WHEN low <= stop THEN 'stop_loss' WHEN days >= 3 AND gain < 0.02 THEN 'weak' WHEN close < yellow_line THEN 'break_yellow'
- WHEN launched AND close < white_line THEN 'break_white' WHEN launched AND gain > 0.25 THEN 'target' WHEN days >= 60 THEN 'max_hold' END AS reason FROM (
+ WHEN launched AND close < white_line THEN 'break_white' WHEN launched AND gain > 0.25 THEN 'target' WHEN s1 THEN 'S1' WHEN days >= 60 THEN 'max_hold' END AS reason FROM (
 SELECT *, bool_or(gain > 0.05 AND close > white_line) OVER (PARTITION BY code, ern ORDER BY rn) AS launched FROM (
-SELECT t.code, t.entry_date, t.entry_price, t.rn + 1 AS ern, t.low*0.9 AS stop, b.rn, b.date, b.low, b.close, b.white_line, b.yellow_line, b.close/t.entry_price - 1 AS gain, b.date - t.entry_date AS days
-FROM (SELECT * FROM trades WHERE status <> 'blocked') t JOIN feat b ON b.code = t.code AND b.rn BETWEEN t.rn + 2 AND t.rn + 61))))
+SELECT t.code, t.entry_date, t.entry_price, t.rn + 1 AS ern, t.low*0.9 AS stop, b.rn, b.date, b.low, b.close, b.white_line, b.yellow_line, b.close/t.entry_price - 1 AS gain, b.date - t.entry_date AS days, coalesce(s.s1, false) AS s1
+FROM (SELECT * FROM trades WHERE status <> 'blocked') t JOIN feat b ON b.code = t.code AND b.rn BETWEEN t.rn + 2 AND t.rn + 61 LEFT JOIN s1 s ON s.code = t.code AND s.ern = t.rn + 1 AND s.n = b.rn))))
 GROUP BY code, ern)""",
     "trades",
+    "s1",
 )
 
 

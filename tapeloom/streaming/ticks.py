@@ -55,22 +55,20 @@ def for_each_surge(stream: DataFrame, target: str, checkpoint: str, find: Callab
 def whale_stream(daily: DataFrame, periods: int = 5, least: int = 2) -> DataFrame:
     """Runs of net buying per code over its last ``periods`` feature rows, held as keyed state.
 
-    The state of a code is its last ``periods`` net volumes, so it stays small whatever the volume.
+    The state of a code is its last ``periods`` net volumes, so it stays small whatever the volume. A batch holds a code's
+    feature rows whole, one a day, however they are cut into Arrow chunks, and is read in order of date.
     """
 
     def update(key, batches, state):
         import pandas as pd
 
         past = list(state.get[0]) if state.exists else []
-        out = []
-        for pdf in batches:
-            for row in pdf.sort_values("date").itertuples(index=False):
-                past = (past + [float(row.net_buy_vol)])[-periods:]
-                ups = sum(v > 0 for v in past)
-                if ups >= least and past[-1] > 0:
-                    out.append((key[0], row.date, ups, sum(past)))
-        state.update((past,))
-        yield pd.DataFrame(out, columns=["code", "date", "net_buy_days", "net_volume"])
+        rows = pd.concat(list(batches)).sort_values("date")
+        net = pd.Series([*past, *rows["net_buy_vol"].astype(float)])
+        frame = lambda s: s.rolling(periods, min_periods=1).sum().iloc[len(past) :].to_numpy()
+        out = pd.DataFrame({"code": key[0], "date": rows["date"].to_numpy(), "net_buy_days": frame((net > 0).astype(float)).astype(int), "net_volume": frame(net)})
+        state.update((net.iloc[-periods:].tolist(),))
+        yield out[(out["net_buy_days"] >= least) & (rows["net_buy_vol"].to_numpy() > 0)]
 
     return daily.groupBy("code").applyInPandasWithState(
         update, "code string, date date, net_buy_days int, net_volume double", "past array<double>", "append", GroupStateTimeout.NoTimeout

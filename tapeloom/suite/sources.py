@@ -211,3 +211,23 @@ ORACLES["streamed_intensity"] = sql(
     """SELECT lpad(CAST(user_id AS VARCHAR), CAST(greatest(6, length(CAST(user_id AS VARCHAR))) AS INT), '0') AS code, date_trunc('hour', ts) AS slot, count(*) AS ticks, sum(event_id % 10 + 1.0::DOUBLE) AS volume, sum((event_id % 10 + 1.0::DOUBLE)*CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS delta
 FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM events) GROUP BY 1, 2"""
 )
+
+
+def streamed_whale_runs(spark, d):
+    """Runs of net buying per code, from a stream over its daily feature rows."""
+    folder = shared_folder(spark, "whales")
+    events = wh.table(spark, d, "events")
+    net = "sum(CASE event_type WHEN 'purchase' THEN 1D WHEN 'error' THEN -1D ELSE 0D END * (event_id % 10 + 1)) AS net_buy_vol"
+    daily = events.groupBy(F.expr("CAST(user_id AS STRING)").alias("code"), F.expr("CAST(ts AS DATE)").alias("date")).agg(F.expr(net))
+    daily.write.parquet(f"{folder}/daily")
+    stream = spark.readStream.schema(daily.schema).parquet(f"{folder}/daily")
+    st.run_to_table(st.whale_stream(stream), f"{folder}/table", f"{folder}/state")
+    return out(spark.read.parquet(f"{folder}/table"), "*")
+
+
+QUERIES["streamed_whale_runs"] = streamed_whale_runs
+ORACLES["streamed_whale_runs"] = sql(
+    f"""SELECT code, date, CAST(ups AS INT) AS net_buy_days, {r('net_volume')} FROM (SELECT *, count(*) FILTER (v > 0) OVER f AS ups, sum(v) OVER f AS net_volume FROM (
+SELECT CAST(user_id AS VARCHAR) AS code, CAST(ts AS DATE) AS date, sum(CASE event_type WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'error' THEN -1 ELSE 0 END*(event_id % 10 + 1)) AS v FROM events GROUP BY ALL)
+WINDOW f AS (PARTITION BY code ORDER BY date ROWS 4 PRECEDING)) WHERE ups >= 2 AND v > 0"""
+)

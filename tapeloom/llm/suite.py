@@ -70,4 +70,33 @@ QUERIES = {
         op10_token_files,
     )
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.oracle()}
+SUBSTRING_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - 18)) AS s FROM docs WHERE len(w) >= 20)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, UNNEST(range(s, s + 20)) AS pos FROM later),
+spread AS (SELECT doc_id, UNNEST(w) AS word, UNNEST(range(1, len(w) + 1)) AS pos FROM docs),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM spread ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept k USING (doc_id)"""
+
+VECTORS_SQL = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE {VECTORS_SQL},
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, l.b FROM reach r JOIN links l ON r.m = l.a)
+SELECT n AS vec_id, coalesce(any_value(c), 0)::BIGINT AS n_links, min(m) AS component_id, n = min(m) AS kept
+FROM reach LEFT JOIN (SELECT a, count(*) AS c FROM links GROUP BY a) ON a = n GROUP BY n"""
+
+TOP_SQL = f"""
+WITH {VECTORS_SQL}, f AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x)) AS e FROM v),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM f q JOIN f c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scores QUALIFY rank <= 20"""
+
+ORACLES: dict[str, str] = {
+    "op3_mix_sources": mixing.oracle(),
+    "op7_sketched_substring_dedup": SUBSTRING_SQL,
+    "op8_cover_tree_near_duplicates": NEAR_SQL,
+    "op9_dual_tree_top_k": TOP_SQL,
+}

@@ -70,6 +70,18 @@ QUERIES = {
         op10_token_files,
     )
 }
+BYTES_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, s, md5(substring(h, 2 * s - 1, 400)) AS k FROM (SELECT doc_id, h, UNNEST(range(1, length(h) // 2 - 198)) AS s FROM docs WHERE length(h) >= 400)),
+found AS (SELECT doc_id, s FROM starts QUALIFY count(*) OVER (PARTITION BY k) > 1),
+marked AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 200, true)::INTEGER AS fresh FROM found),
+runs AS (SELECT doc_id, min(s) AS low, max(s) + 199 AS high FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marked) GROUP BY doc_id, g),
+pieces AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) + 1 AS a, low - 1 AS b FROM runs UNION ALL SELECT doc_id, max(high) + 1, NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substring(h, 2 * a - 1) ELSE substring(h, 2 * a - 1, 2 * (b - a + 1)) END, '' ORDER BY a) AS h FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(high - low + 1) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN sums USING (doc_id)"""
+
 SUBSTRING_SQL = r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - 18)) AS s FROM docs WHERE len(w) >= 20)),
@@ -95,6 +107,7 @@ scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BI
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scores QUALIFY rank <= 20"""
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": BYTES_SQL,
     "op3_mix_sources": mixing.oracle(),
     "op7_sketched_substring_dedup": SUBSTRING_SQL,
     "op8_cover_tree_near_duplicates": NEAR_SQL,

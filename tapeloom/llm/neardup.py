@@ -18,6 +18,8 @@ from tapeloom.llm.graph import components, local_labels
 
 # Distances of unit vectors come from differences of squares; bounds give way by this much, single points decide exactly.
 SLACK = 1e-6
+# Cells of a tile; a task compares two tiles.
+TILE_CELLS = 4
 
 
 class Links:
@@ -91,11 +93,30 @@ def valid(vector: str) -> str:
     return f"{v} IS NOT NULL AND forall({v}, x -> x IS NOT NULL AND abs(x) < double('Infinity')) AND exists({v}, x -> x <> 0)"
 
 
-def cell_pairs(grown: DataFrame, allowed: np.ndarray) -> DataFrame:
-    """Each tree with its key (pivot, cell) as ``side`` and every partner's pair key; ``allowed`` marks pairs of pivots."""
-    pairs = grown.sparkSession.createDataFrame([(int(p), int(q)) for p, q in zip(*np.nonzero(allowed))], "pivot int, p int")
-    others = pairs.join(grown.selectExpr("pivot AS p", "cell AS c"), "p")
-    rows = grown.join(others, "pivot").withColumn("side", F.struct(F.col("pivot").alias("p"), F.col("cell").alias("c"))).withColumn("other", F.struct("p", "c"))
+def pivot_groups(centres: np.ndarray, size: int) -> np.ndarray:
+    """Group number of each pivot: a pivot and its nearest ones not yet grouped, ``size`` together."""
+    group, k = np.full(len(centres), -1), 0
+    while (group < 0).any():
+        free = np.flatnonzero(group < 0)
+        near = ct.distances(centres[free], centres[free[:1]])[:, 0]
+        group[free[np.argsort(near, kind="stable")[:size]]] = k
+        k += 1
+    return group
+
+
+def tile_pairs(grown: DataFrame, centres: np.ndarray, allowed: np.ndarray) -> DataFrame:
+    """Each tree once for every tile that its own tile must be compared with, under the pair's key (low, high).
+
+    A tile holds the cells of a few near pivots, TILE_CELLS of each pivot at most; tiles of which no pair of pivots is ``allowed``
+    do not meet.
+    """
+    group = pivot_groups(centres, TILE_CELLS)
+    meet = {(int(group[p]), int(group[q])) for p, q in zip(*np.nonzero(allowed))}
+    groups = F.create_map(*[F.lit(int(x)) for p, g in enumerate(group) for x in (p, g)])
+    tiled = grown.withColumn("side", F.struct(groups[F.col("pivot")].alias("g"), F.floor(F.col("cell") / TILE_CELLS).alias("s")))
+    pairs = grown.sparkSession.createDataFrame(sorted(meet), "g int, h int")
+    others = pairs.join(tiled.selectExpr("side.g AS h", "side.s AS s").distinct(), "h").selectExpr("g", "struct(h AS g, s) AS other")
+    rows = tiled.withColumn("g", F.col("side.g")).join(others, "g").drop("g")
     return rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
 
 
@@ -142,10 +163,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     np.fill_diagonal(allowed, True)
 
     def compare(t: pa.Table) -> pa.Table:
-        sides = [ct.Tree.of(r) for r in t.sort_by([("pivot", "ascending"), ("cell", "ascending")]).to_pylist()]
-        return traverse(sides[0], sides[-1], cosine).rows(len(sides) == 1)
-
-    found = table(cell_pairs(grown, allowed).groupBy("low", "high").applyInArrow(compare, "id long, other long, n long"), "links")
+        held = sorted(t.to_pylist(), key=lambda r: (r["pivot"], r["cell"]))
+        sides = [[(r["pivot"], ct.Tree.of(r)) for r in held if r["side"] == r[end]] for end in ("low", "high")]
+        same = held[0]["low"] == held[0]["high"]
+        parts = [pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})]
+        for i, (p, a) in enumerate(sides[0]):
+            for j, (q, b) in enumerate(sides[1]):
+                if allowed[p, q] and not (same and i > j):
+                    parts.append(traverse(a, b, cosine).rows(same and i == j))
+        return pa.concat_tables(parts)
+
+    found = table(tile_pairs(grown, centres, allowed).groupBy("low", "high").applyInArrow(compare, "id long, other long, n long"), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.selectExpr("id AS a", "other AS b"))
     known = classes.join(counts, "id").join(comp, classes["id"] == comp["node"], "left").withColumn("component", F.coalesce("component", "id"))

@@ -207,6 +207,11 @@ def chunk_text(spark, d):
 
 
 QUERIES["chunk_text"] = chunk_text
+ORACLES["chunk_text"] = """WITH RECURSIVE lines AS (SELECT doc_id, UNNEST(l) AS line, UNNEST(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+walk AS (SELECT doc_id, i, 0 AS chunk, 0::BIGINT AS held FROM lines WHERE i = 1
+UNION ALL SELECT w.doc_id, w.i + 1, w.chunk + CAST(n AS INT), CASE WHEN n THEN 0 ELSE after END FROM (
+SELECT w.*, held + length(line) + 1 AS after, held + length(line) + 1 >= 1800 AND (trim(line) = '' OR starts_with(line, '#')) AS n FROM walk w JOIN lines USING (doc_id, i)) w JOIN lines m ON m.doc_id = w.doc_id AND m.i = w.i + 1)
+SELECT doc_id, chunk, CAST(min(i) AS INT) AS start_line, CAST(length(trim(string_agg(line, chr(10) ORDER BY i))) AS INT) AS n_chars FROM walk JOIN lines USING (doc_id, i) GROUP BY doc_id, chunk"""
 
 KEYWORDS = {"sound": {"the": ["thention", "ther"], "eau": ["eau", "eaux"]}, "mark": {"mail": ["@"], "web": ["http"], "licence": ["license", "copyright"]}}
 

@@ -147,7 +147,30 @@ def residual_rank_ic_many(spark, d):
     return out(stats.residual_rank_ic(panel(spark, d), "body_abs", ["volume_rank", "atr_pct", "vol_ratio", "mom5"], "return_pct", least=9), "*")
 
 
+def _partialled(controls):
+    """Residual of y on all controls by taking them out one after the other; a control that the ones before explain adds nothing."""
+    frame = "OVER (PARTITION BY date)"
+    table = f"SELECT date, return_pct, count(*) {frame} AS rows, " + ", ".join(
+        f"{c} - avg({c}) {frame} AS {a}, sum(0.0) {frame} AS {a}_all" for c, a in [("body_abs", "y"), *((c, f"x{k}") for k, c in enumerate(controls))]
+    )
+    whole = ["body_abs", *controls]
+    table += " FROM panel WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in [*whole, "return_pct"])
+    names = ["y", *(f"x{k}" for k in range(len(controls)))]
+    table = f"SELECT * REPLACE ({', '.join(f'sum({a}*{a}) {frame} AS {a}_all' for a in names)}) FROM ({table})"
+    for k in range(len(controls)):
+        rest = ["y", *(f"x{j}" for j in range(k + 1, len(controls)))]
+        own = f"sum(x{k}*x{k}) {frame}"
+        gone = ", ".join(f"CASE WHEN {own} > 1e-14*x{k}_all AND {own} > 0 THEN {a} - x{k}*sum({a}*x{k}) {frame}/{own} ELSE {a} END AS {a}" for a in rest)
+        table = f"SELECT * REPLACE ({gone}) FROM ({table})"
+    return f"SELECT date, rows, return_pct, y_all, y AS residual, sum(y*y) {frame} AS left_over FROM ({table})"
+
+
 QUERIES["residual_rank_ic_many"] = residual_rank_ic_many
+ORACLES["residual_rank_ic_many"] = sql(
+    f"""SELECT date, rows, {r('rank_ic r2')} FROM (SELECT date, any_value(rows) AS rows, corr(ra, rb) AS rank_ic, any_value(greatest(0, 1 - left_over/y_all)) AS r2 FROM (SELECT *, {_ar('residual', 'date')} AS ra, {_ar('return_pct', 'date')} AS rb FROM (
+SELECT * REPLACE (round(residual, 12) AS residual) FROM ({_partialled(['volume_rank', 'atr_pct', 'vol_ratio', 'mom5'])}) WHERE rows >= 9 AND y_all > 1e-12 AND sqrt(left_over/rows) > 1e-12)) GROUP BY date) WHERE rank_ic IS NOT NULL AND NOT isnan(rank_ic)""",
+    "panel",
+)
 
 
 def label_bins(spark, d):

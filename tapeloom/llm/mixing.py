@@ -14,8 +14,8 @@ from tapeloom.llm.common import table
 from tapeloom.session import cut_lineage
 
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
-# Kind of text, from its surface.
-TOPIC = "CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'loud' WHEN n_tokens < 100 THEN 'short' ELSE 'prose' END"
+# Kind of text, from its surface: SQL over the text, never null, and its number of tokens.
+TOPIC = "CASE WHEN contains(_text, ' | ') THEN 'table' WHEN contains(_text, '!!') THEN 'loud' WHEN _tokens < 100 THEN 'short' ELSE 'prose' END"
 DIMENSIONS = ("source", "lang", "topic")
 # Target marginals: the token shares raised to these powers, so that small sources and languages gain.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 1.0}
@@ -50,10 +50,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
 
 def with_strata(df: DataFrame, topic: str = TOPIC) -> DataFrame:
     """``df`` (doc_id, text, source, lang, ...) with _tokens, _source, _lang, _topic; null text is empty, null values are 'unknown'."""
-    counted = df.withColumn("_tokens", F.expr(f"CAST(regexp_count(coalesce(text, ''), '{WORD}') AS LONG)"))
-    kind = F.expr(topic.replace("n_tokens", "_tokens").replace("text", "coalesce(text, '')"))
+    read = df.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_tokens", F.expr(f"CAST(regexp_count(_text, '{WORD}') AS LONG)"))
     named = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in ("source", "lang")}
-    return counted.withColumns(named | {"_topic": F.coalesce(kind, F.lit("unknown"))})
+    return read.withColumns(named | {"_topic": F.coalesce(F.expr(topic), F.lit("unknown"))}).drop("_text")
 
 
 def mix(
@@ -86,7 +85,6 @@ def mix(
 
 def oracle(documents: str = "documents") -> str:
     """The same for DuckDB, over a table with the columns of documents."""
-    topic = TOPIC
     steps, last = [], "c0"
     for k in range(SWEEPS * len(DIMENSIONS)):
         d = DIMENSIONS[k % len(DIMENSIONS)]
@@ -98,9 +96,9 @@ def oracle(documents: str = "documents") -> str:
     )
     return f"""
 WITH words AS (
-  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
-         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {documents}),
-docs AS (SELECT doc_id, source, lang, {topic} AS topic, n_tokens FROM words),
+  SELECT doc_id, coalesce(text, '') AS _text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS _tokens FROM {documents}),
+docs AS (SELECT doc_id, source, lang, {TOPIC} AS topic, _tokens AS n_tokens FROM words),
 cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0),
 {targets},
 c0 AS (SELECT *, tokens::DOUBLE / sum(tokens) OVER () AS share FROM cells),

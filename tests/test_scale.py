@@ -34,6 +34,7 @@ def test_daily_bars_reach_the_longest_hold(spark):
     start = dt.date(2024, 1, 1)
     days = [("A", k + 1, start + dt.timedelta(days=k + k // 5 * 2), 9.9, 10.5 + k / 1000, 10.0, 9.0) for k in range(120)]
     bars = spark.createDataFrame(days, "code string, rn int, date date, low double, close double, white_line double, yellow_line double")
+    bars = bars.selectExpr("*", "close AS open", "close AS high", "100D AS volume", "1D AS ma5", "2D AS ma10", "3D AS ma20")
     trades = spark.createDataFrame([("A", start, 10.0, 1, 5.0)], "code string, entry_date date, entry_price double, entry_rn int, stop_price double")
     got = outcomes.exit_rules(trades, bars).first()
     assert got.exit_reason == "max_hold" and (got.exit_date - start).days >= 60

@@ -1,12 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are counted by cell (source, language, topic). Raking scales the cells to one target marginal after the other until
-all agree; a document is then drawn with the probability that makes its cell's expected tokens the cell's share of the
-budget. The draw is a hash of the id, so it is the same in every run. Only DataFrame operations are used.
+all agree, with no cell beyond its tokens; a document is then drawn with the probability that makes its cell's expected tokens the
+cell's share of the budget. The draw is a hash of the id, so it is the same in every run. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ SWEEPS = 6
 FRACTION = 0.5
 # A cell's documents are joined to its probability in so many parts.
 SALTS = 16
+# Shares of the budget that miss their target by more are reported.
+NOTED = 1e-4
+LOG = logging.getLogger(__name__)
 
 
 def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
@@ -32,20 +37,97 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
     return sums.join(F.broadcast(total)).select(name, (F.col("raw") / F.col("total")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def level(df: DataFrame, share: str = "share", room: str = "room") -> float:
+    """The factor f for which least(room, f * share) sums to one; if all rooms together are less, one that fills them all.
+
+    Newton's steps on the sums: the sum is concave in the factor, so after the first the steps only rise, to the exact factor.
+    """
+    at = 1.0
+    for step in range(200):
+        raised = F.col(share) * F.lit(at)
+        row = df.where(F.col(share) > 0).agg(
+            F.sum(share), F.sum(F.when(raised < F.col(room), F.col(share))), F.sum(F.when(raised >= F.col(room), F.col(room)))
+        ).first()
+        every, free, held = row[0], row[1] or 0.0, row[2] or 0.0
+        if not every or (not free and (step or held <= 1)):
+            return at
+        new = max(1 / every if not step else at, (1 - held) / free if free else 0.0)
+        if abs(new / at - 1) <= 1e-13:
+            return new
+        at = new
+    return at
+
+
+def reachable(now: DataFrame, name: str) -> DataFrame:
+    """(name, to_name): the targets of one marginal that a draw without repeats can reach. A value without the tokens for its
+    target has all it has, and what it lacks goes to the others in proportion."""
+    values = now.where("share > 0").groupBy(name).agg(F.first(f"to_{name}").alias("share"), F.sum("room").alias("room"))
+    values = cut_lineage(values)
+    return values.select(name, F.least(F.col("room"), F.col("share") * F.lit(level(values))).alias(f"to_{name}"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, fraction: float | None = None) -> DataFrame:
     """``cells`` (dimensions, tokens) with ``share``: the fitted share of each cell. A target value without cells is left out; a
-    value without target has share zero."""
+    value without target has share zero.
+
+    With ``fraction``, shares are of a budget of that part of all tokens, and no cell has more than its tokens: a share is the least of
+    that room and a product of one factor for each dimension. Each visit to a marginal solves for its factors given the cells that are full
+    now, so what full cells can't take goes to the others of the same value, and a cell that is full too early is freed again. Targets
+    beyond what a value has are lowered to that; the budget is met whenever the cells with targets have the tokens.
+    """
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    now = cells.join(F.broadcast(total)).withColumn("share", F.col("tokens") / F.col("total")).drop("total")
+    now = cells.join(F.broadcast(total)).withColumn("share", F.col("tokens") / F.col("total"))
+    room = F.col("tokens") / (F.col("total") * F.lit(fraction)) if fraction else F.lit(float("inf"))
+    now = now.withColumn("room", room).drop("total")
     for name, target in targets.items():
         now = now.join(target.select(name, F.col("target").alias(f"to_{name}")), name, "left")
+        now = now.withColumn("share", F.when(F.col(f"to_{name}") > 0, F.col("share")).otherwise(F.lit(0.0)))
     now = cut_lineage(now)
+    if fraction:
+        lowered = {name: reachable(now, name) for name in targets}
+        for name, target in lowered.items():
+            now = now.drop(f"to_{name}").join(target, name, "left")
+        now = cut_lineage(now)
+    full, live = F.col("share") >= F.col("room"), F.col("share") > 0
     for _ in range(sweeps):
         for name in targets:
-            sums = now.groupBy(name).agg(F.sum("share").alias("sum"))
-            now = now.join(sums, name).withColumn("share", F.coalesce(F.col("share") * F.col(f"to_{name}") / F.col("sum"), F.lit(0.0))).drop("sum")
+            sums = now.where(live).groupBy(name).agg(
+                F.sum("share").alias("sum"),
+                F.coalesce(F.sum(F.when(~full, F.col("share"))), F.lit(0.0)).alias("free"),
+                F.coalesce(F.sum(F.when(full, F.col("room"))), F.lit(0.0)).alias("held"),
+                F.sum("room").alias("most"),
+                F.max(F.col("room") / F.col("share")).alias("fills"),
+            )
+            to = F.col(f"to_{name}")
+            factor = F.when(to >= F.col("most") * F.lit(1 - 1e-12), F.col("fills")).otherwise(
+                F.greatest(to / F.col("sum"), F.try_divide(to - F.col("held"), F.col("free")))
+            )
+            # Without a fit the factors of some cells grow or shrink for ever.
+            bound = F.least(F.lit(1e100), F.greatest(F.lit(1e-100), F.col("share") * factor))
+            now = now.join(sums, name, "left").withColumn("share", F.when(live, bound).otherwise(F.lit(0.0))).drop("sum", "free", "held", "most", "fills")
             now = cut_lineage(now)
-    return now.drop(*[f"to_{name}" for name in targets])
+    if fraction:
+        now = now.withColumn("share", F.least(F.col("room"), F.col("share") * F.lit(level(now))))
+    return now.drop("room", *[f"to_{name}" for name in targets])
+
+
+def reached(fitted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, target, reached): every target beside the share of the budget that its cells have."""
+    out = None
+    for name, target in targets.items():
+        sums = fitted.groupBy(name).agg(F.sum("share").alias("reached"))
+        part = target.join(sums, name, "full").select(
+            F.lit(name).alias("dimension"), F.col(name).alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("reached", F.lit(0.0)).alias("reached")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def report(fitted: DataFrame, targets: dict[str, DataFrame]) -> None:
+    """A warning that names the worst of the targets that the fitted shares miss by more than NOTED."""
+    missed = reached(fitted, targets).where(F.abs(F.col("reached") - F.col("target")) > NOTED)
+    for r in missed.orderBy(F.abs(F.col("reached") - F.col("target")).desc(), "dimension", "value").limit(20).collect():
+        LOG.warning("mix: %s %s has %.6f of the budget, target %.6f", r.dimension, r.value, r.reached, r.target)
 
 
 def with_strata(df: DataFrame, topic: str = TOPIC) -> DataFrame:
@@ -61,7 +143,8 @@ def mix(
     """``df`` with _tokens, _source, _lang, _topic, _probability and _copies (0 or 1) of every row.
 
     ``targets`` gives a marginal (value, target) for any dimension; the others are tempered token shares. The budget is
-    ``fraction`` of all tokens. A cell whose share would take more than its tokens is kept whole. Rows of one id are drawn
+    ``fraction`` of all tokens. A cell whose share would take more than its tokens is kept whole, and others with its values make up for it;
+    targets that can't be reached so are logged. Rows of one id are drawn
     together; a null id counts as empty text. Documents without words, and cells without tokens, have probability zero. An empty table gives an empty
     result. Other columns pass through, and must not start with an underscore.
     """
@@ -70,7 +153,9 @@ def mix(
     grouped = docs.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0")
     cells = table(grouped.select(*[F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS)], "tokens"), "cells")
     wanted = {d: (targets or {}).get(d, None) for d in DIMENSIONS}
-    fitted = rake(cells, {d: t if t is not None else tempered(cells, d, temper[d]) for d, t in wanted.items()}, sweeps)
+    wanted = {d: t if t is not None else tempered(cells, d, temper[d]) for d, t in wanted.items()}
+    fitted = rake(cells, wanted, sweeps, fraction)
+    report(fitted, wanted)
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
     chance = fitted.join(F.broadcast(total)).select(
         *[F.col(d).alias(k) for d, k in zip(DIMENSIONS, keys)],

@@ -122,6 +122,58 @@ def test_raking_meets_all_marginals(spark):
     assert np.allclose(fitted.groupby("lang").share.sum(), [0.5, 0.3, 0.2], atol=1e-6)
 
 
+def skewed(seed=0, sources=20):
+    """Documents of 150 words; the sources follow Zipf's law, and each has languages in proportions of its own."""
+    rng, rows = np.random.default_rng(seed), []
+    for k in range(sources):
+        for n, lang in zip(rng.multinomial(2000 // (k + 1), rng.dirichlet([1, 1, 1, 1])), ("de", "en", "es", "fr")):
+            rows += [(len(rows) + i, "w " * 150, f"s{k:02d}", lang) for i in range(n)]
+    return rows
+
+
+def level_shares(raw, rooms):
+    """Shares in proportion to ``raw`` that sum to one, none above its room."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(rooms, mid * raw).sum() < 1 else (low, mid)
+    return np.minimum(rooms, high * raw)
+
+
+def test_drawn_tokens_of_skewed_sources_meet_the_targets(spark, caplog):
+    rows = skewed()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    with caplog.at_level("WARNING"):
+        got = mixing.mix(docs).select("_source", "_lang", "_tokens", "_probability", "_copies").toPandas()
+    budget = got._tokens.sum() * mixing.FRACTION
+    got["expected"], got["drawn"] = got._tokens * got._probability, got._tokens * got._copies
+    short = set()
+    for c, power in (("_source", 0.5), ("_lang", 0.7)):
+        by = got.groupby(c)[["_tokens", "expected", "drawn"]].sum()
+        raw = by._tokens**power / (by._tokens**power).sum()
+        want = level_shares(raw.to_numpy(), by._tokens.to_numpy() / budget)
+        short |= {v for v, w, r in zip(by.index, want, raw) if w < r - 1e-4}
+        assert np.allclose(by.expected / budget, want, atol=1e-3)
+        assert np.allclose(by.drawn / budget, want, atol=0.02)
+    assert math.isclose(got.expected.sum(), budget, rel_tol=1e-9)
+    assert (got._probability == 1).any() and got._probability.max() <= 1
+    assert short and all(any(f" {v} has" in m for m in caplog.messages) for v in short)
+
+
+def test_targets_that_no_draw_reaches_still_fill_the_budget(spark):
+    """Source a has too few tokens, and only source a has language x: what both lack goes to the rest."""
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 90), ("c", "y", "t", 100)], "source string, lang string, topic string, tokens long")
+    even = {
+        "source": spark.createDataFrame([("a", 0.4), ("b", 0.3), ("c", 0.3), ("gone", 0.0)], "source string, target double"),
+        "lang": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "lang string, target double"),
+        "topic": spark.createDataFrame([("t", 1.0)], "topic string, target double"),
+    }
+    fitted = mixing.rake(cells, even, fraction=0.5)
+    assert {r.source: round(r.share, 6) for r in fitted.collect()} == {"a": 0.1, "b": 0.45, "c": 0.45}
+    noted = {(r.dimension, r.value): (r.target, round(r.reached, 6)) for r in mixing.reached(fitted, even).collect()}
+    assert noted[("source", "a")] == (0.4, 0.1) and noted[("lang", "y")] == (0.5, 0.9) and noted[("source", "gone")] == (0.0, 0.0)
+
+
 def test_odd_documents_mix(odd, nothing):
     rows = mixing.mix(odd, fraction=0.9).collect()
     assert len(rows) == odd.count()

@@ -44,16 +44,19 @@ def fingerprint(body: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; null text counts as empty. ``fp`` is the fingerprint as a signed long."""
-    docs = keyed(df, id_col, text_col)
+def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, carried columns) of every row; null text counts as empty. ``fp`` is the fingerprint as a signed long."""
+    docs = keyed(df, id_col, text_col, *carry)
 
     def run(batches):
         for b in batches:
             got = [fingerprint(x.as_py(), width) for x in b["body"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(np.array(got, np.uint64).view(np.int64)), *[b[n] for n in carry]], ["doc_id", "fp", *carry]
+            )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    more = "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in carry)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{more}")
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -199,8 +202,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """``df`` with one row of each component, that of the smallest id; rows with a null id can't be told apart and stay."""
-    found = near_duplicates(df, id_col, text_col, width, radius)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_chosen"))
-    kept = df.join(chosen, df[id_col] == F.col("_chosen"), "left_semi").dropDuplicates([id_col])
+    """``df`` with one row of each component, that of the smallest id; rows with a null id can't be told apart and stay.
+
+    Rows of one id with different texts are documents of their own: a component's row is the first by id, fingerprint and a hash of
+    the text. Columns of ``df`` must not start with an underscore.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(text_col))
+    marked = table(with_fingerprints(hashed, id_col, text_col, width, ("_hash",)), "simhash")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fp", "_hash"))).alias("first")
+    classes = table(marked.groupBy("fp").agg(first), "simhash-classes")
+    comp = components(links(classes.select("fp"), radius))
+    joined = classes.join(comp, classes["fp"] == comp["node"], "left").withColumn("component", F.coalesce("component", "fp"))
+    chosen = joined.groupBy("component").agg(F.min("first").alias("first")).selectExpr("first.doc_id AS _chosen", "first._hash AS _chosen_hash")
+    same = (F.col(id_col) == F.col("_chosen")) & (F.col("_hash") == F.col("_chosen_hash"))
+    kept = hashed.join(chosen, same, "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
     return kept.unionByName(df.where(df[id_col].isNull()))

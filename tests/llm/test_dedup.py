@@ -102,3 +102,14 @@ def test_fingerprints_of_odd_documents(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_each_component_keeps_its_row_when_an_id_has_two_texts(spark):
+    """Id 1 has a copy of a document of id 0 and a text of its own; id 5 has two texts and copies of both."""
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(80)) for w in ("ash", "birch", "cedar", "dogwood"))
+    f = [brute.simhash(x) for x in (a, b, c, d)]
+    assert all((x ^ y).bit_count() > 4 for i, x in enumerate(f) for y in f[:i])
+    rows = [(0, a), (1, a), (1, b), (5, c), (5, d), (5, c), (6, d), (7, c), (None, a)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(0, a), (1, b), (5, c), (5, d), (None, a)], key=str)

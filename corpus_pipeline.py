@@ -5,6 +5,9 @@ Each stage reads what its predecessor kept, written as Parquet. All but the last
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,21 @@ from tapeloom.llm.common import documents, table
 
 # Share of a document's words that its main language must hold.
 LEAST_SHARE = 0.5
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` with all but the columns of documents under reserved names inside, so that none meets a column of its operator."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"_extra_{k}" for k, c in enumerate(docs.columns) if c not in COLUMNS}
+        return stage(spark, docs.withColumnsRenamed(names), sf_dir).toDF(*docs.columns)
+
+    return run
 
 
+@apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language stay; those without letters, or without a language for half their words, go."""
     more = tuple(c for c in docs.columns if c != "doc_id")
@@ -22,11 +38,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 
 
+@apart
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id."""
     return simhash.keep_one(docs).select(docs.columns)
 
 
+@apart
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a smaller id or an earlier place holds too are cut out; a document that had words and keeps none goes."""
     more = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -35,6 +53,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.withColumn("text", text).withColumn("n_chars", F.length(text).cast("long")).select(docs.columns)
 
 
+@apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and kinds of text have their target shares of tokens."""
     return mixing.mix(docs).where("_copies > 0").select(docs.columns)
@@ -53,7 +72,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-# Language mixtures, fingerprints, token ids and best-fit places have no SQL form; tests compare with brute force.
+# Language mixtures, fingerprints, token ids and best-fit places have no SQL form; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ few bytes a distinct item and block, so an item that a third of the corpus holds
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,24 @@ def keyed(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     )
 
 
+def carries(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator`` with its carried columns under names of their own inside, so that none meets a column it makes; a carried name
+    that the result has too is an error."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, carry: tuple[str, ...] = (), **named) -> DataFrame:
+        if not carry:
+            return operator(df, *args, **named)
+        held = {f"_carried_{k}": name for k, name in enumerate(carry)}
+        out = operator(df.withColumns({k: df[name] for k, name in held.items()}), *args, carry=tuple(held), **named)
+        clash = {n.lower() for n in carry} & {n.lower() for n in out.columns}
+        if clash:
+            raise ValueError(f"carried columns have the names of results: {sorted(clash)}")
+        return out.withColumnsRenamed(held)
+
+    return run
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the folder all executors share, and read back."""
     path = f"{shared_folder(df.sparkSession, name)}/t"

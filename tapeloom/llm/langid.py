@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import bodies, fold, keyed, slices
+from tapeloom.llm.common import bodies, carries, fold, keyed, slices
 
 BUCKETS = 1 << 16
 # The model is a table of BUCKETS values a language, held by the driver and each worker; more languages fail by name.
@@ -123,6 +123,7 @@ def mixtures(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty: f
     return out
 
 
+@carries
 def identify(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, penalty: float = 2.0, carry: tuple[str, ...] = ()
 ) -> DataFrame:

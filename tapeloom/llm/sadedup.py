@@ -197,6 +197,7 @@ def kept_bytes(t: pa.Table, replies: dict[int, memoryview], length: int, carry:
     return pa.table(out)
 
 
+@c.carries
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, carried columns, n_bytes, n_removed, n_spans, kept) of every row: ``kept`` has the bytes outside strings of
     ``length`` bytes that start anywhere else too.

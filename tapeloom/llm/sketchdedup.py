@@ -135,6 +135,7 @@ def kept_words(t: pa.Table, replies: dict[int, memoryview], width: int, shards:
     return pa.table(out)
 
 
+@c.carries
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: tuple[str, ...] = (), spare: bool = False) -> DataFrame:
     """(doc_id, carried columns, n_words, n_removed, kept) of every row: ``kept`` has the UTF-8 words that stay, joined by one space;
     with ``spare``, a text that loses nothing keeps its white space.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import langid, lm, mixing, neardup, packing, sadedup, simhash, sketchdedup, tokenfile, topk
+from tapeloom.llm import chat, fim, langid, lm, mixing, neardup, packing, resample, sadedup, simhash, sketchdedup, tokenfile, topk
 from tapeloom.llm.common import documents
 from tapeloom.session import shared_folder
 
@@ -55,6 +55,25 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.digests(spark, path)
 
 
+def op11_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.rearrange(documents(spark, folder), restore=True).selectExpr(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "sha2(output, 256) AS output_sha256", "sha2(restored, 256) AS restored_sha256"
+    )
+
+
+def op13_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    hostile = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"{chat.quoted(chat.HOSTILE)} AS text")
+    parts = chat.format_conversations(rows.select("conv_id", "turn", "role", "text").unionByName(hostile))
+    return chat.read_back(parts).selectExpr(
+        "conv_id", "n_turns", "sha2(turns_text, 256) AS turns_sha256", "loss_chars", "sha2(loss_text, 256) AS loss_sha256", "formatted_chars", "in_order", "complete"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +87,9 @@ QUERIES = {
         op8_cover_tree_near_duplicates,
         op9_dual_tree_top_k,
         op10_token_files,
+        op11_target_resampling,
+        op12_fill_in_middle,
+        op13_chat_formatting,
     )
 }
 BYTES_SQL = """
@@ -112,4 +134,7 @@ ORACLES: dict[str, str] = {
     "op7_sketched_substring_dedup": SUBSTRING_SQL,
     "op8_cover_tree_near_duplicates": NEAR_SQL,
     "op9_dual_tree_top_k": TOP_SQL,
+    "op11_target_resampling": resample.RESAMPLE_SQL,
+    "op12_fill_in_middle": fim.FIM_SQL,
+    "op13_chat_formatting": chat.CHAT_SQL,
 }

@@ -13,6 +13,7 @@ AREAS = (
     "market",
     "stats",
     "quality",
+    "calibration",
     "flows",
     "catalog",
     "patterns",

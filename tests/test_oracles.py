@@ -11,7 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load()
 SAMPLE = (
     "kdj brick_chart label_trades wave_measures wave_break factor_library sector_relative quintile_effect "
-    "backward_adjust tick_features order_flow lexical_score asof_shares distribution_exit cross_section_ranks best_match top_sources"
+    "backward_adjust tick_features order_flow lexical_score asof_shares distribution_exit cross_section_ranks best_match top_sources "
+    "bracketed_transform factor_matched_transform action_calibration share_moves aligned_shares reconstructed_close"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

@@ -30,7 +30,7 @@ def _sum(points: str, term: str) -> str:
 def _line(df: DataFrame, points: str, name: str) -> DataFrame:
     """Add ``<name>_slope`` and ``<name>_base``: the least-squares line through an array of (x, y); of equal x the shortest solution."""
     mx, my = f"_{name}_mx", f"_{name}_my"
-    out = df.selectExpr("*", f"{_sum(points, 'p.x')} / size({points}) AS {mx}", f"{_sum(points, 'p.y')} / size({points}) AS {my}")
+    out = df.selectExpr("*", f"try_divide({_sum(points, 'p.x')}, size({points})) AS {mx}", f"try_divide({_sum(points, 'p.y')}, size({points})) AS {my}")
     out = out.selectExpr(
         "*",
         f"{_sum(points, f'(p.x - {mx}) * (p.x - {mx})')} AS _{name}_xx",
@@ -123,12 +123,12 @@ def factor_matched_transform(anchors: DataFrame, targets: DataFrame, nearest: in
     the factor's logarithm that a target of equal factor can have, so targets meet the anchors of their bin only; a bin holds at most
     the sessions of one instrument. Equally distant anchors count in order of date. Targets without an adjusted close are not judged.
     """
-    bin_of = f"CAST(floor(ln(close_legacy / close_raw) / {2 * tolerance}D) AS LONG)"
+    bin_of = f"CAST(floor(ln(try_divide(close_legacy, close_raw)) / {2 * tolerance}D) AS LONG)"
     held = anchors.filter("close_legacy > 0 AND close_raw > 0 AND close_adjusted > 0").selectExpr(
         "code", f"explode(array({bin_of} - 1, {bin_of}, {bin_of} + 1)) AS _bin", "struct(date, close_legacy / close_raw AS f, close_raw AS x, close_adjusted AS y) AS _a"
     )
     pools = held.groupBy("code", "_bin").agg(F.collect_list("_a").alias("_pool"))
-    asked = targets.selectExpr("*", "close_legacy / close_raw AS factor", f"{bin_of} AS _bin")
+    asked = targets.selectExpr("*", "try_divide(close_legacy, close_raw) AS factor", f"{bin_of} AS _bin")
     met = asked.join(pools, ["code", "_bin"], "left")
     equal = f"filter(coalesce(_pool, array()), a -> a.date <> date AND abs(a.f / factor - 1) <= {tolerance}D)"
     near = f"slice(array_sort(transform({equal}, a -> struct(abs(datediff(a.date, date)) AS days, a.date AS date, a.x AS x, a.y AS y))), 1, {nearest})"
@@ -198,7 +198,7 @@ def calibrate_scale(anchors: DataFrame, fetched: DataFrame, relative: float = 1e
         F.count(F.lit(1)).alias("requested"),
         F.count("value").alias("available"),
         F.expr("CASE WHEN max(scale) > 0 THEN max(scale) END").alias("scale"),
-        F.expr("max(abs(_c / committed - 1))").alias("max_error"),
+        F.expr("max(abs(try_divide(_c, committed) - 1))").alias("max_error"),
         F.expr(f"bool_and(value IS NULL OR coalesce({near}, false))").alias("_near"),
     )
     required = f"greatest({least}, ceil(requested * {share}D))"
@@ -212,7 +212,7 @@ def _steps(dates: DataFrame, shares: DataFrame) -> DataFrame:
     """Rows with their number, the shares known then, and the step from the row before."""
     valid = shares.filter("outstanding_shares > 0").select("code", F.col("date").alias("_since"), F.col("outstanding_shares").alias("held"))
     rows = asof_join(dates.select("code", "date", "close", "close_raw"), valid, "code", "date", "_since", ["held"]).drop("asof_time")
-    mechanical = f"(close / {w.ref('close')}) / (close_raw / {w.ref('close_raw')})"
+    mechanical = f"try_divide(try_divide(close, {w.ref('close')}), try_divide(close_raw, {w.ref('close_raw')}))"
     return rows.selectExpr("code", "date", "held", f"CAST({w.ROW_INDEX} - 1 AS INT) AS idx", f"{w.ref('held')} AS _old", f"{mechanical} AS mechanical").selectExpr(
         "code", "date", "held", "idx", "mechanical", "CASE WHEN held <> _old THEN named_struct('idx', idx, 'old', _old, 'new', held, 'ratio', held / _old) END AS step"
     )
@@ -305,7 +305,7 @@ def reconstruct_missing_close(
         gone.filter(usable).selectExpr("code", "date", "CAST(NULL AS DOUBLE) AS committed", "close_raw AS close")
     )
     raw = raw.selectExpr("code", "date", "committed", "close AS open", "close AS high", "close AS low", "close")
-    built = backward_adjust(raw, actions).selectExpr("code", "date", "committed", "close", "committed / close AS ratio")
+    built = backward_adjust(raw, actions).selectExpr("code", "date", "committed", "close", "try_divide(committed, close) AS ratio")
     built = built.selectExpr("code", "date", "committed", "close", "CASE WHEN ratio > 0 AND ratio < double('inf') THEN ratio END AS ratio")
     per_code = built.filter("committed IS NOT NULL").groupBy("code").agg(
         F.count(F.lit(1)).alias("_rows"),

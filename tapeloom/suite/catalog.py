@@ -28,6 +28,7 @@ PARSED = {
     QUERY: (["eauouon", "thention", "les", "2024-03-05", "en"], "eauouonthentionles20240305en"),
     "thention eauouon": (["thention", "eauouon"], "thentioneauouon"),
     "heron stles": (["heron", "stles"], "heronstles"),
+    VERSUS: (["thention", "eauouon", "vs", "heron", "stles"], "thentioneauouonvsheronstles"),
 }
 
 
@@ -113,16 +114,33 @@ QUERIES["ranked_catalog"] = ranked_catalog
 ORACLES["ranked_catalog"] = sql(f"SELECT source_id, CAST(score AS INT) AS score, {r('coverage')}, CAST(rank AS INT) AS rank FROM ({_rank_sql(QUERY, 15)})", "norm")
 
 
+def _anchored_sql(query: str, sides: list[str], limit: int) -> str:
+    """Places counted from the rankings of the sides and of the whole query; anchors from the texts themselves."""
+    asked = [*sides, query]
+    rows = []
+    for b, side in enumerate(asked):
+        dated = " OR ".join(f"contains(nt, '{t}')" for t in PARSED[side][0])
+        exact = f"(CAST(n.source_id AS VARCHAR) = '{side}' OR contains(nt, '{side}'))"
+        day = f"(date_start = DATE '2024-03-05' AND ({dated} OR (length(nt) >= 2 AND contains('{side}', nt))))" if "2024-03-05" in side else "false"
+        rows.append(f"SELECT n.source_id, score, rank, {b} AS branch, {int(bool(sides) and b == len(sides))} AS refill, {exact} OR {day} AS anchor FROM ({_rank_sql(side, limit)}) k JOIN norm n ON n.source_id = k.source_id")
+    return f"""SELECT source_id, CAST(branch AS INT) AS branch, CAST(score AS INT) AS score, CAST(position AS INT) AS position, CAST(two OR anchor AS INT) AS protected FROM (
+SELECT *, row_number() OVER (ORDER BY refill, rank, branch) AS position FROM (SELECT *, bool_or(rank <= 2 AND refill = 0) OVER (PARTITION BY source_id) AS two FROM ({" UNION ALL ".join(rows)}) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY refill, rank, branch) = 1)) WHERE position <= {limit}"""
+
+
 def comparison_merge(spark, d):
-    return ct.comparison_merge(wh.catalog(spark, d), VERSUS, 12)
+    return out(ct.comparison_merge(wh.catalog(spark, d), VERSUS, 40), "*")
 
 
 QUERIES["comparison_merge"] = comparison_merge
-ORACLES["comparison_merge"] = sql(
-    f"""SELECT source_id, CAST(branch AS INT) AS branch, CAST(score AS INT) AS score, CAST(row_number() OVER (ORDER BY rank, branch) AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY rank, branch) AS k FROM (
-SELECT *, 0 AS branch FROM ({_rank_sql(VERSUS.split(' vs ')[0], 12)}) UNION ALL SELECT *, 1 FROM ({_rank_sql(VERSUS.split(' vs ')[1], 12)}))) WHERE k = 1 ORDER BY rank, branch LIMIT 12""",
-    "norm",
-)
+ORACLES["comparison_merge"] = sql(_anchored_sql(VERSUS, VERSUS.split(" vs "), 40), "norm")
+
+
+def anchored_ranking(spark, d):
+    return out(ct.anchored_ranking(wh.catalog(spark, d), QUERY, 15), "*")
+
+
+QUERIES["anchored_ranking"] = anchored_ranking
+ORACLES["anchored_ranking"] = sql(_anchored_sql(QUERY, [], 15), "norm")
 
 
 def _dense(spark, d):

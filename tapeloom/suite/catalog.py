@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators import catalog as ct
+from tapeloom.operators import navigation as nav
 from tapeloom.sources import warehouse as wh
 from tapeloom.suite.common import out
 from tapeloom.suite.sqlbase import cte, i, r, sql
@@ -267,6 +268,72 @@ QUERIES["has_ancestor_type"] = has_ancestor_type
 ORACLES["has_ancestor_type"] = f"WITH RECURSIVE {TREE} SELECT id, CAST(coalesce(bool_or(g > 0 AND top % 5 = 0), false) AS INT) AS has_ancestor FROM walk GROUP BY id"
 
 
+# A tree by halves, with maps, families, parents that do not exist, and a node above itself; what a packet lacks follows from its id.
+def _nodes(spark, d):
+    return wh.table(spark, d, "documents").selectExpr(
+        "doc_id AS id",
+        "CASE WHEN doc_id % 41 = 7 THEN 'map' WHEN doc_id % 10 = 3 THEN 'family' ELSE 'source_packet' END AS object_type",
+        "CASE WHEN doc_id % 13 = 0 THEN array(doc_id div 2, doc_id + 1000000000) WHEN doc_id % 9 = 4 THEN CAST(array() AS ARRAY<BIGINT>) ELSE array(doc_id div 2) END AS parent_ids",
+        "CASE WHEN doc_id % 6 = 1 THEN doc_id - doc_id % 10 + 3 WHEN doc_id % 6 = 2 THEN doc_id - doc_id % 10 + 4 END AS family_id",
+        "CASE WHEN doc_id % 8 = 0 THEN '2024-01-01' WHEN doc_id % 8 = 1 THEN '' END AS date_start",
+        "CASE doc_id % 15 WHEN 2 THEN array('manual_review_no_useful_content', 'other') WHEN 5 THEN array('manual_review_needs_gpu_ocr_or_visual_reextraction') WHEN 7 THEN array('other') END AS warnings",
+        "CASE WHEN doc_id % 17 <> 0 THEN 'p' END AS packet_path",
+        "doc_id % 19 <> 0 AS packet_readable",
+        "coalesce(length(text), 0) > 40 AS summary",
+        "doc_id % 5 <> 2 AS statements",
+        "doc_id % 5 <> 2 AND doc_id % 7 <> 0 AS evidence",
+        "CASE WHEN doc_id % 11 <> 0 THEN 'r' END AS raw_path",
+        "doc_id % 23 <> 0 AS raw_exists",
+    )
+
+
+def navigation_coverage(spark, d):
+    return out(nav.navigation_coverage(_nodes(spark, d)), "*")
+
+
+cte(
+    "gaps",
+    """SELECT id, by_map, map_layer, by_family, by_date, navigable, summary, statements, evidence, raw, unresolved, state, array_to_string(list_filter(list_append(reasons, state), lambda x: x IS NOT NULL), ',') AS reasons,
+  CASE WHEN len(reasons) = 0 OR (state LIKE 'manual_review_no_%' AND len(list_filter(reasons, lambda x: x NOT IN ('missing_statements', 'missing_evidence'))) = 0) THEN NULL
+    WHEN list_has_any(reasons, ['not_navigable', 'missing_evidence', 'missing_raw', 'packet_unreadable', 'raw_file_missing']) THEN 'P0' WHEN list_has_any(reasons, ['missing_summary', 'missing_statements', 'packet_path_missing']) THEN 'P1' ELSE 'P2' END AS priority FROM (
+SELECT *, list_filter([CASE WHEN id % 17 = 0 THEN 'packet_path_missing' END, CASE WHEN id % 17 <> 0 AND id % 19 = 0 THEN 'packet_unreadable' END, CASE WHEN id % 11 <> 0 AND id % 23 = 0 THEN 'raw_file_missing' END, CASE WHEN NOT navigable THEN 'not_navigable' END,
+  CASE WHEN NOT summary THEN 'missing_summary' END, CASE WHEN NOT statements THEN 'missing_statements' END, CASE WHEN NOT evidence THEN 'missing_evidence' END, CASE WHEN NOT raw THEN 'missing_raw' END, CASE WHEN unresolved > 0 THEN 'unresolved_parent' END], lambda x: x IS NOT NULL) AS reasons FROM (
+SELECT *, by_map OR by_family OR by_date AS navigable FROM (SELECT n.id, m.layer IS NOT NULL AS by_map, m.layer AS map_layer, coalesce(f.object_type = 'family', false) AS by_family, n.id % 8 = 0 AS by_date, length(coalesce(n.text, '')) > 40 AS summary, n.id % 5 <> 2 AS statements, n.id % 5 <> 2 AND n.id % 7 <> 0 AS evidence, n.id % 11 <> 0 AND n.id % 23 <> 0 AS raw,
+  CASE WHEN n.id % 13 = 0 THEN 1 ELSE 0 END AS unresolved, CASE n.id % 15 WHEN 2 THEN 'manual_review_no_useful_content' WHEN 5 THEN 'manual_review_needs_gpu_ocr_or_visual_reextraction' END AS state
+FROM treen n LEFT JOIN (SELECT id, min(layer) AS layer FROM (SELECT e.id, w.d + 1 AS layer FROM treee e JOIN down w ON w.id = e.parent UNION ALL SELECT n.id, w.d + 1 FROM treen n JOIN down w ON w.id = n.family_id) GROUP BY id) m ON m.id = n.id LEFT JOIN treen f ON f.id = n.family_id WHERE n.object_type = 'source_packet')))""",
+    "down",
+)
+cte(
+    "treen",
+    """SELECT doc_id AS id, text, CASE WHEN doc_id % 41 = 7 THEN 'map' WHEN doc_id % 10 = 3 THEN 'family' ELSE 'source_packet' END AS object_type, CASE WHEN doc_id % 6 = 1 THEN doc_id - doc_id % 10 + 3 WHEN doc_id % 6 = 2 THEN doc_id - doc_id % 10 + 4 END AS family_id FROM documents""",
+)
+cte("treee", "SELECT doc_id AS id, doc_id // 2 AS parent FROM documents WHERE doc_id % 13 = 0 OR doc_id % 9 <> 4")
+cte("down", "SELECT id, 0 AS d FROM treen WHERE object_type = 'map' UNION ALL SELECT /*step*/ e.id, w.d + 1 FROM down w JOIN treee e ON e.parent = w.id WHERE w.d < 60", "treen", "treee")
+QUERIES["navigation_coverage"] = navigation_coverage
+ORACLES["navigation_coverage"] = sql(
+    f"SELECT id, {i('by_map')}, CAST(map_layer AS INT) AS map_layer, {i('by_family by_date navigable summary statements evidence raw')}, CAST(unresolved AS BIGINT) AS unresolved_parents, state AS content_state, reasons, priority FROM gaps", "gaps"
+)
+
+
+def navigation_gaps(spark, d):
+    return nav.gap_queue(nav.navigation_coverage(_nodes(spark, d)), 60)
+
+
+QUERIES["navigation_gaps"] = navigation_gaps
+ORACLES["navigation_gaps"] = sql("SELECT id, priority, reasons, CAST(row_number() OVER (ORDER BY priority, id) AS INT) AS place FROM gaps WHERE priority IS NOT NULL QUALIFY place <= 60", "gaps")
+
+
+def navigation_totals(spark, d):
+    return nav.coverage_totals(nav.navigation_coverage(_nodes(spark, d)))
+
+
+QUERIES["navigation_totals"] = navigation_totals
+ORACLES["navigation_totals"] = sql(
+    "SELECT count(*) AS packets, count_if(navigable)::BIGINT AS navigable, count_if(by_map)::BIGINT AS from_map, count_if(by_family)::BIGINT AS from_family, count_if(by_date)::BIGINT AS from_date, count_if(NOT navigable)::BIGINT AS orphans, count_if(summary)::BIGINT AS has_summary, count_if(statements)::BIGINT AS has_statements, count_if(evidence)::BIGINT AS has_evidence, count_if(raw)::BIGINT AS has_raw, count_if(priority = 'P0')::BIGINT AS p0, count_if(priority = 'P1')::BIGINT AS p1, count_if(priority = 'P2')::BIGINT AS p2 FROM gaps",
+    "gaps",
+)
+
+
 def _events(spark, d):
     return wh.table(spark, d, "events").selectExpr(
         "event_type", "CASE WHEN event_id % 6 = 0 THEN 'error' ELSE 'ok' END AS outcome", "event_id % 4 AS result_count", "value AS latency_ms",

@@ -117,7 +117,7 @@ def test_raking_meets_all_marginals(spark):
         "lang": spark.createDataFrame([("l0", 0.5), ("l1", 0.3), ("l2", 0.2)], "lang string, target double"),
         "topic": spark.createDataFrame([("t", 1.0)], "topic string, target double"),
     }
-    fitted = mixing.rake(cells, targets, 8).toPandas()
+    fitted = mixing.rake(cells, targets).toPandas()
     assert np.allclose(fitted.groupby("source").share.sum(), 0.2, atol=1e-3)
     assert np.allclose(fitted.groupby("lang").share.sum(), [0.5, 0.3, 0.2], atol=1e-6)
 

@@ -18,6 +18,8 @@ from tapeloom.llm.common import bodies, carries, fold, keyed, slices
 BUCKETS = 1 << 16
 # The model is a table of BUCKETS values a language, held by the driver and each worker; more languages fail by name.
 MAX_LANGUAGES = 256
+# Bytes of text in one call; the arrays of letters and words are some forty times as large.
+PIECE = 1 << 20
 SMOOTHING = 0.1
 UNKNOWN = "und"
 
@@ -48,7 +50,7 @@ def learn(df: DataFrame, lang_col: str, id_col: str, text_col: str) -> tuple[lis
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
-        for b in slices(batches):
+        for b in slices(batches, PIECE):
             langs = b["lang"].to_pylist()
             names = sorted(set(langs))
             raw, offsets = bodies(pa.Table.from_batches([b]))
@@ -125,9 +127,11 @@ def mixtures(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty: f
 
 @carries
 def identify(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, penalty: float = 2.0, carry: tuple[str, ...] = ()
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, penalty: float = 2.0, keep_body: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, languages, shares) of every row, with the columns ``carry`` as they are.
+    """(doc_id, held_out, lang_pred, score, languages, shares) of every row, with the columns ``carry`` as they are, and with ``keep_body`` the
+    text as UTF-8 bytes, ``body``, so that it need not be carried beside them.
 
     Learns from rows outside fold 0 (crc32 of the id as text, modulo ``folds``) with a language. ``languages`` and
     ``shares`` list the chosen languages, largest share first; the first is ``lang_pred`` and its share ``score``.
@@ -138,9 +142,10 @@ def identify(
     langs, model = learn(df.where(fold(id_col, folds) != 0), lang_col, id_col, text_col)
     held = df.withColumn("_held", fold(id_col, folds) == 0)
     docs = keyed(held, id_col, text_col, "_held", *carry)
+    kept = ["body"] * keep_body
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, PIECE):
             raw, offsets = bodies(pa.Table.from_batches([b]))
             shares = mixtures(raw, offsets, model, penalty)
             order = np.argsort(-shares, axis=1, kind="stable")
@@ -157,13 +162,13 @@ def identify(
                     pa.array(top, pa.float64()),
                     pa.array([[langs[k] for k in c] for c in chosen], pa.list_(pa.string())),
                     pa.array([shares[d, c].tolist() for d, c in enumerate(chosen)], pa.list_(pa.float64())),
-                    *[b[n] for n in carry],
+                    *[b[n] for n in (*kept, *carry)],
                 ],
-                ["doc_id", "held_out", "lang_pred", "score", "languages", "shares", *carry],
+                ["doc_id", "held_out", "lang_pred", "score", "languages", "shares", *kept, *carry],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    more = "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in carry)
+    more = "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in (*kept, *carry))
     return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>{more}")
 
 

@@ -21,6 +21,8 @@ from tapeloom.llm.graph import components, local_labels
 
 # Fingerprints of one bucket that are compared in one Python call; larger buckets are cut into tiles of it.
 TILE = 2048
+# Fingerprints, once for each of their buckets and tiles, that one Python call holds.
+SHARD_ROWS = 1 << 18
 
 
 def fingerprint(body: bytes, width: int = 4) -> int:
@@ -157,7 +159,8 @@ def links(fps: DataFrame, radius: int = 4, parts: int | None = None) -> DataFram
     rows = rows.withColumn("m", F.expr(f"cast(ceil(n / {TILE}) AS int)")).withColumn("mine", F.expr("cast(pmod(xxhash64(fp), m) AS int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
     rows = rows.selectExpr("t", "k", "fp", "least(mine, other) AS i", "greatest(mine, other) AS j")
-    shards = max(24, fps.sparkSession.sparkContext.defaultParallelism * 4)
+    copies = tiles.where("n > 1").agg(F.sum(F.expr(f"n * ceil(n / {TILE})"))).first()[0] or 0
+    shards = max(24, fps.sparkSession.sparkContext.defaultParallelism * 4, -(-int(copies) // SHARD_ROWS))
     rows = rows.withColumn("shard", F.expr(f"cast(pmod(xxhash64(t, k, i, j), {shards}) AS int)"))
 
     def run(t: pa.Table) -> pa.Table:

@@ -33,9 +33,10 @@ def apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 @apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language stay; those without letters, or without a language for half their words, go."""
-    more = tuple(c for c in docs.columns if c != "doc_id")
-    named = langid.identify(docs, carry=more)
-    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    more = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    named = langid.identify(docs, carry=more, keep_body=True)
+    kept = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.withColumn("text", F.col("body").cast("string")).select(docs.columns)
 
 
 @apart

@@ -120,33 +120,21 @@ def tile_pairs(grown: DataFrame, centres: np.ndarray, allowed: np.ndarray) -> Da
     return rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row.
-
-    Vectors that are null, empty, zero, or hold null or non-finite components, and those of another length than most,
-    link with nothing. Equal vectors are links of each other and compared once. ``component_id`` is the smallest id
-    reachable, ``kept`` says that it is the row's own. Rows of one id and different vectors are one node; a row with a null
-    id is compared like any other. An empty table gives an empty result. Other columns are not read.
-    """
-    spark = df.sparkSession
-    rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector].alias("v"))
-    usual = rows.where(valid("v")).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    usual = usual[0] if usual else 0
-    good = rows.where(f"size(v) = {usual} AND ({valid('v')})")
-    classes = good.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"))
-    classes = table(classes.withColumn("id", F.coalesce("first_id", F.xxhash64("v"))), "vectors")
+def pair_links(classes: DataFrame, width: int, cosine: float) -> DataFrame | None:
+    """(id, other, n) over vectors (id, weight, v) of one length: a link of each class to another, or to itself, that connects it, and the number of rows
+    linked; None where there are no vectors."""
 
     def unit(batches):
         for b in batches:
             x = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([b["id"], b["weight"], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), usual).cast(pa.list_(pa.float64()))], ["id", "weight", "u"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["weight"], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))], ["id", "weight", "u"])
 
-    units = classes.select("id", "weight", "v").mapInArrow(unit, "id long, weight long, u array<double>")
+    units = classes.mapInArrow(unit, "id long, weight long, u array<double>")
     centres = ct.pivots(units, "u")
     if not len(centres):
-        return rows.selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id", "true AS kept")
+        return None
     grown = table(ct.trees(ct.in_cells(units, "u", centres), "u"), "trees")
     radii = np.zeros(len(centres))
 
@@ -173,12 +161,33 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                     parts.append(traverse(a, b, cosine).rows(same and i == j))
         return pa.concat_tables(parts)
 
-    found = table(tile_pairs(grown, centres, allowed).groupBy("low", "high").applyInArrow(compare, "id long, other long, n long"), "links")
+    return table(tile_pairs(grown, centres, allowed).groupBy("low", "high").applyInArrow(compare, "id long, other long, n long"), "links")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths do not link, and
+    each length is compared by itself. Equal vectors are links of each other and compared once. ``component_id`` is the smallest id
+    reachable, ``kept`` says that it is the row's own. Rows of one id and different vectors are one node; a row with a null
+    id is compared like any other. An empty table gives an empty result. Other columns are not read.
+    """
+    rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector].alias("v"))
+    good = rows.where(valid("v"))
+    classes = good.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"))
+    classes = table(classes.withColumns({"id": F.coalesce("first_id", F.xxhash64("v")), "width": F.size("v")}), "vectors")
+    widths = sorted(r[0] for r in classes.select("width").distinct().collect())
+    found = None
+    for width in widths:
+        part = pair_links(classes.where(F.col("width") == width).select("id", "weight", "v"), width, cosine)
+        found = part if found is None else found.unionByName(part) if part is not None else found
+    if found is None:
+        return rows.selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id", "true AS kept")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.selectExpr("id AS a", "other AS b"))
     known = classes.join(counts, "id").join(comp, classes["id"] == comp["node"], "left").withColumn("component", F.coalesce("component", "id"))
     least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_class = known.join(least, "component").select("v", "n", "component_id")
     linked = good.join(of_class, "v").selectExpr("vec_id", "n - 1 AS n_links", "component_id")
-    alone = rows.where(f"v IS NULL OR size(v) <> {usual} OR NOT coalesce({valid('v')}, false)").selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id")
+    alone = rows.where(f"NOT coalesce({valid('v')}, false)").selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -88,22 +88,8 @@ def finite(vector: str) -> str:
     return f"{v} IS NOT NULL AND forall({v}, x -> x IS NOT NULL AND abs(x) < double('Infinity'))"
 
 
-def top_k(df: DataFrame, is_query: str, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, scale: int = 64) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row for which the SQL ``is_query`` holds, the ``k`` other rows of highest
-    inner product of floor(scale * component), smaller ids first among equals; all, if there are fewer.
-
-    Vectors that are null, empty, hold null or non-finite components, or have another length than most take no part, nor do
-    rows with a null id. Rows of one id are candidates each, but for that id's own query; the smallest vector of an id asks. An
-    empty table gives an empty result. Other columns are not read.
-    """
-    spark = df.sparkSession
-    rows = df.select(df[id_col].cast("long").alias("id"), df[vector].alias("v"), F.expr(is_query).alias("asks"))
-    rows = rows.where(f"id IS NOT NULL AND size(v) > 0 AND ({finite('v')})")
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if not usual:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.where(F.size("v") == usual[0]).selectExpr("id", "1L AS weight", f"transform(v, x -> double(floor({scale} * double(x)))) AS v", "asks")
-    found = table(rows, "vectors")
+def best_of_length(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of every task for each query, over vectors (id, weight, v, asks) of one length."""
     everything = found.select("id", "weight", "v")
     queries = found.where("asks").groupBy("id").agg(F.min("v").alias("v")).selectExpr("id", "1L AS weight", "v")
     groups = max(1, -(-queries.count() // ct.CELL))
@@ -124,6 +110,26 @@ def top_k(df: DataFrame, is_query: str, id_col: str = "vec_id", vector: str = "e
         i, j = np.nonzero(work.score > -np.inf)
         return pa.table({"query_id": work.q.ids[i], "vec_id": work.id[i, j], "score": work.score[i, j].astype(np.int64)})
 
-    best = left.unionByName(right).groupBy("q", "tile").applyInArrow(search, "query_id long, vec_id long, score long")
+    return left.unionByName(right).groupBy("q", "tile").applyInArrow(search, "query_id long, vec_id long, score long")
+
+
+def top_k(df: DataFrame, is_query: str, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, scale: int = 64) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row for which the SQL ``is_query`` holds, the ``k`` other rows of highest
+    inner product of floor(scale * component), smaller ids first among equals; all, if there are fewer.
+
+    Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id. Vectors of different lengths have
+    no product: a query meets the rows of its length. Rows of one id are candidates each, but for that id's own query; the smallest vector
+    of an id and a length asks. An empty table gives an empty result. Other columns are not read.
+    """
+    rows = df.select(df[id_col].cast("long").alias("id"), df[vector].alias("v"), F.expr(is_query).alias("asks"))
+    rows = rows.where(f"id IS NOT NULL AND size(v) > 0 AND ({finite('v')})")
+    found = table(rows.selectExpr("id", "1L AS weight", f"transform(v, x -> double(floor({scale} * double(x)))) AS v", "asks", "size(v) AS width"), "vectors")
+    widths = sorted(r[0] for r in found.where("asks").select("width").distinct().collect())
+    if not widths:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    best = None
+    for width in widths:
+        part = best_of_length(found.where(F.col("width") == width), k)
+        best = part if best is None else best.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

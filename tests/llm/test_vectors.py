@@ -121,3 +121,37 @@ def test_odd_vectors_take_no_part(spark):
     assert {r.query_id for r in rows} == {2, 10, 12}
     assert {r.vec_id for r in rows} == {1, 2, 10, 12, 5} - set() or {r.vec_id for r in rows} == {1, 2, 5, 10, 12}
     assert topk.top_k(df.where("vec_id < 0"), "true").count() == 0
+
+
+def mixed_lengths():
+    """Vectors of three lengths, each with near copies; ids go round the lengths."""
+    rows = []
+    for at, width in enumerate((3, 5, 8)):
+        x = clustered(450, width, 5 + at)
+        rows += [(3 * k + at, [float(a) for a in p]) for k, p in enumerate(x)]
+    return rows
+
+
+def test_every_length_is_compared_by_itself(spark):
+    rows = mixed_lengths()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    want = {}
+    for at in range(3):
+        part = [(i, v) for i, v in rows if i % 3 == at]
+        want |= links_of(np.array([i for i, _ in part]), np.array([v for _, v in part]))
+    assert got == want and any(n for n, _ in got.values())
+
+
+def test_queries_meet_their_own_length(spark):
+    rows = mixed_lengths()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, "vec_id % 4 = 0", k=7, scale=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = {}
+    for at in range(3):
+        part = [(i, v) for i, v in rows if i % 3 == at]
+        ids, v = np.array([i for i, _ in part]), np.floor(16 * np.array([v for _, v in part]))
+        want |= {int(ids[q]): best(ids, v, q, 7) for q in range(len(ids)) if ids[q] % 4 == 0}
+    assert {q: sorted(x) for q, x in got.items()} == want

@@ -495,18 +495,24 @@ def action_chain_affine(actions: DataFrame) -> DataFrame:
 UNIT_CANDIDATES = (2.0, 2.5, 4.0, 5.0, 10.0, 20.0, 25.0, 40.0, 50.0, 100.0, 500.0)
 REGIME_ROWS = 20
 REGIME_SHARE = 0.8
+MISSING_SENTINELS = (2147483647.0, 2147483648.0, 4294967295.0)
 
 
 def repair_trade_units(bars: DataFrame, candidates: Sequence[float] = UNIT_CANDIDATES, least: int = REGIME_ROWS, share: float = REGIME_SHARE) -> DataFrame:
     """Repair persistent volume-unit regimes, then isolated tenfold errors, and null what is left.
 
-    A row is suspect when amount/volume leaves the raw range by 2%. Multipliers are tried per
+    Sentinels count as missing, and so does an amount that is not positive beside a volume; a missing volume has no amount. A row is suspect when amount/volume leaves the raw range by 2%. Multipliers are tried per
     instrument in order of the suspect rows they explain; each pass sees the rows taken before. A
     regime is the span between the first and last explained row that no normal or otherwise
     explained row interrupts.
     """
-    multipliers = [*candidates, *[1 / c for c in candidates]]
+    multipliers = list(dict.fromkeys([*candidates, *[1 / c for c in candidates]]))
     keep = list(bars.columns)
+    sentinels = ", ".join(f"{x!r}D" for x in MISSING_SENTINELS)
+    lost = f"coalesce(volume IN ({sentinels}), false)"
+    void = f"{lost} OR coalesce(amount IN ({sentinels}), false) OR coalesce(volume > 0 AND amount <= 0, false)"
+    others = [c for c in keep if c not in ("volume", "amount")]
+    bars = bars.selectExpr(*others, f"CASE WHEN NOT {lost} THEN volume END AS volume", f"CASE WHEN NOT ({void}) THEN amount END AS amount").select(*keep)
     vwap = "(amount / volume)"
     known = "volume > 0 AND amount > 0 AND low_raw > 0 AND high_raw >= low_raw"
 
@@ -544,3 +550,40 @@ def repair_trade_units(bars: DataFrame, candidates: Sequence[float] = UNIT_CANDI
         f"CASE WHEN {bad('_final')} THEN NULL ELSE amount END AS amount",
         "CASE WHEN _taken THEN 'regime' WHEN _iso IS NOT NULL THEN 'isolated' ELSE 'none' END AS unit_repair",
     )
+
+
+def repair_committed_units(bars: DataFrame, reference: DataFrame | None = None, candidates: Sequence[float] = UNIT_CANDIDATES, least: int = REGIME_ROWS, share: float = REGIME_SHARE) -> DataFrame:
+    """Repair the units of committed bars and what follows from them.
+
+    ``bars`` hold (code, date, low, high, close, close_raw, volume, amount, turnover, market_cap); raw prices are the adjusted ones over their factor. A
+    positive amount of ``reference`` (code, date, amount) counts before the committed one, and passes the same tests. A volume that changes brings a
+    new turnover, from the shares of the market cap, or where there is none from those of the old turnover, and then the market cap too. An amount that
+    is refused is null, one that was missing is filled, and one with a reference is replaced if it differs. ``repair`` lists what happened.
+    """
+    rows = bars.selectExpr("*", "try_divide(close, close_raw) AS _f")
+    if reference is not None:
+        rows = rows.join(reference.filter("amount > 0").selectExpr("code", "date", "amount AS _ref"), ["code", "date"], "left")
+    else:
+        rows = rows.withColumn("_ref", F.lit(None).cast("double"))
+    work = rows.selectExpr(
+        "code", "date", "try_divide(low, _f) AS low_raw", "try_divide(high, _f) AS high_raw", "close_raw", "volume", "coalesce(_ref, amount) AS amount",
+        "volume AS _volume", "amount AS _amount", "low", "high", "close", "turnover", "market_cap", "_ref",
+    )
+    fixed = repair_trade_units(work, candidates, least, share)
+    changed = "coalesce(abs(_volume - volume) > 1e-9D + 1e-12D * abs(volume), false)"
+    replaced = "coalesce(_ref IS NOT NULL AND abs(_amount - amount) > 0.01D + 1e-7D * abs(amount), false)"
+    by_cap = "try_divide(market_cap, close_raw)"
+    fixed = fixed.selectExpr(
+        "*", f"{changed} AS _changed", "_amount IS NOT NULL AND amount IS NULL AS _cleared", "_amount IS NULL AND amount IS NOT NULL AS _filled", f"{replaced} AS _replaced",
+        f"CASE WHEN {by_cap} > 0 THEN {by_cap} ELSE try_divide(_volume * 100, turnover) END AS _shares",
+    ).selectExpr("*", "coalesce(_changed AND _shares > 0, false) AS _again")
+    fixed = fixed.selectExpr("*", "_again AND NOT coalesce(market_cap > 0, false) AND coalesce(close_raw > 0, false) AS _cap")
+    done = {"volume": "_changed", "amount_cleared": "_cleared", "amount_filled": "_filled", "amount_replaced": "_replaced", "turnover": "_again", "market_cap": "_cap"}
+    new = {
+        "volume": "CASE WHEN _changed THEN volume ELSE _volume END",
+        "amount": "CASE WHEN _cleared THEN NULL WHEN _filled OR _replaced THEN amount ELSE _amount END",
+        "turnover": "CASE WHEN _again THEN volume * 100 / _shares ELSE turnover END",
+        "market_cap": "CASE WHEN _cap THEN close_raw * _shares ELSE market_cap END",
+    }
+    listed = "array_join(filter(array(" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in done.items()) + "), x -> x IS NOT NULL), ',')"
+    return fixed.selectExpr(*[f"{new[c]} AS {c}" if c in new else c for c in bars.columns], f"{listed} AS repair")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import windows as w
 from tapeloom.operators import quality as q
 from tapeloom.suite.common import bars, out
-from tapeloom.suite.sqlbase import ALL, S, cte, i, r, sql
+from tapeloom.suite.sqlbase import ALL, CTES, S, cte, i, r, sql
 from tapeloom.suite.sqlbase import w as sw
 
 QUERIES, ORACLES = {}, {}
@@ -458,15 +458,90 @@ ORACLES["action_chain_affine"] = sql(
 )
 
 
+# Volumes of two spans of each instrument are given in wrong units, and some rows alone; some amounts are missing, sentinels, or not positive.
+UNITS = (
+    "volume * CASE WHEN year(date) = 1997 THEN 100 WHEN year(date) = 1999 AND month(date) < 7 THEN 0.1{D} WHEN h % 37 = 9 THEN 10 ELSE 1 END",
+    "CASE WHEN h % 31 = 7 THEN 2147483647{D} WHEN h % 29 = 5 THEN NULL WHEN h % 43 = 2 THEN 0{D} ELSE amount END",
+)
+
+
+def _units(spark, d):
+    volume, amount = (x.format(D="D") for x in UNITS)
+    return bars(spark, d).selectExpr("*", f"{H} AS h").selectExpr("code", "date", "low", "high", "close", "close_raw", f"{volume} AS volume", f"{amount} AS amount", "turnover", "market_cap", "h", "amount AS true_amount")
+
+
 def repair_trade_units(spark, d):
-    """Volumes of two spans of each instrument are given in wrong units."""
-    b = bars(spark, d).selectExpr(
-        "code", "date", "low AS low_raw", "high AS high_raw", "close_raw",
-        "volume * CASE WHEN year(date) = 1997 THEN 100 WHEN year(date) = 1999 AND month(date) < 7 THEN 0.1D ELSE 1 END AS volume", "amount")
+    b = _units(spark, d).selectExpr("code", "date", "low AS low_raw", "high AS high_raw", "close_raw", "volume", "amount")
     return out(q.repair_trade_units(b, candidates=(100.0, 10.0), least=10), "code date volume amount unit_repair")
 
 
+def repair_committed_units(spark, d):
+    """Prices adjusted by a factor of the instrument; references for every fifth row, some of them wrong."""
+    b = _units(spark, d)
+    f = "(1 + 0.25D * (CAST(code AS INT) % 3))"
+    committed = b.selectExpr("code", "date", f"low * {f} AS low", f"high * {f} AS high", f"close * {f} AS close", "close_raw", "volume", "amount", "turnover", "CASE WHEN h % 6 <> 0 THEN market_cap END AS market_cap")
+    reference = b.filter("h % 5 = 0").selectExpr("code", "date", "CASE WHEN h % 50 = 10 THEN true_amount * 3 WHEN h % 35 = 0 THEN -1D ELSE true_amount * 1.001D END AS amount")
+    return out(q.repair_committed_units(committed, reference, (100.0, 10.0), 10), "code date volume amount turnover market_cap repair")
+
+
+MULTIPLIERS = (100.0, 10.0, 0.01, 0.1)
+
+
+def _regimes_sql(name: str, source: str) -> None:
+    """CTEs that take regimes multiplier by multiplier, most explained rows first, from rows (code, date, lo, hi, volume, amount)."""
+    bad = "coalesce({v} > 0 AND amount > 0 AND lo > 0 AND hi >= lo AND NOT amount/{v} BETWEEN lo*0.98 AND hi*1.02, false)"
+    flags = ", ".join(f"({bad.format(v='volume')} AND amount/volume/{m} BETWEEN lo*0.98 AND hi*1.02) AS c{k}" for k, m in enumerate(MULTIPLIERS))
+    cte(
+        f"{name}0",
+        f"SELECT *, row_number() OVER {S} AS rn, volume AS vol, false AS taken, {bad.format(v='volume')} AS bad, coalesce(volume > 0 AND amount > 0 AND lo > 0 AND hi >= lo, false) AS known, {flags} FROM ({source})",
+        "bars",
+    )
+    counts = " UNION ALL ".join(f"SELECT code, {k} AS k, count_if(c{k}) AS n FROM {name}0 GROUP BY code" for k in range(len(MULTIPLIERS)))
+    cte(f"{name}order", f"SELECT code, k, row_number() OVER (PARTITION BY code ORDER BY n DESC, k) - 1 AS p FROM ({counts})", f"{name}0")
+    pick = "CASE k " + " ".join(f"WHEN {k} THEN c{k}" for k in range(len(MULTIPLIERS))) + " END"
+    scale = "CASE k " + " ".join(f"WHEN {k} THEN {m}" for k, m in enumerate(MULTIPLIERS)) + " END"
+    for p in range(len(MULTIPLIERS)):
+        cte(
+            f"{name}{p + 1}",
+            f"""SELECT * EXCLUDE (k, p, mine, ev, seg, n, a, z, every, m, take) REPLACE (taken OR take AS taken, CASE WHEN take THEN vol*{scale} ELSE vol END AS vol) FROM (
+SELECT *, coalesce(rn BETWEEN a AND z AND NOT taken AND volume > 0 AND every >= 10 AND n >= 10 AND m > 0 AND n/m >= 0.8, false) AS take FROM (
+SELECT *, count_if(bad AND rn BETWEEN a AND z AND NOT taken) OVER (PARTITION BY code, seg) AS m FROM (
+SELECT *, count_if(ev) OVER (PARTITION BY code, seg) AS n, min(CASE WHEN ev THEN rn END) OVER (PARTITION BY code, seg) AS a, max(CASE WHEN ev THEN rn END) OVER (PARTITION BY code, seg) AS z, count_if(ev) OVER (PARTITION BY code) AS every FROM (
+SELECT *, mine AND NOT taken AS ev, count_if(taken OR (known AND NOT bad) OR (bad AND NOT mine)) OVER (PARTITION BY code ORDER BY rn) AS seg FROM (SELECT *, {pick} AS mine FROM {name}{p} JOIN {name}order USING (code) WHERE p = {p})))))""",
+            f"{name}{p}",
+            f"{name}order",
+        )
+    cte(
+        f"{name}fixed",
+        f"""SELECT code, date, fin AS volume, CASE WHEN NOT {bad.format(v='fin')} THEN amount END AS amount, CASE WHEN taken THEN 'regime' WHEN iso IS NOT NULL THEN 'isolated' ELSE 'none' END AS unit_repair FROM (SELECT *, vol*coalesce(iso, 1) AS fin FROM (
+SELECT *, CASE WHEN {bad.format(v='vol')} THEN CASE WHEN amount/vol/10 BETWEEN lo AND hi AND NOT amount/vol/0.1 BETWEEN lo AND hi THEN 10 WHEN amount/vol/0.1 BETWEEN lo AND hi AND NOT amount/vol/10 BETWEEN lo AND hi THEN 0.1 END END AS iso FROM {name}{len(MULTIPLIERS)}))""",
+        f"{name}{len(MULTIPLIERS)}",
+    )
+
+
+_VOLUME, _AMOUNT = (x.format(D=".0::DOUBLE" if "2147483647" in x else "::DOUBLE") for x in UNITS)
+cte("units", f"SELECT code, date, low, high, close, close_raw, {_VOLUME} AS volume, {_AMOUNT} AS amount, turnover, market_cap, h, amount AS true_amount FROM (SELECT *, {HS} AS h FROM bars)", "bars")
+_VALID = "CASE WHEN {a} <> 2147483647 AND NOT (volume > 0 AND {a} <= 0) THEN {a} END"
+_regimes_sql("u", f"SELECT code, date, low AS lo, high AS hi, volume, {_VALID.format(a='amount')} AS amount FROM units")
+_regimes_sql(
+    "v",
+    f"""SELECT code, date, (low*f)/((close*f)/close_raw) AS lo, (high*f)/((close*f)/close_raw) AS hi, volume, {_VALID.format(a='amt')} AS amount FROM (
+SELECT *, 1 + 0.25::DOUBLE*(CAST(code AS INT) % 3) AS f, CASE WHEN h % 5 = 0 AND (h % 50 = 10 OR h % 35 <> 0) THEN true_amount*CASE WHEN h % 50 = 10 THEN 3 ELSE 1.001::DOUBLE END ELSE amount END AS amt FROM units)""",
+)
+for _name in ("u0", "v0"):
+    CTES[_name] = (("units",), CTES[_name][1])
+
 QUERIES["repair_trade_units"] = repair_trade_units
+ORACLES["repair_trade_units"] = sql(f"SELECT code, date, {r('volume amount')}, unit_repair FROM ufixed", "ufixed")
+QUERIES["repair_committed_units"] = repair_committed_units
+ORACLES["repair_committed_units"] = sql(
+    f"""SELECT code, date, round(CASE WHEN changed THEN nv ELSE volume END, 6) + 0.0 AS volume, round(CASE WHEN cleared THEN NULL WHEN filled OR swapped THEN na ELSE amount END, 6) + 0.0 AS amount,
+ round(CASE WHEN again THEN nv*100/shares ELSE turnover END, 6) + 0.0 AS turnover, round(CASE WHEN again AND cap IS NULL THEN close_raw*shares ELSE cap END, 6) + 0.0 AS market_cap,
+ array_to_string(list_filter([CASE WHEN changed THEN 'volume' END, CASE WHEN cleared THEN 'amount_cleared' END, CASE WHEN filled THEN 'amount_filled' END, CASE WHEN swapped THEN 'amount_replaced' END, CASE WHEN again THEN 'turnover' END, CASE WHEN again AND cap IS NULL THEN 'market_cap' END], lambda x: x IS NOT NULL), ',') AS repair FROM (
+SELECT *, changed AND shares > 0 AS again FROM (SELECT x.*, f.volume AS nv, f.amount AS na, CASE WHEN h % 6 <> 0 THEN market_cap END AS cap, coalesce(abs(x.volume - f.volume) > 1e-9 + 1e-12*abs(f.volume), false) AS changed, x.amount IS NOT NULL AND f.amount IS NULL AS cleared, x.amount IS NULL AND f.amount IS NOT NULL AS filled,
+ coalesce(h % 5 = 0 AND (h % 50 = 10 OR h % 35 <> 0) AND abs(x.amount - f.amount) > 0.01 + 1e-7*abs(f.amount), false) AS swapped, CASE WHEN h % 6 <> 0 THEN market_cap/close_raw ELSE x.volume*100/turnover END AS shares FROM units x JOIN vfixed f USING (code, date)))""",
+    "vfixed",
+)
 
 
 FILL_DAY = "1996-07-01"

@@ -66,6 +66,22 @@ def group_avg_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) ->
     return df.selectExpr("*", f"CAST({value} AS DOUBLE) AS _v").join(ranks, [*keys, "_v"]).drop("_v")
 
 
+def pair_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(keys, rows, spearman): rank correlation of two columns in groups of any size, over the rows that have both; null where one does not vary.
+
+    Rows become counts of value pairs, and each side's ranks come from its value counts, so ties make the work smaller and no row is joined to
+    its value. Mean ranks are known, so the correlation is a sum over the pairs.
+    """
+    k = list(keys)
+    pairs = df.selectExpr(*k, f"CAST({x} AS DOUBLE) AS _x", f"CAST({y} AS DOUBLE) AS _y").filter("_x IS NOT NULL AND _y IS NOT NULL").groupBy(*k, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    joined = pairs
+    for side in ("x", "y"):
+        placed = cumulative_by_value(pairs, keys, f"_{side}", {"n": "sum(_n)"})
+        joined = joined.join(placed.selectExpr(*k, f"_v AS _{side}", f"u_n - n + (n + 1) / 2D - (t_n + 1) / 2D AS _r{side}"), [*k, f"_{side}"])
+    sums = joined.groupBy(*k).agg(F.sum("_n").alias("rows"), *[F.expr(f"sum(_n * _r{a} * _r{b})").alias(f"_{a}{b}") for a, b in ("xy", "xx", "yy")])
+    return sums.selectExpr(*k, "rows", "try_divide(_xy, sqrt(_xx) * sqrt(_yy)) AS spearman")
+
+
 def ks_distance(df: DataFrame, keys: Sequence[str], value: str, is_left: str) -> DataFrame:
     """Largest distance between the empirical distributions of the left rows and the others."""
     placed = cumulative_by_value(df, keys, value, {"a": f"count_if({is_left})", "b": f"count_if(NOT ({is_left}))"})

@@ -8,22 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import windows as w
-from tapeloom.functions.quantiles import exact_quantiles, group_avg_rank
-from tapeloom.functions.ranks import avg_rank
-
-
-def pearson(x: str, y: str) -> str:
-    """Correlation of a group as an aggregate; null where one side does not vary."""
-    return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
+from tapeloom.functions.positions import with_positions
+from tapeloom.functions.quantiles import exact_quantiles, pair_spearman
+from tapeloom.functions.ranks import top_n
 
 
 def daily_rank_ic(df: DataFrame, factor: str, label: str, by: str = "date", least: int = 5) -> DataFrame:
     """Spearman correlation of factor and label in each session with at least ``least`` rows."""
-    rows = df.filter(f"{factor} IS NOT NULL AND {label} IS NOT NULL").selectExpr(
-        by, f"{avg_rank(factor, by)} AS _f", f"{avg_rank(label, by)} AS _l"
-    )
-    ic = rows.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.expr(pearson("_f", "_l")).alias("rank_ic"))
-    return ic.filter(f"rows >= {least} AND rank_ic IS NOT NULL")
+    return pair_spearman(df, [by], factor, label).withColumnRenamed("spearman", "rank_ic").filter(f"rows >= {least} AND rank_ic IS NOT NULL")
 
 
 def rank_ic(df: DataFrame, factor: str, label: str, by: str = "date", least: int = 5) -> DataFrame:
@@ -41,10 +33,7 @@ def pooled_spearman(df: DataFrame, factors: Sequence[str], label: str, least: in
     long = df.selectExpr(f"CAST({label} AS DOUBLE) AS y", f"explode(array({entries})) AS e").selectExpr(
         "e.factor AS factor", "e.x AS x", "y"
     ).filter("x IS NOT NULL AND y IS NOT NULL")
-    ranked = group_avg_rank(group_avg_rank(long, ["factor"], "x", "_rx"), ["factor"], "y", "_ry")
-    return ranked.groupBy("factor").agg(
-        F.count(F.lit(1)).alias("rows"), F.expr(pearson("_rx", "_ry")).alias("spearman")
-    ).filter(f"rows >= {least}")
+    return pair_spearman(long, ["factor"], "x", "y").filter(f"rows >= {least}")
 
 
 def strongest_control(df: DataFrame, factor: str, controls: Sequence[str], least: int = 100) -> DataFrame:
@@ -94,34 +83,46 @@ def _two_variable_residual(df, y, x1, x2, out, frame, least, default):
 def residual_rank_ic(df: DataFrame, factor: str, controls: Sequence[str], label: str, by: str = "date", least: int = 35) -> DataFrame:
     """Daily rank IC of the part of ``factor`` that the controls do not explain.
 
-    One session is a task's group: at most one row per instrument. The solve is numpy on an Arrow
-    batch because the number of controls is free.
+    A session's means and covariances are aggregates; one row a session is solved for the coefficients, rows get their residuals by an
+    expression, rounded to twelve digits, and are ranked by value counts. So no task holds a session.
     """
-    controls = list(controls)
-    need = max(least, len(controls) + 5)
-
-    def solve(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        rows = pdf.dropna()
-        empty = pd.DataFrame({c: pd.Series([], dtype="object") for c in ("key", "rows", "ic", "r2")})
-        if len(rows) < need:
-            return empty
-        y = rows["_y"].to_numpy(float)
-        x = np.column_stack([np.ones(len(rows)), rows[[f"_x{i}" for i in range(len(controls))]].to_numpy(float)])
-        residual = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        total = ((y - y.mean()) ** 2).sum()
-        if total <= 1e-12 or residual.std() <= 1e-12:
-            return empty
-        ic = pd.Series(residual).rank().corr(pd.Series(rows["_l"].to_numpy(float)).rank())
-        return pd.DataFrame({"key": [key[0]], "rows": [len(rows)], "ic": [ic], "r2": [max(0.0, 1 - (residual**2).sum() / total)]})
-
+    names = [f"_x{i}" for i in range(len(controls))]
+    every = ["_y", "_l", *names]
+    need = max(least, len(names) + 5)
     cols = [F.col(by), F.col(factor).cast("double").alias("_y"), F.col(label).cast("double").alias("_l")]
-    cols += [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(controls)]
-    kind = df.schema[by].dataType.simpleString()
-    out = df.select(*cols).groupBy(by).applyInPandas(solve, f"key {kind}, rows long, ic double, r2 double")
-    return out.selectExpr(f"key AS {by}", "rows", "ic AS rank_ic", "r2").filter("rank_ic IS NOT NULL AND NOT isnan(rank_ic)")
+    rows = df.select(*cols, *[F.col(c).cast("double").alias(n) for c, n in zip(controls, names)]).filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in every))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    moments = rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_my"), F.var_pop("_y").alias("_yy"), *[F.avg(n).alias(f"_m{n}") for n in names],
+        *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in pairs], *[F.covar_pop(n, "_y").alias(f"{n}_y") for n in names],
+    ).filter(f"_n >= {need} AND _yy * _n > 1e-12D")
+
+    def solve(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            t = batch.to_pandas()
+            k = len(names)
+            c = np.zeros((len(t), k, k))
+            for a, b in pairs:
+                i, j = names.index(a), names.index(b)
+                c[:, i, j] = c[:, j, i] = t[f"{a}{b}"]
+            xy = t[[f"{n}_y" for n in names]].to_numpy(float).reshape(len(t), k)
+            # Controls of different size are scaled first; what they do not span gets the shortest solution.
+            size = np.sqrt(np.maximum(np.einsum("nii->ni", c), 1e-300))
+            slopes = np.einsum("nij,nj->ni", np.linalg.pinv(c / size[:, :, None] / size[:, None, :], rcond=1e-12, hermitian=True), xy / size) / size
+            explained = (slopes * xy).sum(axis=1)
+            base = t["_my"].to_numpy(float) - (slopes * t[[f"_m{n}" for n in names]].to_numpy(float).reshape(len(t), k)).sum(axis=1)
+            yy = t["_yy"].to_numpy(float)
+            made = [batch.column(0), pa.array(base), pa.array(list(slopes), pa.list_(pa.float64())), pa.array(np.maximum(0.0, explained / yy)), pa.array(np.sqrt(np.maximum(yy - explained, 0)))]
+            yield pa.RecordBatch.from_arrays(made, names=[by, "_base", "_slopes", "r2", "_left"])
+
+    solved = moments.mapInArrow(solve, f"{by} {df.schema[by].dataType.simpleString()}, _base double, _slopes array<double>, r2 double, _left double").filter("_left > 1e-12D")
+    explained = " + ".join(["_base", *[f"_slopes[{i}] * {n}" for i, n in enumerate(names)]])
+    left = rows.join(solved.select(by, "_base", "_slopes"), by).selectExpr(by, "_l", f"round(_y - ({explained}), 12) AS _e")
+    ic = pair_spearman(left, [by], "_e", "_l").withColumnRenamed("spearman", "rank_ic")
+    return ic.join(solved.select(by, "r2"), by).select(by, "rows", "rank_ic", "r2").filter("rank_ic IS NOT NULL")
 
 
 def label_bins(df: DataFrame, value: str, train: DataFrame, out: str = "label_bin", shares=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
@@ -240,18 +241,13 @@ def purge_embargo(assigned: DataFrame, embargo: int = 5, entry: str = "entry_dat
 
 def ndcg(df: DataFrame, score: str, label: str, ks=(3, 5, 10), by: str = "entry_date") -> DataFrame:
     """Mean daily NDCG at each k, over sessions with at least two rows and some gain."""
-    ranked = df.selectExpr(
-        by,
-        f"{label} AS _l",
-        f"row_number() OVER (PARTITION BY {by} ORDER BY round({score}, 12) DESC, code) AS _r",
-        f"row_number() OVER (PARTITION BY {by} ORDER BY {label} DESC, code) AS _i",
-    )
+    rows = df.selectExpr(by, f"{label} AS _l", f"round({score}, 12) AS _s", "code")
     gain = "(pow(2D, _l) - 1)"
-    daily = ranked.groupBy(by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.expr(f"sum(CASE WHEN _r <= {k} THEN {gain} / log2(_r + 1) ELSE 0D END)").alias(f"_d{k}") for k in ks],
-        *[F.expr(f"sum(CASE WHEN _i <= {k} THEN {gain} / log2(_i + 1) ELSE 0D END)").alias(f"_m{k}") for k in ks],
-    ).filter("_n >= 2")
+    daily = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
+    # Only the first rows of each order count, so sessions are cut to them before they move.
+    for name, order in (("_d", "_s DESC, code"), ("_m", "_l DESC, code")):
+        first = top_n(rows, max(ks), by, order, "_r")
+        daily = daily.join(first.groupBy(by).agg(*[F.expr(f"sum(CASE WHEN _r <= {k} THEN {gain} / log2(_r + 1) ELSE 0D END)").alias(f"{name}{k}") for k in ks]), by)
     return daily.agg(*[F.expr(f"coalesce(avg(CASE WHEN _m{k} > 0 THEN _d{k} / _m{k} END), 0D)").alias(f"ndcg_at_{k}") for k in ks])
 
 
@@ -307,10 +303,10 @@ def ratio_residual(df: DataFrame, y: str, x: str, train: str, out: str, least: i
 
 
 def placebo(df: DataFrame, features: Sequence[str], seed: int, by: str = "date") -> DataFrame:
-    """Permute the features among the rows of a session, by a seeded hash of the row key."""
-    order = f"md5(concat_ws('|', code, '{seed}'))"
-    base = df.selectExpr("*", f"row_number() OVER (PARTITION BY {by} ORDER BY code) AS _k")
-    donor = df.selectExpr(by, *[f"{f} AS _p_{f}" for f in features], f"row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS _k")
+    """Permute the features among the rows of a session, by a seeded hash of the row key. Codes of one length are placed by blocks of them, so a session is not one window."""
+    drawn = df.selectExpr("*", f"md5(concat_ws('|', code, '{seed}')) AS _h")
+    base = with_positions(df, [by], "substr(code, 1, length(code) - 2)", "code").drop("size").withColumnRenamed("pos", "_k")
+    donor = with_positions(drawn, [by], "substr(_h, 1, 2)", "_h, code").selectExpr(by, *[f"{f} AS _p_{f}" for f in features], "pos AS _k")
     keep = [c for c in df.columns if c not in features]
     return base.join(donor, [by, "_k"]).selectExpr(*keep, *[f"_p_{f} AS {f}" for f in features])
 

@@ -302,13 +302,16 @@ def _signal(kind: str, keys, severity: str, bullish: str, confidence: str) -> li
 
 
 def whale_signals(features: DataFrame, least: int = 50, periods: int = 5, rise: float = 0.03) -> DataFrame:
-    """Accumulation and distribution from daily tick features and the four days before."""
+    """Accumulation and distribution from daily tick features and the four days before.
+
+    A rise from a mean price of zero has no size, so it does not count as small.
+    """
     frame = f"OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {periods - 1} PRECEDING AND CURRENT ROW)"
     f = features.selectExpr(
         "*",
         f"count_if(net_buy_vol > 0) {frame} AS _up",
         f"count_if(net_buy_vol < 0) {frame} AS _down",
-        f"max(price_vwap) {frame} / first(price_vwap) {frame} - 1 AS _rise",
+        f"try_divide(max(price_vwap) {frame}, first(price_vwap) {frame}) - 1 AS _rise",
     ).filter(f"total_ticks >= {least}")
     size = "least(abs(institutional_net_flow) / 10000, 20D)"
     buy = f"(big_order_buy_ratio - 50) * 1.5 + _up * 8 + {size}"

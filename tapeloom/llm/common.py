@@ -211,8 +211,8 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-# Bytes that are hashed in one go; the arrays in between are eight times as large.
-HASHED = 1 << 20
+# Bytes that are hashed in one go; the arrays in between, and the tables of powers that a worker keeps, are eight times as large each.
+HASHED = 1 << 18
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -145,7 +145,7 @@ def identify(
     kept = ["body"] * keep_body
 
     def run(batches):
-        for b in slices(batches, PIECE):
+        for b in slices(batches, PIECE // 4):
             raw, offsets = bodies(pa.Table.from_batches([b]))
             shares = mixtures(raw, offsets, model, penalty)
             order = np.argsort(-shares, axis=1, kind="stable")
